@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def partitions_for(spark: SparkSession, units: int, per_task: int) -> int:
 
 def text_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each (a longer text stands alone)."""
-    sizes = np.frombuffer(pa.compute.binary_length(batch.column(column)).fill_null(0).cast(pa.int64()).buffers()[1], np.int64)[: batch.num_rows] if batch.num_rows else np.zeros(0, np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, room = 0, 0
     for i, size in enumerate(sizes.tolist()):
         if i > at and room + size > limit:

@@ -18,13 +18,27 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+
+    return score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .imatch import fingerprint_with_edits
 
     return fingerprint_with_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_url_filter, op10_document_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_url_filter, op5_best_fit_packing, op7_quality_classifier, op10_document_fingerprints)}
 
 #: DuckDB's form of the rules' outcome: the longest rule that fits, straight from their definition.
 _RULES = "(values ('block','com','/en/'), ('allow','example.com','/en/7'), ('block','net','/de/'), ('allow','example.net','/de/8'), ('block','org','/es/')) r(verdict, rhost, rpath)"
