@@ -24,6 +24,12 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -50,13 +56,19 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nn_descent import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .imatch import fingerprint_with_edits
 
     return fingerprint_with_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op4_url_filter, op5_best_fit_packing, op7_quality_classifier, op8_lm_scoring, op10_document_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_html_extraction, op4_url_filter, op5_best_fit_packing, op7_quality_classifier, op8_lm_scoring, op9_embedding_near_dedup, op10_document_fingerprints)}
 
 #: DuckDB's form of the rules' outcome: the longest rule that fits, straight from their definition.
 _RULES = "(values ('block','com','/en/'), ('allow','example.com','/en/7'), ('block','net','/de/'), ('allow','example.net','/de/8'), ('block','org','/es/')) r(verdict, rhost, rpath)"
