@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, _INVERSE, _power, materialise, mix, text_blocks, text_bytes
+from .common import _BASE, _BYTE, _INVERSE, _power, materialise, mix, scramble, text_blocks, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
 #: Runs of text whose ids a Python worker remembers; beyond it, it forgets all and starts anew.
 REMEMBERED = 600_000
 SALTS = 256
+_BYTE_EXACT = scramble(256, 3)
 _KIND = np.full(256, 3, np.int8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
 _KIND[65:91] = _KIND[97:123] = 1
@@ -46,7 +47,45 @@ class RunTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.memory = RunMemory(lambda runs: [x.ids for x in self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)], _BYTE)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and the n + 1 places where texts begin."""
+        raw, starts = text_bytes(texts)
+        n = len(raw)
+        kind = _KIND[raw]
+        first, last = np.zeros(n, bool), np.zeros(n, bool)
+        if n:
+            edge = np.zeros(n + 1, bool)
+            edge[starts] = True
+            before, x = kind[:-1], kind[1:]
+            first[0] = kind[0] > 0
+            first[1:] = (x > 0) & ((before == 0) | edge[1:-1] | ((before != x) & (before < 4) & (x < 4) & (raw[:-1] != 39)))
+            last[-1] = kind[-1] > 0
+            last[:-1] = (before > 0) & ((x == 0) | first[1:])
+        a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+        ids, places = self.memory.encode(raw, a, b, np.searchsorted(a, starts))
+        data = raw.tobytes()
+        if any(s.encode() in data for s in self.special):
+            parts = [ids[x:y] for x, y in zip(places, places[1:], strict=False)]
+            for i, t in enumerate(texts.to_pylist()):
+                if t and any(s in t for s in self.special):  # a special token's string is one token, wherever it stands
+                    parts[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+            ids, places = joined(parts)
+        return ids, places
+
+
+def joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+
+
+class RunMemory:
+    """Ids of runs of bytes that were seen before, by 64-bit hash; bounded, as it forgets all when full."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list[Sequence[int]]], table: np.ndarray = _BYTE_EXACT):
+        """``table``: a number for each byte; bytes that the tokenizer treats alike may share one."""
+        self.encode_runs, self.table = encode, table
         self._forget()
 
     def _forget(self) -> None:
@@ -56,7 +95,7 @@ class RunTokenizer:
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _add(self, keys: list[int], runs: list[bytes]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
+        ids = self.encode_runs(runs)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
         n, m = len(self.known), self.used + len(flat)
@@ -70,28 +109,18 @@ class RunTokenizer:
         self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
         self.used = m
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after another, and the n + 1 places where texts begin."""
-        raw, starts = text_bytes(texts)
+    def encode(self, raw: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray, opens: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the runs ``raw[a:b]``, and where each text begins whose first run is ``first``.
+
+        Runs marked in ``opens`` are told apart from others: ``encode_runs`` gets them with a zero byte before.
+        """
         n = len(raw)
-        kind = _KIND[raw]
-        first = np.zeros(n, bool)
-        if n:
-            edge = np.zeros(n + 1, bool)
-            edge[starts] = True
-            before, x = kind[:-1], kind[1:]
-            first[0] = kind[0] > 0
-            first[1:] = (x > 0) & ((before == 0) | edge[1:-1] | ((before != x) & (before < 4) & (x < 4) & (raw[:-1] != 39)))
-        a = np.flatnonzero(first)
-        last = np.zeros(n, bool)
-        if n:
-            last[-1] = kind[-1] > 0
-            last[:-1] = (kind[:-1] > 0) & ((kind[1:] == 0) | first[1:])
-        b = np.flatnonzero(last) + 1
         with np.errstate(over="ignore"):
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[raw] * _power(_BASE, n), out=sums[1:])
+            np.cumsum(self.table[raw] * _power(_BASE, n), out=sums[1:])
             hashes = mix((sums[b] - sums[a]) * _power(_INVERSE, n + 1)[a])
+        if opens is not None:
+            hashes = np.where(opens, mix(hashes), hashes)
         keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(keys) > REMEMBERED:
             self._forget()
@@ -99,20 +128,13 @@ class RunTokenizer:
         new = [i for i, k in enumerate(names) if k not in self.known]
         if new:
             data = raw.tobytes()
-            self._add([names[i] for i in new], [data[a[where[i]] : b[where[i]]] for i in new])
+            mark = [b"\0" if opens is not None and opens[where[i]] else b"" for i in new]
+            self._add([names[i] for i in new], [m + data[a[where[i]] : b[where[i]]] for m, i in zip(mark, new, strict=True)])
         entry = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[inverse]
         sizes = self.size[entry]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.repeat(self.at[entry] - ends[:-1], sizes) + np.arange(ends[-1])]
-        places = ends[np.searchsorted(a, starts)]
-        odd = [i for i, t in enumerate(texts.to_pylist()) if t and any(s in t for s in self.special)] if any(s.encode() in raw.tobytes() for s in self.special) else []
-        if odd:
-            parts = [ids[places[i] : places[i + 1]] for i in range(len(texts))]
-            for i in odd:  # a special token's string in a text is one token, wherever it stands
-                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
-            places = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-            ids = np.concatenate(parts)
-        return ids, places
+        return ids, ends[first]
 
 
 _tokenizers: dict[str, RunTokenizer] = {}

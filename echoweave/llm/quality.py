@@ -214,3 +214,21 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     scored = found.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, score double")
     remainder = F.coalesce(F.crc32(F.col(key).cast("string")) % 4, F.lit(-1))
     return scored.select(key, (remainder == 2).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.7, **params) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text scores ``threshold`` or more; no join and no shuffle of texts.
+
+    Without usable labels no document is rejected, as nothing is known against any.
+    """
+    fitted = train(materialise(features(docs, key, text)), labels, key, label, **params)
+    if not len(fitted.roots):
+        return docs
+    trees = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in text_blocks(batch, text):
+                yield block.filter(pa.array(trees.value.score(statistics(block.column(text))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

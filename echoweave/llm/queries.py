@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import read
 
@@ -44,6 +43,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentence_pieces import round_trips
+
+    return round_trips(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score
 
@@ -68,7 +75,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_html_extraction, op4_url_filter, op5_best_fit_packing, op7_quality_classifier, op8_lm_scoring, op9_embedding_near_dedup, op10_document_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_html_extraction, op4_url_filter, op5_best_fit_packing, op6_sentencepiece, op7_quality_classifier, op8_lm_scoring, op9_embedding_near_dedup, op10_document_fingerprints)}
 
 #: DuckDB's form of the rules' outcome: the longest rule that fits, straight from their definition.
 _RULES = "(values ('block','com','/en/'), ('allow','example.com','/en/7'), ('block','net','/de/'), ('allow','example.net','/de/8'), ('block','org','/es/')) r(verdict, rhost, rpath)"
