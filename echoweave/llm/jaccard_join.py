@@ -31,6 +31,11 @@ WORDS = 5
 SKETCH = 128
 #: Members of a bucket that each one is paired with at once, beside the least.
 NEAR = 3
+#: Members of a bucket that are compared as one block.
+CHUNK = 1000
+#: A larger bucket counts as hot. Documents that can do without all their hot signatures leave hot buckets, as each of
+#: their links shows in another; only those that cannot meet there.
+HOT = 24
 #: Signatures in one task of the search, and shingles (over all texts) that make as many.
 TASK_SIGNATURES = 4_000_000
 
@@ -57,17 +62,22 @@ def _ways(group: int) -> int:
     return 4 if _HIGH[group] <= 60 else 1
 
 
-def signatures(shingles: np.ndarray) -> np.ndarray:
-    """All signatures of a set of 64-bit shingle hashes (empty for the empty set)."""
+def signatures(shingles: np.ndarray) -> tuple[np.ndarray, int]:
+    """All signatures of a set of 64-bit shingle hashes, and how many of them it can do without.
+
+    A set shares at least ``1 + spare - empty partitions`` signatures of a group with each set it links with there;
+    so it meets them all even if it leaves out one fewer.
+    """
     n = len(shingles)
     if not n:
-        return shingles
+        return shingles, 0
+    slack = 1 << 15
     band = int(np.searchsorted(_HIGH, n))
     out = []
     for group in (band, band - 1):
         if group < 0:
             continue
-        parts, _ = _parts(group)
+        parts, spare = _parts(group)
         for way in range(_ways(group)):
             salt = scramble(2, 1000 + group * 8 + way)
             drawn = mix(shingles ^ salt[0])
@@ -77,7 +87,8 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
                 np.add.at(sums, place, drawn)
                 used = np.flatnonzero(sums)
                 out.append(mix(sums[used] + mix(used.astype(np.uint64) + salt[1])))
-    return np.concatenate(out)
+            slack = min(slack, spare - (parts - len(used)))
+    return np.concatenate(out), max(0, slack)
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
@@ -111,6 +122,7 @@ def _send(docs: DataFrame, k: int, parts: int) -> DataFrame:
         done: set[tuple[int, int]] = set()  # sets that this task has sent; copies link through their digest
         held: list[np.ndarray] = []
         owners: list[int] = []
+        slacks: list[int] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
@@ -121,15 +133,15 @@ def _send(docs: DataFrame, k: int, parts: int) -> DataFrame:
             bounds = np.searchsorted(part[order], np.arange(parts + 1))
             low = (sigs & np.uint64(0xFFFFFFFF)).astype("<u4")[order]
             owner = owner[order]
-            ids = np.array(owners, np.int64)
+            ids, free = np.array(owners, np.int64), np.array(slacks, "<u2")
             rows = []
             for p in np.flatnonzero(np.diff(bounds)).tolist():
                 a, b = bounds[p], bounds[p + 1]
                 who, many = np.unique(owner[a:b], return_counts=True)
-                rows.append((p, low[a:b].tobytes(), ids[who].tobytes(), many.astype("<u4").tobytes()))
-            held.clear(), owners.clear()
+                rows.append((p, low[a:b].tobytes(), ids[who].tobytes(), many.astype("<u4").tobytes(), free[who].tobytes()))
+            held.clear(), owners.clear(), slacks.clear()
             part_col, *rest = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(part_col, pa.int32()), *[pa.array(c, pa.binary()) for c in rest]], names=["part", "sigs", "ids", "many"])
+            return pa.RecordBatch.from_arrays([pa.array(part_col, pa.int32()), *[pa.array(c, pa.binary()) for c in rest]], names=["part", "sigs", "ids", "many", "slack"])
 
         for batch in batches:
             for block in text_blocks(batch, "text"):
@@ -146,8 +158,8 @@ def _send(docs: DataFrame, k: int, parts: int) -> DataFrame:
                     done.add(digest)
                     if len(done) > 500_000:
                         done.clear()
-                    found = signatures(s)
-                    held.append(found), owners.append(doc)
+                    found, slack = signatures(s)
+                    held.append(found), owners.append(doc), slacks.append(slack)
                     total += len(found)
                     if total > 1_500_000:
                         total = 0
@@ -155,27 +167,32 @@ def _send(docs: DataFrame, k: int, parts: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "part int, sigs binary, ids binary, many binary")
+    return docs.mapInArrow(run, "part int, sigs binary, ids binary, many binary, slack binary")
 
 
 def _gathered(sent: DataFrame, parts: int) -> DataFrame:
-    """(bucket, doc_id) of every bucket with two documents or more, each set of members once a partition; and the pairs to try first."""
+    """(bucket, doc_id, members, hot) of every bucket with two documents or more, each set of members once a partition.
+
+    ``hot``: the bucket has more than ``HOT`` documents. Rows of bucket -1 give for a document how many of its
+    signatures here are hot (``members``) and how many it can do without (``hot``).
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+        held: dict[int, list[tuple[bytes, ...]]] = {}
         for batch in batches:
-            for p, *rest in zip(*(batch.column(c).to_pylist() for c in ("part", "sigs", "ids", "many")), strict=True):
+            for p, *rest in zip(*(batch.column(c).to_pylist() for c in ("part", "sigs", "ids", "many", "slack")), strict=True):
                 held.setdefault(p, []).append(tuple(rest))
         while held:
             p, rows = held.popitem()
             sigs = np.concatenate([np.frombuffer(r[0], "<u4") for r in rows])
             docs = np.concatenate([np.repeat(np.frombuffer(r[1], np.int64), np.frombuffer(r[2], "<u4")) for r in rows])
+            slack = np.concatenate([np.repeat(np.frombuffer(r[3], "<u2"), np.frombuffer(r[2], "<u4")) for r in rows])
             del rows
             order = np.lexsort((docs, sigs))
-            sigs, docs = sigs[order], docs[order]
+            sigs, docs, slack = sigs[order], docs[order], slack[order]
             keep = np.ones(len(sigs), bool)
             keep[1:] = (sigs[1:] != sigs[:-1]) | (docs[1:] != docs[:-1])
-            sigs, docs = sigs[keep], docs[keep]
+            sigs, docs, slack = sigs[keep], docs[keep], slack[keep]
             start = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
             size = np.diff(np.append(start, len(sigs)))
             some = size > 1
@@ -183,8 +200,13 @@ def _gathered(sent: DataFrame, parts: int) -> DataFrame:
             if not len(start):
                 continue
             take = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            docs = docs[take]
+            docs, slack = docs[take], slack[take]
             bucket = np.repeat(np.arange(len(start)), size)
+            warm = (size > HOT)[bucket]
+            who, where, times = np.unique(docs[warm], return_index=True, return_counts=True)
+            out = lambda *c: pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).astype(np.int64)) for x in c], names=["bucket", "doc_id", "members", "hot"])
+            if len(who):
+                yield out(np.full(len(who), -1), who, times, slack[warm][where])
             # buckets with equal members say the same: one of them stays
             begin = np.concatenate([[0], np.cumsum(size)[:-1]])
             with np.errstate(over="ignore"):
@@ -193,11 +215,12 @@ def _gathered(sent: DataFrame, parts: int) -> DataFrame:
             stays = np.zeros(len(start), bool)
             stays[first] = True
             docs, bucket = docs[stays[bucket]], bucket[stays[bucket]]
-            name = (np.int64(p) << np.int64(32)) + bucket
+            name, said = (np.int64(p) << np.int64(32)) + bucket, members.view(np.int64)[bucket]
             for at in range(0, len(docs), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(name[at : at + 100_000]), pa.array(docs[at : at + 100_000]), pa.array(members.view(np.int64)[bucket[at : at + 100_000]])], names=["bucket", "doc_id", "members"])
+                some = slice(at, at + 100_000)
+                yield out(name[some], docs[some], said[some], (size > HOT)[bucket[some]])
 
-    return sent.repartition(parts, "part").mapInArrow(run, "bucket long, doc_id long, members long")
+    return sent.repartition(parts, "part").mapInArrow(run, "bucket long, doc_id long, members long, hot long")
 
 
 def _first_pairs(buckets: DataFrame) -> DataFrame:
@@ -242,10 +265,17 @@ def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs with 100 * intersection >= 75 * union, from whole texts, each read for the pairs' documents only."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """A written table of the texts of some documents; the one place where whole texts are shuffled."""
+    return materialise(docs.join(ids.distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The pairs with 100 * intersection >= 75 * union, from whole texts."""
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,6 +295,61 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _apart(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, size, doc_id, c) of the buckets whose members are still in several components c."""
+    member = materialise(buckets.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "members", "doc_id", F.coalesce("component_id", "doc_id").alias("c")))
+    split = member.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.first("members").alias("members"), F.count("*").alias("size")).where("c0 <> c1")
+    split = split.groupBy("members").agg(F.min(F.struct("bucket", "size")).alias("x")).select("x.*")
+    return member.join(split, "bucket").select("bucket", "size", "doc_id", "c")
+
+
+def _across_components(apart: DataFrame, facts: DataFrame, parts: int) -> DataFrame:
+    """Pairs of one bucket and different components that sizes and sketches do not rule out.
+
+    Buckets are cut into chunks of about ``CHUNK`` members, and each pair of chunks is compared as one block; only
+    plausible pairs leave the task.
+    """
+    rows = apart.join(facts.select("doc_id", "n", "sketch"), "doc_id")
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "c", "n", "sketch")
+
+    def block(i: int, j: int, held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        own, docs, c, n, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+        values, many = np.unique(c, return_counts=True)
+        out = []
+        for r in np.flatnonzero(c != values[many.argmax()]).tolist():
+            likely = np.flatnonzero((c != c[r]) & (4 * n >= 3 * n[r]) & (4 * n[r] >= 3 * n) & ((own != own[r]) | (i == j)))
+            if len(likely):
+                differ = np.abs(sketch[likely] - sketch[r]).sum(1, dtype=np.int64)
+                near = docs[likely[7 * differ <= n[likely] + n[r]]]
+                out.append(np.column_stack([np.minimum(near, docs[r]), np.maximum(near, docs[r])]))
+        if out and len(pairs := np.unique(np.concatenate(out), axis=0)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, x])) for x in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, i, j, own, docs, c, n = (batch.column(x).to_numpy() for x in ("bucket", "i", "j", "own", "doc_id", "c", "n"))
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(-1, SKETCH)
+            # counts above the type's largest are cut there, which can only lessen distances
+            sketch = np.minimum(sketch, 16_000).astype(np.int16)
+            cuts = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(bucket)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                name = (bucket[x], i[x], j[x])
+                if name != key:
+                    if held:
+                        yield from block(key[1], key[2], held)
+                    key, held = name, []
+                held.append([z[x:y] for z in (own, docs, c, n, sketch)])
+        if held:
+            yield from block(key[1], key[2], held)
+
+    return rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row whose key is not null.
 
@@ -278,27 +363,22 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # rows that repeat a key: the fuller description stands, as the links of all of them count for one vertex
     facts = facts.groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2", "sketch")).alias("x")).select("doc_id", "x.*")
     copies = facts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
+    copies = materialise(copies)
     same = materialise(facts.join(copies, ["n", "d1", "d2"]).select("a", F.col("doc_id").alias("b")).where("a <> b"))
     total = facts.agg(F.sum("n")).first()[0] or 0
     parts = max(8, -(-int(total) // TASK_SIGNATURES))
-    buckets = materialise(_gathered(_send(own, k, parts), parts))
+    gathered = materialise(_gathered(_send(own, k, parts), parts))
+    buckets = gathered.where("bucket >= 0")
+    tied = gathered.where("bucket < 0").groupBy("doc_id").agg(F.sum("members").alias("used"), F.min("hot").alias("slack")).where("used > slack").select("doc_id")
     spare = partitions_for(spark, 0, 1)
     first = materialise(_plausible(_first_pairs(buckets).repartition(spare, "a", "b").distinct(), facts))
-    links = materialise(_linked(first, own, k))
+    links = materialise(_linked(first, _texts(_ends(first), own), k))
     found = components(links.union(same))
     found = materialise(found)
-    # buckets whose members are still in several components
-    member = buckets.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "members", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    member = materialise(member)
-    split = member.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.first("members").alias("members")).where("c0 <> c1")
-    split = split.groupBy("members").agg(F.min(F.struct("bucket", "c0")).alias("x")).select("x.*")
-    apart = materialise(member.join(split, "bucket"))
-    late = apart.where("c <> c0").select("bucket", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
-    late = late.join(apart.select("bucket", F.col("doc_id").alias("y"), F.col("c").alias("cy")), "bucket").where("cx <> cy")
-    late = late.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialise(_plausible(late, facts))
-    if more.isEmpty():
-        final = found
-    else:
-        final = components(_linked(more, own, k).union(found.select(F.col("component_id").alias("a"), F.col("id").alias("b"))))
+    open_ = buckets.where("hot = 0").unionByName(buckets.where("hot = 1").join(materialise(tied), "doc_id", "left_semi"))
+    late = materialise(_across_components(_apart(open_, found), facts, spare).distinct().join(first, ["a", "b"], "left_anti"))
+    final = found
+    if not late.isEmpty():
+        more = materialise(_linked(late, _texts(_ends(late), own), k))
+        final = components(more.union(found.select(F.col("component_id").alias("a"), F.col("id").alias("b"))))
     return facts.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
