@@ -192,8 +192,8 @@ def _agree(x: bytes, y: bytes) -> int:
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start_word, n_words, other_id, other_start_word, later) of every repeated stretch of 50 words or more.
 
-    ``later``: the partner comes before it in (document, place) order; the first copy of a passage has ``later``
-    false. Words are those of :class:`Words` (A-Z lower-cased). Stretches may overlap. Null texts and texts of fewer
+    ``later``: the partner comes before it in (document, place) order. The first copy of a passage never has it; another
+    copy may also have rows without it, from places that only later copies mark. Words are those of :class:`Words` (A-Z lower-cased). Stretches may overlap. Null texts and texts of fewer
     than 50 words have none; rows without a key are left out; rows that repeat a key count once, with the greatest
     text.
     """
