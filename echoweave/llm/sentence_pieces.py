@@ -61,12 +61,17 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """What the model's merges make of a string: the best-scored pair first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.weight.get(parts[i] + parts[i + 1], float("inf")))
-            if parts[best] + parts[best + 1] not in self.weight:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        parts, weight = list(text), self.weight
+        none = float("inf")
+        costs = [weight.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while costs and (least := min(costs)) < none:
+            i = costs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = weight.get(parts[i - 1] + parts[i], none)
+            if i < len(costs):
+                costs[i] = weight.get(parts[i] + parts[i + 1], none)
         return parts
 
     def adjoin(self, a: str, b: str) -> bool:
@@ -79,30 +84,33 @@ class Transducer:
         return known
 
     def shortest(self, text: str) -> list[str]:
-        """The path of least weight through text o pieces o filter, as strings; a state is (place, last piece)."""
+        """The path of least weight through text o pieces o filter, as strings; a state is (place, last piece).
+
+        The filter leaves one path to each place, the merges' own result for the text up to there, so a place is
+        settled by the first path that reaches it.
+        """
         n = len(text)
-        states: list[dict[str, tuple[float, str | None]]] = [{} for _ in range(n + 1)]
-        states[0][""] = (0.0, None)
+        last: list[str | None] = [None] * (n + 1)
+        last[0] = ""
+        verdicts, adjoin, trie = self.verdicts, self.adjoin, self.trie
         for i in range(n):
-            if not states[i]:
+            before = last[i]
+            if before is None:
                 continue
-            node, j, ends = self.trie, i, []
+            node, j = trie, i
             while j < n and (node := node.get(text[j])) is not None:
                 j += 1
-                if "" in node:
-                    ends.append(node[""])
-            if not ends or len(ends[0]) > 1:
-                ends.append(text[i])  # an unknown character: its bytes
-            for piece in ends:
-                weight = self.weight.get(piece, 1e6)
-                for last, (cost, _) in states[i].items():
-                    if (not last or self.adjoin(last, piece)) and cost + weight < states[i + len(piece)].get(piece, (float("inf"),))[0]:
-                        states[i + len(piece)][piece] = (cost + weight, last)
+                piece = node.get("")
+                if piece is not None and last[j] is None:
+                    good = True if not before else verdicts.get((before, piece))
+                    if good if good is not None else adjoin(before, piece):
+                        last[j] = piece
+            if last[i + 1] is None and text[i] not in self.id:
+                last[i + 1] = text[i]  # an unknown character: its bytes
         path, at = [], n
-        piece = min(states[n], key=lambda p: states[n][p][0])
         while at:
-            path.append(piece)
-            piece, at = states[at][piece][1], at - len(piece)
+            path.append(last[at])
+            at -= len(path[-1])
         return path[::-1]
 
     def chunk(self, text: str, opens: bool) -> list[int]:
