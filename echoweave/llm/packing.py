@@ -13,6 +13,7 @@ import os
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,11 @@ CAPACITY = 4096
 END_ID = 1
 #: Runs of text whose ids a Python worker remembers; beyond it, it forgets all and starts anew.
 REMEMBERED = 600_000
+#: Words of letters that are encoded as one line.
+WORDS_A_LINE = 1000
 SALTS = 256
+#: Ids of runs, and of each run its first place and its number of ids.
+Laid = tuple[np.ndarray, np.ndarray, np.ndarray]
 _BYTE_EXACT = scramble(256, 3)
 _KIND = np.full(256, 3, np.int8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -47,9 +52,38 @@ class RunTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory = RunMemory(lambda runs: [x.ids for x in self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)], _BYTE)
+        self.memory = RunMemory(self.encode_runs, _BYTE)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def encode_runs(self, runs: list[bytes]) -> Laid:
+        """Runs of letters are one word each: they are encoded in lines, which the ids that close a word cut again.
+
+        A line with more closing ids than words holds a word that the tokenizer splits; its words are encoded apart.
+        """
+        texts = [r.decode() for r in runs]
+        word = np.fromiter(map(str.isalpha, texts), bool, len(texts))
+        words = np.flatnonzero(word)
+        lines = [words[i : i + WORDS_A_LINE] for i in range(0, len(words), WORDS_A_LINE)]
+        found = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in line]) for line in lines], add_special_tokens=False)
+        at, size, parts, used = np.empty(len(runs), np.int64), np.empty(len(runs), np.int64), [], 0
+        for line, x in zip(lines, found, strict=True):
+            ids = np.array(x.ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(line):
+                size[line] = np.diff(ends, prepend=0)
+                at[line] = used + ends - size[line]
+                parts.append(ids)
+                used += len(ids)
+            else:
+                word[line] = False
+        rest = np.flatnonzero(~word)
+        ids, begin, size[rest] = laid([x.ids for x in self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)])
+        at[rest] = used + begin
+        return np.concatenate([*parts, ids]), at, size
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and the n + 1 places where texts begin."""
         raw, starts = text_bytes(texts)
@@ -80,10 +114,16 @@ def joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
 
 
+def laid(ids: list[Sequence[int]]) -> Laid:
+    """Lists of ids one after another, and where each begins and how many it has."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes
+
+
 class RunMemory:
     """Ids of runs of bytes that were seen before, by 64-bit hash; bounded, as it forgets all when full."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[Sequence[int]]], table: np.ndarray = _BYTE_EXACT):
+    def __init__(self, encode: Callable[[list[bytes]], Laid], table: np.ndarray = _BYTE_EXACT):
         """``table``: a number for each byte; bytes that the tokenizer treats alike may share one."""
         self.encode_runs, self.table = encode, table
         self._forget()
@@ -95,16 +135,14 @@ class RunMemory:
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _add(self, keys: list[int], runs: list[bytes]) -> None:
-        ids = self.encode_runs(runs)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+        flat, begin, sizes = self.encode_runs(runs)
         n, m = len(self.known), self.used + len(flat)
         while m > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while n + len(keys) > len(self.at):
             self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
         self.pool[self.used : m] = flat
-        self.at[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.at[n : n + len(keys)] = self.used + begin
         self.size[n : n + len(keys)] = sizes
         self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
         self.used = m

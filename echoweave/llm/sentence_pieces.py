@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_blocks, text_bytes
-from .packing import RunMemory, joined
+from .packing import RunMemory, joined, laid
 
 SIGN = "▁"
 #: Pairs of pieces whose verdict a worker remembers.
@@ -49,7 +49,7 @@ class Transducer:
                 node = node.setdefault(c, {})
             node[""] = p
         self.verdicts: dict[tuple[str, str], bool] = {}
-        self.memory = RunMemory(lambda runs: [self.chunk(r[1:].decode(), True) if r[:1] == b"\0" else self.chunk(r.decode(), False) for r in runs])
+        self.memory = RunMemory(lambda runs: laid([self.chunk(r[1:].decode(), True) if r[:1] == b"\0" else self.chunk(r.decode(), False) for r in runs]))
         spelled = [b"" for _ in range(n)]
         for i, p in self.piece.items():
             spelled[i] = p.replace(SIGN, " ").encode()
