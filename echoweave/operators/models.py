@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keyed_random import uniform
+from ..schemas import KEYS
+from .pairs import fold
+from .scores import auroc
+
+#: Least distance to a cell's edge, and the separation at which closeness falls to 1/e.
+EDGE_MIN, CLOSE_SCALE = 1e-3, 5.0
+
 
 def bulk_fit(df: DataFrame, distance: str, error: str) -> DataFrame:
     """Slope and intercept of the bulk range error; short ranges with tiny errors are left out."""
@@ -47,3 +58,153 @@ def fit_detection(train: DataFrame, features: Sequence[str], label: str = "detec
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], name: str = "p") -> DataFrame:
     """Adds the probability of label 1; every column of ``df`` stays."""
     return model.transform(_with_flags(df, features)).select(*df.columns, vector_to_array("probability")[1].alias(name))
+
+
+def fit_outcomes(train: DataFrame, features: Sequence[str], label: str, classes: int, trees: int = 10, seed: int = 42) -> list[PipelineModel]:
+    """One boosted model for each of the outcomes 0 to classes - 1 against all others, as for pairs of targets."""
+    flagged = _with_flags(train, features)
+    return [
+        Pipeline(stages=[*_prepare(features), GBTClassifier(featuresCol="x", labelCol="own", maxIter=trees, maxDepth=3, seed=seed)]).fit(flagged.withColumn("own", (F.col(label) == c).cast("int")))
+        for c in range(classes)
+    ]
+
+
+def predict_outcomes(models: Sequence[PipelineModel], df: DataFrame, features: Sequence[str], prefix: str = "p") -> DataFrame:
+    """Adds ``p0``, ``p1``, ...: the models' probabilities divided by their sum."""
+    out = df
+    for c, model in enumerate(models):
+        out = predict(model, out, features, f"__{c}")
+    total = sum((F.col(f"__{c}") for c in range(1, len(models))), F.col("__0"))
+    return out.select(*df.columns, *[(F.col(f"__{c}") / total).alias(f"{prefix}{c}") for c in range(len(models))])
+
+
+def cross_fit(df: DataFrame, features: Sequence[str], label: str, classes: int, folds: int = 5, trees: int = 20, seed: int = 42) -> tuple[list[PipelineModel], DataFrame]:
+    """Forests fitted without each fold of scenes in turn, and the rows with ``raw``: log probabilities from the forest that has not seen them."""
+    placed = _with_flags(df, features).withColumn("fold", fold(folds))
+    # a class that a fold lacks still has its place in the vector
+    models, scored = [], []
+    for k in range(folds):
+        forest = RandomForestClassifier(featuresCol="x", labelCol=label, numTrees=trees, maxDepth=5, seed=seed)
+        models.append(Pipeline(stages=[*_prepare(features), forest]).fit(placed.where(F.col("fold") != k)))
+        scored.append(models[k].transform(placed.where(F.col("fold") == k)).select(*df.columns, "fold", _log_probabilities(classes).alias("raw")))
+    return models, reduce(DataFrame.unionByName, scored)
+
+
+def _log_probabilities(classes: int) -> Column:
+    p = vector_to_array("probability")
+    return F.array(*[F.ln(F.greatest(F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)), F.lit(1e-6))) for i in range(classes)])
+
+
+def biased(raw: str, bias: Sequence[float]) -> list[Column]:
+    """softmax(raw + bias)."""
+    e = [F.exp(F.col(raw)[i] + float(b)) for i, b in enumerate(bias)]
+    total = sum(e[1:], e[0])
+    return [x / total for x in e]
+
+
+def fit_bias(df: DataFrame, raw: str, label: str, classes: int, steps: int = 25) -> list[float]:
+    """Biases (the first is 0) that minimise the mean negative log-likelihood of softmax(raw + bias).
+
+    Damped Newton steps; each takes loss, gradient and Hessian from one aggregate over the rows.
+    """
+    bias, ridge, last = np.zeros(classes), 1e-6, np.inf
+    step = np.zeros(classes - 1)
+    for _ in range(steps):
+        q = biased(raw, bias)
+        picked = F.coalesce(*[F.when(F.col(label) == i, q[i]) for i in range(classes)])
+        pairs_ = [(i, j) for i in range(1, classes) for j in range(i, classes)]
+        row = df.agg(
+            F.avg(-F.ln(picked + 1e-12)), *[F.avg(q[i] - (F.col(label) == i).cast("int")) for i in range(1, classes)], *[F.avg((q[i] if i == j else F.lit(0.0)) - q[i] * q[j]) for i, j in pairs_]
+        ).first()
+        if row[0] is None:
+            return bias.tolist()
+        if row[0] > last + 1e-12:  # too far: half the way back
+            step /= 2
+            bias[1:] -= step
+            continue
+        last = row[0]
+        gradient, hessian = np.array(row[1:classes]), np.zeros((classes - 1, classes - 1))
+        for (i, j), h in zip(pairs_, row[classes:], strict=True):
+            hessian[i - 1, j - 1] = hessian[j - 1, i - 1] = h
+        if np.abs(gradient).max() < 1e-9:
+            break
+        step = -np.linalg.solve(hessian + ridge * np.eye(classes - 1), gradient)
+        bias[1:] += step
+    return bias.tolist()
+
+
+def slip_features(df: DataFrame, farthest: float) -> DataFrame:
+    """Two rows a target, one for each axis: ``edge``, ``close``, ``rss`` and whether it ``slipped``.
+
+    ``farthest`` is the largest separation in training; it stands for that of a target without neighbour.
+    """
+    sides = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"abs_frac_{a}").alias("abs_frac"), F.col(f"slip_{a}").alias("slip")) for a in "uv"])
+    kept = [c for c in df.columns if c not in ("axis", "abs_frac", "slip")]
+    return df.select(*kept, F.inline(sides)).withColumns(
+        {
+            "edge": F.ln(0.5 - F.col("abs_frac") + EDGE_MIN),
+            "close": F.exp(-F.coalesce("nn_norm_range_sep", F.lit(farthest)) / CLOSE_SCALE),
+            "rss": F.col("rss_max"),
+            "slipped": (F.col("slip") != 0).cast("int"),
+        }
+    )
+
+
+def fit_slip(train: DataFrame) -> tuple[PipelineModel, PipelineModel]:
+    """P(slip) from rows of :func:`slip_features`, and the size of slips (1 to 4, larger ones as 4) from range and power."""
+    rows = train.where("slipped is not null")
+    whether = LogisticRegression(featuresCol="x", labelCol="slipped", regParam=1 / (10 * max(1, rows.count())), standardization=False)
+    own = rows.where("slipped = 1").withColumn("size", F.least(F.abs("slip"), F.lit(4)).cast("int"))
+    size = LogisticRegression(featuresCol="x", labelCol="size", family="multinomial", regParam=1 / max(1, own.count()))
+    made = []
+    for model, data, features in ((whether, rows, ("edge", "close", "rss")), (size, own, ("log_R", "rss_max"))):
+        made.append(Pipeline(stages=[*_prepare(features), model]).fit(_with_flags(data, features)))
+    return made[0], made[1]
+
+
+def fit_quantiles(train: DataFrame, features: Sequence[str], target: str, levels: Sequence[float], trees: int = 10, depth: int = 4, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
+    """A quantile forest: the trees split for the mean, and each leaf keeps quantiles of the targets that reach it.
+
+    Leaf quantiles are approximate aggregates with bounded state, so a large leaf needs no task to hold its rows.
+    """
+    forest = RandomForestRegressor(featuresCol="x", labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=20, leafCol="leaf", seed=seed)
+    model = Pipeline(stages=[*_prepare(features), forest]).fit(_with_flags(train, features))
+    leaves = _leaves(model, train, features).groupBy("tree", "leaf").agg(F.percentile_approx(target, [float(x) for x in levels], 10000).alias("q"))
+    return model, leaves
+
+
+def _leaves(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    assert isinstance(model.stages[-1], RandomForestRegressionModel)
+    return model.transform(_with_flags(df, features)).select(*df.columns, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
+
+
+def predict_quantiles(model: PipelineModel, leaves: DataFrame, df: DataFrame, features: Sequence[str], keys: Sequence[str], levels: int) -> DataFrame:
+    """(keys, ``q``): the trees' quantiles averaged level by level and put in order. There are at most trees x 2^depth leaves."""
+    hit = _leaves(model, df.select(*keys, *features), features).join(F.broadcast(leaves), ["tree", "leaf"])
+    return hit.groupBy(*keys).agg(F.array_sort(F.array(*[F.avg(F.col("q")[i]) for i in range(levels)])).alias("q"))
+
+
+def two_sample(real: DataFrame, drawn: DataFrame, features: Sequence[str], folds: int = 5, trees: int = 20, seed: int = 42) -> DataFrame:
+    """How well boosted trees tell real rows from drawn ones: out-of-fold AUROC and accuracy. Copies of a scene share a fold."""
+    both = real.select(*KEYS, *features, F.lit(1).alias("real")).unionByName(drawn.select(*KEYS, *features, F.lit(0).alias("real"))).withColumn("fold", fold(folds))
+    scored = []
+    for k in range(folds):
+        model = Pipeline(stages=[*_prepare(features), GBTClassifier(featuresCol="x", labelCol="real", maxIter=trees, maxDepth=3, seed=seed)]).fit(_with_flags(both.where(F.col("fold") != k), features))
+        scored.append(predict(model, both.where(F.col("fold") == k), features))
+    out = reduce(DataFrame.unionByName, scored).select("real", "p")
+    accuracy = out.agg(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("real")).cast("int")).alias("accuracy")).first()["accuracy"]
+    return auroc(out, "p", "real").withColumn("accuracy", F.lit(accuracy))
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Loss of AUROC when one feature's values are dealt anew among the rows, for each feature."""
+    from .ranks import ordinal
+
+    base = auroc(predict(model, df, features), "p", label).first()["auroc"]
+    rows = []
+    for f in features:
+        given = ordinal(df.withColumn("__u", uniform(f"deal_{f}", *keys)), "__u", keys).drop("__u", "rank", "n", f)
+        values = ordinal(df.select(*keys, f).withColumn("__u", uniform(f"take_{f}", *keys)), "__u", keys).select("row", f)
+        after = auroc(predict(model, given.join(values, "row").drop("row"), features), "p", label).first()["auroc"]
+        rows.append((f, None if base is None else base - after))
+    return df.sparkSession.createDataFrame(rows, "feature string, loss double")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from math import lgamma
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -153,3 +156,85 @@ def null_ece(df: DataFrame, p: str, bins: int, simulations: int, seed: int = 42)
     hit = (uniform("null", *KEYS, "sim", seed=seed) < F.col(p)).cast("int")
     sums = drawn.groupBy("sim", "bin").agg(F.sum(p).alias("sp"), F.sum(hit).alias("sy"), F.first("n").alias("n"))
     return sums.groupBy("sim").agg((F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.first("n")).alias("ece"))
+
+
+def anderson_darling(df: DataFrame, p: str, y: str) -> DataFrame:
+    """Statistic of the two-sample Anderson-Darling test with mid-ranks, from counts of distinct scores."""
+    counts = df.groupBy(p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg")).withColumn("l", F.col("pos") + F.col("neg"))
+    run = _running(counts, p, ["pos", "neg", "l"])
+    big, tied = F.col("all_l"), F.col("l")
+    below = F.col("cum_l") - tied / 2
+    weight = tied / big / (below * (big - below) - big * tied / 4)
+    terms = []
+    for c in ("pos", "neg"):
+        gap = big * (F.col(f"cum_{c}") - F.col(c) / 2) - F.col(f"all_{c}") * below
+        terms.append(F.sum(F.when(tied < big, weight * gap * gap / F.col(f"all_{c}"))))
+    return run.agg(((F.max(big) - 1) / F.max(big) * (terms[0] + terms[1])).alias("statistic"))
+
+
+def wasserstein_null(df: DataFrame, value: str, member: str, real: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Is the real sample farther from the draws than they are from each other?
+
+    ``member`` numbers equally large samples, ``real`` is the real one. Samples are sorted apart; values of one rank
+    meet in a window of as many rows as there are members, where prefix sums give the distances to all others.
+    Returns (observed, p).
+    """
+    placed = ordinal(df, value, keys, [member]).select(member, "row", value)
+    at_rank = W.partitionBy("row").orderBy(value, member)
+    before, i, m = F.sum(value).over(at_rank.rowsBetween(W.unboundedPreceding, 0)), F.row_number().over(at_rank), F.count("*").over(W.partitionBy("row"))
+    total = F.sum(value).over(W.partitionBy("row"))
+    away = placed.select(member, (F.col(value) * (2 * i - m) + total - 2 * before).alias("d"), (m - 1).alias("others"))
+    means = away.groupBy(member).agg(F.avg(F.col("d") / F.col("others")).alias("d"))
+    split = means.agg(F.max(F.when(F.col(member) == real, F.col("d"))).alias("observed"), F.collect_list(F.when(F.col(member) != real, F.col("d"))).alias("null"))
+    return split.select("observed", ((1 + F.size(F.filter("null", lambda x: x >= F.col("observed")))) / (1 + F.size("null"))).alias("p"))
+
+
+def _beta_share(a: float, b: float, x: float) -> float:
+    """Share of a beta distribution below x, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    c, d, value = 1.0, 0.0, 1.0
+    for i in range(400):
+        m = i // 2
+        t = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + t * d or 1e-300)
+        c = 1 + t / c or 1e-300
+        value *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return (value - 1) * np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+
+
+def _beta_quantile(a: float, b: float, share: float) -> float:
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _beta_share(a, b, mid) < share else (low, mid)
+    return (low + high) / 2
+
+
+def rate_bounds(df: DataFrame, feature: str, p: str, y: str, bins: int, alpha: float = 0.05, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Observed rate, its Clopper-Pearson bounds and the mean prediction in bins of equal mass of a covariate.
+
+    Rows without the covariate are left out. Python sees one row for each bin.
+    """
+    sliced = ordinal(df.where(F.col(feature).isNotNull()), feature, keys).groupBy(tile(bins).alias("bin"))
+    sums = sliced.agg(F.count("*").alias("n"), F.sum(y).cast("long").alias("hits"), F.avg(feature).alias("middle"), F.avg(y).alias("rate"), F.avg(p).alias("mean_p"))
+
+    def bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f["low"] = [0.0 if not k else _beta_quantile(k, n - k + 1, alpha / 2) for n, k in zip(f.n, f.hits, strict=True)]
+            f["high"] = [1.0 if k == n else _beta_quantile(k + 1, n - k, 1 - alpha / 2) for n, k in zip(f.n, f.hits, strict=True)]
+            yield f
+
+    return sums.mapInPandas(bound, sums.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", low double, high double")
+
+
+def score_table(df: DataFrame, p: str, y: str, model: str = "model", bins: int = 15) -> DataFrame:
+    """Brier score, ECE, Murphy parts and AUROC of several models at once: one row per model and metric."""
+    by = [model]
+    parts = brier(df, p, y, by).join(ece(df, p, y, bins, by=by), by).join(murphy(df, p, y, bins, by), by).join(auroc(df, p, y, by), by)
+    names = ("brier", "ece", "reliability", "resolution", "uncertainty", "auroc")
+    return parts.select(model, F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])))

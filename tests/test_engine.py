@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from echoweave.functions.keyed_random import uniform
-from echoweave.operators import features, pairs, ranks, scores
-from echoweave.plans import queries
+from echoweave.operators import draws, features, models, pairs, ranks, scores
+from echoweave.plans import draw_queries, queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["geometry_features", "multipath_features", "reassemble", "ece", "auroc", "murphy", "sample_categorical", "crps"])
+@pytest.mark.parametrize("name", ["geometry_features", "multipath_features", "reassemble", "ece", "auroc", "murphy", "sample_categorical", "crps", "sample_bulk", "sample_nonbulk", "sample_angles", "sample_gaussian", "anderson_darling", "w1_null", "slip_rows"])
 def test_against_duckdb(spark, duck, name):
     df = queries.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
@@ -75,3 +75,39 @@ def test_path_without_power_is_counted_not_used(spark):
     df = spark.createDataFrame(rows, "scenario_id long, drop_id long, target_id long, PathRSS double, PathDelay double, PathAOA double, PathZOA double")
     (r,) = features.multipath(df).collect()
     assert (r.target_id, r.n_mpc, r.n_mpc_dropped, r.rss_std, r.delay_min, r.k_factor_db) == (1, 1, 1, 0.0, 1.0, 60.0)
+
+
+def test_rate_bounds_of_known_counts(spark):
+    rows = [(0, 0, i, float(i), 0.5, int(i < 3)) for i in range(10)]
+    df = spark.createDataFrame(rows, "scenario_id long, drop_id long, target_id long, f double, p double, y int")
+    (r,) = scores.rate_bounds(df, "f", "p", "y", 1).collect()
+    assert (r.low, r.high) == (pytest.approx(0.066740, abs=1e-5), pytest.approx(0.652453, abs=1e-5))
+    ends = scores.rate_bounds(df, "f", "p", "y", 10).collect()
+    assert all((r.low == 0.0 if r.hits == 0 else r.high == 1.0) for r in ends)
+
+
+def test_pick_from_empty_stratum_is_null(spark):
+    table = draws.empirical(spark.createDataFrame([(0, 0, 1, 1, 5.0)], "scenario_id long, drop_id long, target_id long, s int, error double"), "error", ["s"])
+    df = spark.createDataFrame([(1,), (2,)], "s int")
+    assert {r.s: r.error for r in draws.pick(df, table, F.lit(0.7), ["s"]).collect()} == {1: 5.0, 2: None}
+
+
+@pytest.mark.parametrize(("region", "error", "u", "wanted"), [(0, 0.1, 0.9, 0.1), (1, 1.84, 1.0, 1.81), (1, 1.6, 1.0, 1.63), (2, -2.24, 0.0, -2.18), (4, -2.3, 1.0, -2.45), (5, 1.39, 1.0, 1.36), (5, -1.54, 0.0, -1.51), (3, 1.9, 0.0, 2.0)])
+def test_jitter_stays_in_its_regime(spark, region, error, u, wanted):
+    df = spark.createDataFrame([(error, region, u)], "e double, r int, u double")
+    assert df.select(draws.jittered(F.col("e"), F.col("r"), F.col("u")).alias("x")).first().x == pytest.approx(wanted)
+
+
+def test_bias_restores_class_shares(spark):
+    rows = [([0.0, 0.0, 0.0], c) for c, n in enumerate((6, 3, 1)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "raw array<double>, y int")
+    bias = models.fit_bias(df, "raw", "y", 3)
+    shares = df.select(*[p.alias(str(i)) for i, p in enumerate(models.biased("raw", bias))]).first()
+    assert list(shares) == pytest.approx([0.6, 0.3, 0.1], abs=1e-3)
+
+
+def test_quantile_draws_are_linear_and_clamped(spark):
+    df = spark.createDataFrame([(0.05,), (0.5,), (0.99,)], "u double")
+    q = F.array(F.lit(0.0), F.lit(1.0), F.lit(3.0))
+    got = [r.x for r in df.select(F.ln(draws.quantile_draws([0.1, 0.4, 0.6], q, F.col("u"))).alias("x")).collect()]
+    assert got == pytest.approx([0.0, 2.0, 3.0])
