@@ -35,11 +35,11 @@ def empirical(df: DataFrame, value: str, by: Sequence[str] = (), keys: Sequence[
 def pick(df: DataFrame, table: DataFrame, u: Column, by: Sequence[str] = ()) -> DataFrame:
     """Adds one value of :func:`empirical` for the number u of each row; null where the row's stratum is empty.
 
-    Only the sizes of strata are broadcast (one row each); the values are found by a join on the place.
+    The values are found by a join on the place; Spark broadcasts the sizes of strata only where they are few.
     """
     sizes = table.where("k = 0").select(*by, "size")
     if by:
-        placed = df.join(F.broadcast(sizes), list(by), "left")
+        placed = df.join(sizes, list(by), "left")
     else:
         only = sizes.first()
         placed = df.withColumn("size", F.lit(only["size"] if only else None).cast("long"))

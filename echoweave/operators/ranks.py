@@ -23,7 +23,7 @@ def ordinal(df: DataFrame, value: str, keys: Sequence[str], by: Sequence[str] =
     before = sizes.withColumns({"__before": F.sum("__c").over(within) - F.col("__c"), "n": F.sum("__c").over(W.partitionBy(*by))}).drop("__c")
     inside = W.partitionBy(*by, "__b").orderBy(value, *keys)
     ties = W.partitionBy(*by, "__b").orderBy(value)
-    joined = dealt.join(F.broadcast(before), [*by, "__b"])
+    joined = dealt.join(before if by else F.broadcast(before), [*by, "__b"])
     return joined.withColumns({"row": F.row_number().over(inside) + F.col("__before"), "rank": F.rank().over(ties) + F.col("__before")}).drop("__b", "__before")
 
 

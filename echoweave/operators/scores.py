@@ -93,7 +93,7 @@ def _running(counts: DataFrame, value: str, columns: Sequence[str], by: Sequence
     order = W.partitionBy(*by).orderBy("__b")
     sizes = sizes.withColumns({f"__before_{c}": F.sum(f"__{c}").over(order) - F.col(f"__{c}") for c in columns} | {f"all_{c}": F.sum(f"__{c}").over(W.partitionBy(*by)) for c in columns}).drop(*[f"__{c}" for c in columns])
     inside = W.partitionBy(*by, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return dealt.join(F.broadcast(sizes), [*by, "__b"]).withColumns({f"cum_{c}": F.sum(c).over(inside) + F.col(f"__before_{c}") for c in columns}).drop("__b", *[f"__before_{c}" for c in columns])
+    return dealt.join(sizes if by else F.broadcast(sizes), [*by, "__b"]).withColumns({f"cum_{c}": F.sum(c).over(inside) + F.col(f"__before_{c}") for c in columns}).drop("__b", *[f"__before_{c}" for c in columns])
 
 
 def best_f1(df: DataFrame, p: str, y: str) -> DataFrame:
