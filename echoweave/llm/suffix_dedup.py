@@ -1,11 +1,13 @@
 """Repeated passages by sparse suffix arrays.
 
-Of a text's suffixes only those at minimiser places stay: in every window of ``WINDOW`` consecutive ``GRAM``-word grams
-the least hash marks its place, so equal passages mark equal places. The suffixes of the corpus are sorted by the hash
-of their first ``PREFIX`` words (then document and place) and neighbours are compared. As
-``WINDOW - 1 + PREFIX <= MIN_WORDS``, every repeated passage of ``MIN_WORDS`` words holds a marked suffix whose prefix
-lies in it. Neighbours that agree in consecutive places form runs; the words around a run's ends in both documents,
-fetched for the runs alone, extend the match to the left and to the right.
+Of a text's suffixes only those at minimiser places are sorted at first: in every window of ``WINDOW`` consecutive
+``GRAM``-word grams the least hash marks its place, so equal passages mark equal places. As
+``WINDOW - 1 + PREFIX <= MIN_WORDS``, every repeated passage of ``MIN_WORDS`` words holds a marked suffix whose first
+``PREFIX`` words lie in it, and sorting by their hash finds the marks that occur again. Around these, the suffixes at
+all places are sorted by the hash of their first ``MIN_WORDS`` words (then document and place), so neighbours share a
+whole passage and no shorter fragment can stand between two copies. Consecutive places with the same partner form
+runs. Where the partner changes from one place to the next, the words beside the run are fetched for both documents,
+in growing windows, and the match is extended to the left and to the right until words differ.
 """
 
 from __future__ import annotations
@@ -21,11 +23,28 @@ from pyspark.sql import functions as F
 from .common import Words, materialise, partitions_for, text_blocks
 
 MIN_WORDS, PREFIX, GRAM, WINDOW = 50, 32, 8, 18
-#: Words beside a run that can still match: before it fewer than a window, after it fewer than a window and a prefix.
-LEFT, RIGHT = WINDOW, WINDOW + PREFIX
+#: Words fetched beside an open end of a run at first, and how many times more if all of them agree.
+BESIDE, GROWTH = 64, 16
 SUFFIX = "h long, doc_id long, pos int"
 
 
+def _minimisers(words: Words, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places where a window of grams lies in one text, and the place that each such window marks."""
+    grams = words.grams(GRAM)
+    if len(grams) < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.arange(len(grams) - WINDOW + 1)
+    starts = starts[owner[starts] == owner[starts + WINDOW + GRAM - 2]]
+    views = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
+    least = [part + views[part].argmin(1) for part in (starts[at : at + (1 << 16)] for at in range(0, len(starts), 1 << 16))]
+    return starts, np.concatenate(least) if least else starts
+
+
+def _suffix_batch(words: Words, owner: np.ndarray, ids: np.ndarray, hashes: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    own = owner[place]
+    return pa.RecordBatch.from_arrays([pa.array(hashes[place].view(np.int64)), pa.array(ids[own]), pa.array((place - words.first[own]).astype(np.int32))], names=["h", "doc_id", "pos"])
+
+
 def _suffixes(docs: DataFrame) -> DataFrame:
     """(h, doc_id, pos) of the marked suffixes of ``PREFIX`` words or more, in texts of ``MIN_WORDS`` or more."""
 
@@ -33,30 +52,41 @@ def _suffixes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for block in text_blocks(batch, "text"):
                 words = Words(block.column("text"))
-                grams, long_ = words.grams(GRAM), words.grams(PREFIX)
-                if len(long_) < 1 or len(grams) < WINDOW:
-                    continue
-                owner = np.repeat(np.arange(block.num_rows), np.diff(words.first))
-                starts = np.arange(len(grams) - WINDOW + 1)
-                inside = owner[starts] == owner[starts + WINDOW + GRAM - 2]
-                starts = starts[inside]
-                views = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-                marked = np.zeros(len(grams), bool)
-                for at in range(0, len(starts), 1 << 16):
-                    part = starts[at : at + (1 << 16)]
-                    marked[part + views[part].argmin(1)] = True
                 many = np.diff(words.first)
-                place = np.flatnonzero(marked)
+                owner = np.repeat(np.arange(block.num_rows), many)
+                long_ = words.grams(PREFIX)
+                place = np.unique(_minimisers(words, owner)[1])
                 place = place[place < len(long_)]
-                own = owner[place]
-                good = (owner[place + PREFIX - 1] == own) & (many[own] >= MIN_WORDS)
-                place, own = place[good], own[good]
-                ids = block.column("doc_id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(long_[place].view(np.int64)), pa.array(ids[own]), pa.array((place - words.first[own]).astype(np.int32))], names=["h", "doc_id", "pos"])
+                place = place[(owner[place + PREFIX - 1] == owner[place]) & (many[owner[place]] >= MIN_WORDS)]
+                if len(place):
+                    yield _suffix_batch(words, owner, block.column("doc_id").to_numpy(), long_, place)
 
     return docs.mapInArrow(run, SUFFIX)
 
 
+def _passages(marked: DataFrame) -> DataFrame:
+    """(h, doc_id, pos) of the suffixes of ``MIN_WORDS`` words or more whose window marks one of the text's ``marks``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in text_blocks(batch, "text"):
+                words = Words(block.column("text"))
+                owner = np.repeat(np.arange(block.num_rows), np.diff(words.first))
+                long_ = words.grams(MIN_WORDS)
+                starts, least = _minimisers(words, owner)
+                marks = block.column("marks")
+                at = marks.flatten().to_numpy() + np.repeat(words.first[:-1], marks.value_lengths().to_numpy())
+                known = np.zeros(len(owner), bool)
+                known[at] = True
+                place = starts[known[least]]
+                place = place[place < len(long_)]
+                place = place[owner[place + MIN_WORDS - 1] == owner[place]]
+                if len(place):
+                    yield _suffix_batch(words, owner, block.column("doc_id").to_numpy(), long_, place)
+
+    return marked.select("doc_id", "text", "marks").mapInArrow(run, SUFFIX)
+
+
 def _neighbours(sorted_: DataFrame) -> DataFrame:
     """Suffixes that agree with a neighbour in sorted order, with that neighbour; ``later``: it stands before.
 
@@ -140,8 +170,20 @@ def _across(found: DataFrame) -> DataFrame:
     return kept.select("doc_id", "pos", "other", "other_pos", "later").union(mended.select("doc_id", "pos", "other", "other_pos", "later"))
 
 
+def _linked(suffixes: DataFrame, parts: int) -> DataFrame:
+    """The suffixes whose hash occurs again, each with the place before it of that hash (``later``), or else after it."""
+    ordered = suffixes.repartitionByRange(parts, "h", "doc_id", "pos").sortWithinPartitions("h", "doc_id", "pos")
+    return _across(materialise(_neighbours(ordered)))
+
+
 def _runs(pairs: DataFrame, parts: int) -> DataFrame:
-    """Consecutive matches of a document with the same shift against the same partner, as one stretch of words each."""
+    """Consecutive places of a document with the same shift against the same partner, as one stretch of words each.
+
+    An end is open where the next place belongs to a repeated passage too, but with another partner: this partner's
+    words can agree farther. Beside any other end the next passage occurs nowhere else. Ends at a batch's border count
+    as open.
+    """
+    schema = "doc_id long, start int, stop int, other long, shift int, later boolean, open_left boolean, open_right boolean"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,35 +192,45 @@ def _runs(pairs: DataFrame, parts: int) -> DataFrame:
             doc, pos, other, other_pos = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "pos", "other", "other_pos"))
             later = batch.column("later").to_numpy(zero_copy_only=False)
             shift = other_pos - pos
+            beside = (doc[1:] == doc[:-1]) & (pos[1:] - pos[:-1] == 1)
             new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (other[1:] != other[:-1]) | (shift[1:] != shift[:-1]) | (later[1:] != later[:-1]) | (pos[1:] - pos[:-1] > PREFIX)
+            new[1:] = ~beside | (other[1:] != other[:-1]) | (shift[1:] != shift[:-1]) | (later[1:] != later[:-1])
             at = np.flatnonzero(new)
             end = np.append(at[1:], len(doc)) - 1
-            columns = [doc[at], pos[at].astype(np.int32), (pos[end] + PREFIX).astype(np.int32), other[at], shift[at].astype(np.int32), later[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["doc_id", "start", "stop", "other", "shift", "later"])
+            left, right = np.concatenate([[True], beside])[at], np.concatenate([beside, [True]])[end]
+            columns = [doc[at], pos[at].astype(np.int32), (pos[end] + MIN_WORDS).astype(np.int32), other[at], shift[at].astype(np.int32), later[at], left, right]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["doc_id", "start", "stop", "other", "shift", "later", "open_left", "open_right"])
 
-    ordered = pairs.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "other", "later", F.col("other_pos") - F.col("pos"), "pos")
-    return ordered.select("doc_id", "pos", "other", "other_pos", "later").mapInArrow(run, "doc_id long, start int, stop int, other long, shift int, later boolean")
+    ordered = pairs.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "pos")
+    return ordered.select("doc_id", "pos", "other", "other_pos", "later").mapInArrow(run, schema)
 
 
-def _contexts(runs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(run, side, left, right): hashed words around both sides of every run, nearest first."""
-    sides = runs.select("run", F.explode(F.array(F.struct(F.col("doc_id").alias("doc_id"), F.lit(0).alias("side"), F.col("start").alias("a"), F.col("stop").alias("b")), F.struct(F.col("other").alias("doc_id"), F.lit(1).alias("side"), (F.col("start") + F.col("shift")).alias("a"), (F.col("stop") + F.col("shift")).alias("b")))).alias("x"))
-    asked = sides.select("run", "x.*").groupBy("doc_id").agg(F.collect_list(F.struct("run", "side", "a", "b")).alias("asks"))
+def _contexts(runs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(run, side, left, right): ``width`` hashed words around both sides of every run's open ends, nearest first."""
+    sides = runs.select("run", "open_left", "open_right", F.explode(F.array(F.struct(F.col("doc_id").alias("doc_id"), F.lit(0).alias("side"), F.col("start").alias("a"), F.col("stop").alias("b")), F.struct(F.col("other").alias("doc_id"), F.lit(1).alias("side"), (F.col("start") + F.col("shift")).alias("a"), (F.col("stop") + F.col("shift")).alias("b")))).alias("x"))
+    # a document can have very many runs with one other: its text meets some of them at a time
+    asked = sides.select("run", "open_left", "open_right", "x.*").groupBy("doc_id", (F.col("run") % 64).alias("some")).agg(F.collect_list(F.struct("run", "side", "a", "b", "open_left", "open_right")).alias("asks"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
         for batch in batches:
             for block in text_blocks(batch, "text"):
                 words = Words(block.column("text"))
                 short = (words.hash >> np.uint64(32)).astype("<u4")
-                rows = []
+                rows, size = [], 0
                 for i, asks in enumerate(block.column("asks").to_pylist()):
                     low, high = words.first[i], words.first[i + 1]
                     for x in asks:
                         a, b = low + x["a"], low + x["b"]
-                        rows.append((x["run"], x["side"], short[max(low, a - LEFT) : a][::-1].tobytes(), short[b : min(high, b + RIGHT)].tobytes()))
+                        left = short[max(low, a - width) : a][::-1].tobytes() if x["open_left"] else b""
+                        right = short[b : min(high, b + width)].tobytes() if x["open_right"] else b""
+                        rows.append((x["run"], x["side"], left, right))
+                        size += len(left) + len(right)
+                        if size > 1 << 24:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["run", "side", "left", "right"])
+                            rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["run", "side", "left", "right"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["run", "side", "left", "right"])
 
     return asked.join(docs, "doc_id").select("text", "asks").mapInArrow(run, "run long, side int, left binary, right binary")
 
@@ -189,40 +241,57 @@ def _agree(x: bytes, y: bytes) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, start_word, n_words, other_id, other_start_word, later) of every repeated stretch of 50 words or more.
-
-    ``later``: the partner comes before it in (document, place) order. The first copy of a passage never has it; another
-    copy may also have rows without it, from places that only later copies mark. Words are those of :class:`Words` (A-Z lower-cased). Stretches may overlap. Null texts and texts of fewer
-    than 50 words have none; rows without a key are left out; rows that repeat a key count once, with the greatest
-    text.
-    """
-    spark = docs.sparkSession
-    own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = partitions_for(spark, own.agg(F.sum(F.length("text"))).first()[0], 32 << 20)
-    suffixes = _suffixes(own).repartitionByRange(parts, "h", "doc_id", "pos").sortWithinPartitions("h", "doc_id", "pos")
-    pairs = _across(materialise(_neighbours(suffixes))).where("doc_id <> other or pos <> other_pos").distinct()
-    # the row's number only names the run; the table is written, so it is drawn once
-    runs = materialise(_runs(pairs, parts).withColumn("run", F.monotonically_increasing_id()))
-    texts = own.groupBy("doc_id").agg(F.max("text").alias("text"))
-    around = _contexts(runs, texts)
+def _extended(runs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The runs with their open ends moved by up to ``width`` words that agree; an end stays open if all of them do."""
+    around = materialise(_contexts(runs, docs, width))
     side = lambda s: around.where(F.col("side") == s).select("run", F.col("left").alias(f"l{s}"), F.col("right").alias(f"r{s}"))
-    around = materialise(around)
     both = runs.join(side(0), "run").join(side(1), "run")
 
     def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left = np.fromiter((_agree(x, y) for x, y in zip(batch.column("l0").to_pylist(), batch.column("l1").to_pylist(), strict=True)), np.int64, batch.num_rows)
             right = np.fromiter((_agree(x, y) for x, y in zip(batch.column("r0").to_pylist(), batch.column("r1").to_pylist(), strict=True)), np.int64, batch.num_rows)
-            start = batch.column("start").to_numpy() - left
-            size = batch.column("stop").to_numpy() + right - start
-            rows = pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), batch.column("other"), pa.array((start + batch.column("shift").to_numpy()).astype(np.int32)), batch.column("later")],
-                names=["doc_id", "start_word", "n_words", "other_id", "other_start_word", "later"],
-            )
-            yield rows.filter(pa.array(size >= MIN_WORDS))
-
-    return both.mapInArrow(extend, "doc_id long, start_word int, n_words int, other_id long, other_start_word int, later boolean").distinct()
+            start, stop = batch.column("start").to_numpy() - left, batch.column("stop").to_numpy() + right
+            columns = {"start": pa.array(start.astype(np.int32)), "stop": pa.array(stop.astype(np.int32)), "open_left": pa.array(left == width), "open_right": pa.array(right == width)}
+            yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in runs_columns], names=runs_columns)
+
+    runs_columns = runs.columns
+    return both.mapInArrow(extend, runs.schema)
+
+
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, start_word, n_words, other_id, other_start_word, later) of repeated stretches of 50 words or more.
+
+    A word lies in a stretch with ``later`` if and only if it lies in 50 words that also stand before them in
+    (document, place) order, and in some stretch if and only if its 50 words stand anywhere else. Every 50 words are
+    linked with their nearest copy before them, the first copy with the next one; each stretch is that link extended
+    until words differ. ``later``: the partner comes before it. The first copy of a passage never has it; another
+    copy may also have rows without it, extended from places whose first copy it is. Words are those of
+    :class:`Words` (A-Z lower-cased). Stretches may overlap. Null texts and texts of fewer than 50 words have none;
+    rows without a key are left out; rows that repeat a key count once, with the greatest text.
+    """
+    spark = docs.sparkSession
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    parts = partitions_for(spark, own.agg(F.sum(F.length("text"))).first()[0], 32 << 20)
+    texts = own.groupBy("doc_id").agg(F.max("text").alias("text"))
+    # a repeated key's suffixes can meet themselves here: a mark too many only costs time
+    marks = _linked(_suffixes(own), parts).groupBy("doc_id").agg(F.collect_set("pos").alias("marks"))
+    # the documents with a mark that occurs again; those of every run and of its partner are among them
+    marked = materialise(texts.join(marks, "doc_id"))
+    # the row's number only names the run; the table is written, so it is drawn once
+    runs = materialise(_runs(_linked(_passages(marked), parts), parts).withColumn("run", F.monotonically_increasing_id()))
+    found, width = [], BESIDE
+    while True:
+        found.append(runs.where("not (open_left or open_right)"))
+        runs = runs.where("open_left or open_right")
+        if runs.isEmpty():
+            break
+        runs = materialise(_extended(runs, marked.select("doc_id", "text"), width))
+        width *= GROWTH
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.union(more)
+    return whole.select("doc_id", F.col("start").alias("start_word"), (F.col("stop") - F.col("start")).alias("n_words"), F.col("other").alias("other_id"), (F.col("start") + F.col("shift")).alias("other_start_word"), "later").distinct()
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str = "n_chars") -> DataFrame:

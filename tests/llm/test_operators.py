@@ -97,6 +97,41 @@ def test_repeated_passages(spark, nothing):
     assert remove_repeats(nothing).count() == 0
 
 
+def test_repeated_passages_fragments(spark):
+    """Fragments and edited copies between two copies, and matches that outlast every other: against brute force."""
+    from echoweave.llm.suffix_dedup import MIN_WORDS, repeated_passages
+
+    rng = random.Random(5)
+    fresh = lambda n: [f"r{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for size in (50, 55, 60, 70, 400):
+        for cut in (32, 40, 49):
+            passage, at = fresh(size), rng.randrange(size)
+            edited = [*passage[:at], "edit", *passage[at + 1 :]]
+            middle = [fresh(9) + passage[:cut] + fresh(9), fresh(9) + passage[-cut:] + fresh(9), fresh(3) + edited + fresh(8)]
+            rng.shuffle(middle)
+            for own in [fresh(30) + passage + fresh(20), *middle, fresh(11) + passage + fresh(25)]:
+                rows.append((len(rows), " ".join(own)))
+    long_ = fresh(1500)
+    rows += [(len(rows) + i, " ".join(x)) for i, x in enumerate([long_, long_[:700] + fresh(5), fresh(5) + long_[900:], fresh(8) + long_ + fresh(8)])]
+    text = {k: words(t) for k, t in rows}
+    places = collections.defaultdict(list)
+    for k, w in sorted(text.items()):
+        for i in range(len(w) - MIN_WORDS + 1):
+            places[tuple(w[i : i + MIN_WORDS])].append((k, i))
+    cover = lambda found: {(k, j) for k, i, n in found for j in range(i, i + n)}
+    again = [v for v in places.values() if len(v) > 1]
+    got = repeated_passages(spark.createDataFrame(rows + rows[:9], DOC)).collect()
+    assert cover((r.doc_id, r.start_word, r.n_words) for r in got if r.later) == cover((*x, MIN_WORDS) for v in again for x in v[1:])
+    assert cover((r.doc_id, r.start_word, r.n_words) for r in got) == cover((*x, MIN_WORDS) for v in again for x in v)
+    for r in got:
+        a, b, i, j, n = text[r.doc_id], text[r.other_id], r.start_word, r.other_start_word, r.n_words
+        assert a[i : i + n] == b[j : j + n] and r.later == ((r.other_id, j) < (r.doc_id, i))
+        assert not i or not j or a[i - 1] != b[j - 1]
+        assert i + n == len(a) or j + n == len(b) or a[i + n] != b[j + n]
+    assert (rows[-1][0], 8, 1500, rows[-4][0], 0, True) in {tuple(r) for r in got}
+
+
 def test_html(spark):
     from echoweave.llm.html_text import extract
 
