@@ -279,12 +279,12 @@ def gaussian_error_fit(t) -> DataFrame:
 
 @_query()
 def scene_bootstrap(t) -> DataFrame:
-    return scores.scene_bootstrap(t("fx_pred").withColumn("loss", (F.col("p") - F.col("detected")) ** 2), "loss", 200)
+    return scores.scene_bootstrap(t("fx_pred").withColumn("loss", (F.col("p") - F.col("detected")) ** 2), "loss", 1000)
 
 
 @_query()
 def mc_null_ece(t) -> DataFrame:
-    return scores.null_ece(t("fx_pred"), "p", 15, 50)
+    return scores.null_ece(t("fx_pred"), "p", 15, 1000)
 
 
 def _fitted(t, kind: str) -> DataFrame:
