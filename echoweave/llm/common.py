@@ -28,6 +28,8 @@ def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
@@ -40,6 +42,34 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Written tables of one operator. Those still there at the end of a ``with`` block are deleted then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.free(*[frame for frame, _ in self.paths.values()])
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = scratch(self.spark)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def free(self, *frames: DataFrame) -> None:
+        """Deletes tables that nothing will read again."""
+        context = self.spark.sparkContext
+        for frame in frames:
+            name = context._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(frame))[1])
+            name.getFileSystem(context._jsc.hadoopConfiguration()).delete(name, True)
+
+
 def partitions_for(spark: SparkSession, units: int, per_task: int) -> int:
     """As many partitions as keep a task at ``per_task`` units, and at least the session's own number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(units or 0) // per_task))
@@ -149,27 +179,30 @@ def shingle_set(words: Words, grams: np.ndarray, i: int, k: int) -> np.ndarray:
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Connected components of ``edges(a, b)``: one row (id, component_id) per vertex that has an edge to another.
+    """Connected components of ``edges(a, b)``: a written table (id, component_id), one row per vertex that has an edge to another.
 
-    Alternates large-star and small-star rounds; each is an aggregation and a join whose large side Spark can
-    split when one vertex has very many edges. Lineage is cut by a written table in every round.
+    Alternates large-star and small-star rounds. The least neighbours are written before they are joined, so both
+    sides of a join are plain shuffles, of which Spark splits the large partitions of a vertex with very many edges.
+    Only the tables of the last round are kept.
     """
+    spark = edges.sparkSession
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = materialise(both(edges.where("a <> b")).distinct())
-    before = None
-    for _ in range(max_rounds):
-        least = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = edges.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large.distinct()
-        low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        least = low.groupBy("a").agg(F.min("b").alias("m"))
-        small = low.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = materialise(both(small).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"no convergence in {max_rounds} rounds")
-    found = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component_id"))
-    return found.withColumnRenamed("a", "id")
+    with Tables(spark) as tables:
+        edges = tables.keep(both(edges.where("a <> b")).distinct())
+        before = None
+        for _ in range(max_rounds):
+            least = tables.keep(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+            large = edges.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+            low = tables.keep(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+            tables.free(edges, least)
+            least = tables.keep(low.groupBy("a").agg(F.min("b").alias("m")))
+            small = low.join(least, "a").select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).where("a <> b")
+            edges = tables.keep(both(small).distinct())
+            tables.free(low, least)
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == before:
+                break
+            before = now
+        else:
+            raise RuntimeError(f"no convergence in {max_rounds} rounds")
+        return materialise(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component_id")).withColumnRenamed("a", "id"))

@@ -1,43 +1,50 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Set sizes fall into bands so narrow that linked sets (``inter / union >= 3/4``) are in one band or in two that follow
-each other; a group is such a pair of bands. In a group linked sets differ in at most ``k`` shingles. The shingle
-domain is cut into ``k + 1 + spare`` partitions, so linked sets agree in at least ``1 + spare`` of them; a set's
-signatures are its projections on single partitions. Empty projections carry no information and are left out: a set
-with at most ``spare`` empty partitions still shares a signature with every set it links with. Bands of small sets,
-where more partitions may stay empty, are cut in several independent ways.
+each other; a group is such a pair of bands, and linked sets of a group differ in at most ``k`` shingles. The shingle
+domain is cut into first-level partitions, each of these into ``n2`` second-level ones; a signature is a set's
+projection on ``n2 - k2`` of the second-level partitions of one first-level partition, and all such subsets are
+enumerated. With ``k // (k2 + 1) + 1 + spare`` first-level partitions, linked sets differ by at most ``k2`` in at least
+``1 + spare`` of them, and share a signature in each.
+
+Completeness. A partition is weak for a set if one of the set's projections there is empty: empty signatures are not
+sent. A set with at most ``spare`` weak partitions shares a sent signature with each set it links with, so only pairs
+of sets that both have more can be missed. Those sets send signatures of another, independent cut too, and so on; a
+set with too many weak partitions in all cuts sends the empty signatures of the last one as well. Two linked sets meet
+in the first cut in which one of them has enough, or else in the last one, by the guarantee of PartEnum itself.
 
 Signatures do not travel as rows: a block of documents sends one packed row to each partition of the signature space,
 32 bits a signature. Agreement in those bits makes candidates only; they are thinned by a sound bound (the distance of
 count sketches never exceeds the symmetric difference) and the rest is verified on whole texts.
 
-Buckets are not expanded into pairs at once. First every member is paired with the bucket's least member and its next
-few; what this links is contracted. Then only members of different components meet, in buckets that still have
-several components: no link between components can be missed, and none inside one is needed.
+Buckets are not expanded into pairs. Each document is verified against the one bucket head it shares most with, and
+what this links is contracted. Buckets that many documents share are left by those that can spare them (``_open``).
+Then only members of different components meet: documents around one head in one block, others in the buckets that
+they still share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, components, materialise, mix, partitions_for, scramble, shingle_set, text_blocks
+from .common import Tables, Words, components, materialise, mix, partitions_for, scramble, shingle_set, text_blocks
 
 WORDS = 5
-SKETCH = 128
-#: Members of a bucket that each one is paired with at once, beside the least.
-NEAR = 3
+#: Independent cuts of the shingle domain.
+WAYS = 4
 #: Members of a bucket that are compared as one block.
 CHUNK = 1000
-#: A larger bucket counts as hot. Documents that can do without all their hot signatures leave hot buckets, as each of
-#: their links shows in another; only those that cannot meet there.
+#: A larger bucket counts as hot.
 HOT = 24
-#: Signatures in one task of the search, and shingles (over all texts) that make as many.
-TASK_SIGNATURES = 4_000_000
+#: Signatures in one task of the search, and of one packed row's block.
+TASK_SIGNATURES, SENT = 4_000_000, 1_500_000
 
 
 def _bands(limit: int = 1 << 31) -> tuple[np.ndarray, np.ndarray]:
@@ -51,102 +58,189 @@ def _bands(limit: int = 1 << 31) -> tuple[np.ndarray, np.ndarray]:
 _LOW, _HIGH = _bands()
 
 
-def _parts(group: int) -> tuple[int, int]:
-    """Partitions of a group and the spare ones among them; sets of the group differ in at most a third of the lower band's largest size."""
+def layout(group: int) -> tuple[int, int, int, int]:
+    """(first-level partitions, ``n2``, ``k2``, spare) of a group, for the ``k`` in which its linked sets can differ.
+
+    Linked sets of sizes a <= b differ in at most (a + b) / 7 <= a / 3 shingles.
+    """
     k = int(_HIGH[group]) // 3
-    spare = 2 + (k + 7) // 8
-    return k + 1 + spare, spare
+    if k < 4:
+        return 1, (1, 4, 6, 7)[k], k, 0
+    if k < 8:
+        return 2, k // 2 + 3, k // 2, 0
+    k2, n2, share = (2, 5, 0.15) if k < 48 else (1, 3, 0.25)
+    least = k // (k2 + 1) + 1
+    spare = 1 + int(np.ceil(share * least))
+    return least + spare, n2, k2, spare
 
 
-def _ways(group: int) -> int:
-    return 4 if _HIGH[group] <= 60 else 1
+_LAYOUT = np.array([layout(g) for g in range(len(_HIGH))])
 
 
-def signatures(shingles: np.ndarray) -> tuple[np.ndarray, int]:
-    """All signatures of a set of 64-bit shingle hashes, and how many of them it can do without.
+def _enumerate(flat: np.ndarray, owner: np.ndarray, group: np.ndarray, way: int, empty: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets (``flat``: shingles, ``owner``: whose) in one cut of their groups, their owners, and each set's weak partitions.
 
-    A set shares at least ``1 + spare - empty partitions`` signatures of a group with each set it links with there;
-    so it meets them all even if it leaves out one fewer.
+    Empty projections are left out; with ``empty`` they alone are given.
     """
-    n = len(shingles)
-    if not n:
-        return shingles, 0
-    slack = 1 << 15
-    band = int(np.searchsorted(_HIGH, n))
+    n1 = _LAYOUT[group, 0]
+    first = np.concatenate([[0], np.cumsum(n1)])
+    salt = mix((group * WAYS + way).astype(np.uint64) + np.uint64(0xA5A5))
+    weak, sigs, owners = np.zeros(len(group), np.int64), [], []
+    kinds = _LAYOUT[group, 1] * 64 + _LAYOUT[group, 2]
+    with np.errstate(over="ignore"):
+        drawn = mix(flat ^ salt[owner])
+        part = ((drawn >> np.uint64(32)) * n1[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        sub = ((drawn & np.uint64(0xFFFF)) * _LAYOUT[group, 1][owner].astype(np.uint64) >> np.uint64(16)).astype(np.int64)
+        value = mix(drawn + np.uint64(0x51ED))
+        for kind in np.unique(kinds).tolist():
+            n2, k2 = divmod(kind, 64)
+            of_kind = kinds == kind
+            cells = np.zeros(int(first[-1]) * n2, np.uint64)
+            x = of_kind[owner]
+            np.add.at(cells, (first[owner[x]] + part[x]) * n2 + sub[x], value[x])
+            whose = np.repeat(np.arange(len(group)), n1)
+            mine = np.flatnonzero(of_kind[whose])
+            whose, cells = whose[mine], cells.reshape(-1, n2)[mine]
+            place = (mine - first[whose]).astype(np.uint64)
+            lacking = np.zeros(len(mine), bool)
+            for number, subset in enumerate(combinations(range(n2), n2 - k2)):
+                total = cells[:, subset].sum(1, dtype=np.uint64)
+                none = total == 0
+                lacking |= none
+                take = none if empty else ~none
+                sigs.append(mix(total[take] + mix(place[take] * np.uint64(512) + np.uint64(number) + salt[whose[take]])))
+                owners.append(whose[take])
+            weak += np.bincount(whose[lacking], minlength=len(group))
+    return np.concatenate(sigs), np.concatenate(owners), weak
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures of some sets of 64-bit shingle hashes, the set of each, and its code: 8 x slack + 4 x band + way.
+
+    Slack is how many signatures of this band and way the set can do without: linked sets share at least one more.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat, owner = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
+    band = np.searchsorted(_HIGH, sizes)
     out = []
-    for group in (band, band - 1):
-        if group < 0:
-            continue
-        parts, spare = _parts(group)
-        for way in range(_ways(group)):
-            salt = scramble(2, 1000 + group * 8 + way)
-            drawn = mix(shingles ^ salt[0])
-            place = ((drawn >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            sums = np.zeros(parts, np.uint64)
-            with np.errstate(over="ignore"):
-                np.add.at(sums, place, drawn)
-                used = np.flatnonzero(sums)
-                out.append(mix(sums[used] + mix(used.astype(np.uint64) + salt[1])))
-            slack = min(slack, spare - (parts - len(used)))
-    return np.concatenate(out), max(0, slack)
+    for lower in (0, 1):
+        pending = np.flatnonzero((sizes > 0) & (band >= lower))
+        for way in range(WAYS):
+            if not len(pending):
+                break
+            place = np.full(len(sets), -1)
+            place[pending] = np.arange(len(pending))
+            inside = place[owner] >= 0
+            group = band[pending] - lower
+            args = flat[inside], place[owner[inside]], group, way
+            found, whose, weak = _enumerate(*args, empty=False)
+            slack = _LAYOUT[group, 3] - weak
+            code = np.clip(slack, 0, 8000) * 8 + lower * 4 + way
+            out.append((found, pending[whose], code[whose]))
+            if way == WAYS - 1:
+                found, whose, _ = _enumerate(*args, empty=True)
+                rest = slack[whose] < 0
+                out.append((found[rest], pending[whose[rest]], code[whose[rest]]))
+            pending = pending[slack < 0]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _cells(n: int, at_least: int = 64) -> int:
+    """Cells of a set's count sketch: the power of two from n / 2 on."""
+    return 1 << max(at_least.bit_length() - 1, int(n - 1).bit_length() - 1)
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    """Counts of the set's shingles in cells of equal parts of the hash domain, cut at 15 (which only lessens distances), two in a byte."""
+    size = _cells(len(s))
+    counts = np.minimum(np.bincount((s >> np.uint64(65 - size.bit_length())).astype(np.int64), minlength=size), 15).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
+def _counts(sketch: bytes) -> np.ndarray:
+    raw = np.frombuffer(sketch, np.uint8)
+    out = np.empty(2 * len(raw), np.int16)
+    out[::2], out[1::2] = raw & 15, raw >> 4
+    return out
+
+
+def _folded(counts: np.ndarray, size: int) -> np.ndarray:
+    return counts.reshape(size, -1).sum(1, dtype=np.int16)
+
+
+def _coarse(sketch: bytes, n: int) -> bytes:
+    """The sketch in an eighth of the cells (64 at least)."""
+    counts = np.minimum(_folded(_counts(sketch), _cells(n // 8)), 15).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
+def _may_link(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray) -> bool:
+    """False only for sets that sizes or sketches prove apart."""
+    if 4 * n_a < 3 * n_b or 4 * n_b < 3 * n_a:
+        return False
+    size = min(len(a), len(b))
+    return 7 * int(np.abs(_folded(a, size) - _folded(b, size)).sum(dtype=np.int64)) <= n_a + n_b
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, d1, d2, sketch) of every document: set size, 128-bit digest of the set, count sketch."""
+    """(doc_id, n, d1, d2, sketch, coarse) of every document: set size, 128-bit digest of the set, count sketches."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch, "text"):
                 words = Words(block.column("text"))
                 grams = words.grams(k)
-                sizes, first, second, sketches = [], [], [], []
-                for i in range(block.num_rows):
-                    s = shingle_set(words, grams, i, k)
-                    sizes.append(len(s))
-                    with np.errstate(over="ignore"):
-                        first.append(int(s.sum(dtype=np.uint64)))
-                        second.append(int(mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64)))
-                    sketches.append(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=SKETCH).astype("<u4").tobytes() if len(s) else b"")
+                sets = [shingle_set(words, grams, i, k) for i in range(block.num_rows)]
+                with np.errstate(over="ignore"):
+                    first = [int(s.sum(dtype=np.uint64)) for s in sets]
+                    second = [int(mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64)) for s in sets]
+                sketches = [_sketch(s) for s in sets]
+                coarse = [_coarse(x, len(s)) for x, s in zip(sketches, sets, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(first, np.uint64).view(np.int64)), pa.array(np.array(second, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())],
-                    names=["doc_id", "n", "d1", "d2", "sketch"],
+                    [block.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.array(d, np.uint64).view(np.int64)) for d in (first, second)], pa.array(sketches, pa.binary()), pa.array(coarse, pa.binary())],
+                    names=["doc_id", "n", "d1", "d2", "sketch", "coarse"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary, coarse binary")
 
 
 def _send(docs: DataFrame, k: int, parts: int) -> DataFrame:
-    """One row per block of documents and partition of the signature space: packed signatures and their owners."""
+    """One row per block of documents and partition of the signature space: packed signatures and their owners.
+
+    ``ids`` are the owners' distances from ``base`` in four bytes each, or in eight if four do not hold them.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()  # sets that this task has sent; copies link through their digest
-        held: list[np.ndarray] = []
-        owners: list[int] = []
-        slacks: list[int] = []
+        held: list[tuple[np.ndarray, ...]] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
-            sigs = np.concatenate(held)
-            owner = np.repeat(np.arange(len(owners), dtype=np.uint32), [len(x) for x in held])
+            sigs, docs_, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             part = ((sigs >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            pairs, owner = _owners(docs_, codes)
+            order = np.argsort((part << 32) + owner, kind="stable")
             bounds = np.searchsorted(part[order], np.arange(parts + 1))
             low = (sigs & np.uint64(0xFFFFFFFF)).astype("<u4")[order]
             owner = owner[order]
-            ids, free = np.array(owners, np.int64), np.array(slacks, "<u2")
             rows = []
             for p in np.flatnonzero(np.diff(bounds)).tolist():
                 a, b = bounds[p], bounds[p + 1]
-                who, many = np.unique(owner[a:b], return_counts=True)
-                rows.append((p, low[a:b].tobytes(), ids[who].tobytes(), many.astype("<u4").tobytes(), free[who].tobytes()))
-            held.clear(), owners.clear(), slacks.clear()
-            part_col, *rest = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(part_col, pa.int32()), *[pa.array(c, pa.binary()) for c in rest]], names=["part", "sigs", "ids", "many", "slack"])
+                starts = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
+                who = owner[a:b][starts]
+                ids = pairs[0][who]
+                base = int(ids.min())
+                wide = int(ids.max()) - base >= 1 << 32
+                rows.append((p, base, low[a:b].tobytes(), (ids - base).astype("<i8" if wide else "<u4").tobytes(), np.diff(np.append(starts, b - a)).astype("<u4").tobytes(), pairs[1][who].astype("<u2").tobytes()))
+            part_col, base_col, *rest = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(part_col, pa.int32()), pa.array(base_col, pa.int64()), *[pa.array(c, pa.binary()) for c in rest]], names=["part", "base", "sigs", "ids", "many", "codes"])
 
         for batch in batches:
             for block in text_blocks(batch, "text"):
                 words = Words(block.column("text"))
                 grams = words.grams(k)
+                sets, own = [], []
                 for i, doc in enumerate(block.column("doc_id").to_pylist()):
                     s = shingle_set(words, grams, i, k)
                     if not len(s):
@@ -158,78 +252,90 @@ def _send(docs: DataFrame, k: int, parts: int) -> DataFrame:
                     done.add(digest)
                     if len(done) > 500_000:
                         done.clear()
-                    found, slack = signatures(s)
-                    held.append(found), owners.append(doc), slacks.append(slack)
+                    sets.append(s), own.append(doc)
+                found, whose, codes = signatures(sets)
+                if len(found):
+                    held.append((found, np.array(own, np.int64)[whose], codes))
                     total += len(found)
-                    if total > 1_500_000:
-                        total = 0
-                        yield flush()
+                if total > SENT:
+                    total = 0
+                    yield flush()
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "part int, sigs binary, ids binary, many binary, slack binary")
+    return docs.mapInArrow(run, "part int, base long, sigs binary, ids binary, many binary, codes binary")
+
+
+def _owners(docs: np.ndarray, codes: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Distinct (document, code) in order, and which one each entry has."""
+    order = np.lexsort((codes, docs))
+    d, c = docs[order], codes[order]
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])])
+    owner = np.empty(len(docs), np.int64)
+    owner[order] = np.cumsum(new) - 1
+    return (d[new], c[new]), owner
 
 
 def _gathered(sent: DataFrame, parts: int) -> DataFrame:
-    """(bucket, doc_id, members, hot) of every bucket with two documents or more, each set of members once a partition.
+    """(bucket, doc_id, size, times, members, code) of every bucket with two documents or more.
 
-    ``hot``: the bucket has more than ``HOT`` documents. Rows of bucket -1 give for a document how many of its
-    signatures here are hot (``members``) and how many it can do without (``hot``).
+    Buckets of one group and cut with equal members say the same: a task keeps one for ``times`` of them. ``members``
+    names such a set of members.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, ...]]] = {}
+        held: dict[int, list[tuple]] = {}
         for batch in batches:
-            for p, *rest in zip(*(batch.column(c).to_pylist() for c in ("part", "sigs", "ids", "many", "slack")), strict=True):
+            for p, *rest in zip(*(batch.column(c).to_pylist() for c in ("part", "base", "sigs", "ids", "many", "codes")), strict=True):
                 held.setdefault(p, []).append(tuple(rest))
         while held:
             p, rows = held.popitem()
-            sigs = np.concatenate([np.frombuffer(r[0], "<u4") for r in rows])
-            docs = np.concatenate([np.repeat(np.frombuffer(r[1], np.int64), np.frombuffer(r[2], "<u4")) for r in rows])
-            slack = np.concatenate([np.repeat(np.frombuffer(r[3], "<u2"), np.frombuffer(r[2], "<u4")) for r in rows])
+            sigs = np.concatenate([np.frombuffer(r[1], "<u4") for r in rows])
+            many = np.concatenate([np.frombuffer(r[3], "<u4") for r in rows])
+            docs = np.repeat(np.concatenate([np.frombuffer(r[2], "<u4" if len(r[2]) == len(r[3]) else "<i8").astype(np.int64) + r[0] for r in rows]), many)
+            code = np.repeat(np.concatenate([np.frombuffer(r[4], "<u2") for r in rows]), many)
             del rows
-            order = np.lexsort((docs, sigs))
-            sigs, docs, slack = sigs[order], docs[order], slack[order]
+            order = np.argsort(sigs, kind="stable")
+            same = sigs[order][1:] == sigs[order][:-1]
+            # those that stand alone go before the finer sort
+            order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+            order = order[np.lexsort((docs[order], sigs[order]))]
+            sigs, docs, code = sigs[order], docs[order], code[order]
             keep = np.ones(len(sigs), bool)
             keep[1:] = (sigs[1:] != sigs[:-1]) | (docs[1:] != docs[:-1])
-            sigs, docs, slack = sigs[keep], docs[keep], slack[keep]
-            start = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+            sigs, docs, code = sigs[keep], docs[keep], code[keep]
+            start = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else np.zeros(0, np.int64)
             size = np.diff(np.append(start, len(sigs)))
             some = size > 1
-            start, size = start[some], size[some]
-            if not len(start):
+            if not some.any():
                 continue
-            take = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            docs, slack = docs[take], slack[take]
-            bucket = np.repeat(np.arange(len(start)), size)
-            warm = (size > HOT)[bucket]
-            who, where, times = np.unique(docs[warm], return_index=True, return_counts=True)
-            out = lambda *c: pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).astype(np.int64)) for x in c], names=["bucket", "doc_id", "members", "hot"])
-            if len(who):
-                yield out(np.full(len(who), -1), who, times, slack[warm][where])
-            # buckets with equal members say the same: one of them stays
-            begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+            stay = np.repeat(some, size)
+            docs, code, size = docs[stay], code[stay], size[some]
+            begin = np.cumsum(size) - size
             with np.errstate(over="ignore"):
                 members = np.add.reduceat(mix(docs.view(np.uint64) + np.uint64(11)), begin)
-            _, first = np.unique(members, return_index=True)
-            stays = np.zeros(len(start), bool)
-            stays[first] = True
-            docs, bucket = docs[stays[bucket]], bucket[stays[bucket]]
-            name, said = (np.int64(p) << np.int64(32)) + bucket, members.view(np.int64)[bucket]
+            alike = mix(members ^ (code[begin] & 7).astype(np.uint64))
+            _, last, times = np.unique(alike[::-1], return_index=True, return_counts=True)
+            last = len(size) - 1 - last
+            stays, of = np.zeros(len(size), bool), np.zeros(len(size), np.int64)
+            stays[last], of[last] = True, times
+            bucket = np.repeat(np.arange(len(size)), size)
+            shown = stays[bucket]
+            docs, code, bucket = docs[shown], code[shown], bucket[shown]
+            columns = [(np.int64(p) << np.int64(32)) + bucket, docs, size[bucket], of[bucket], members.view(np.int64)[bucket], code]
             for at in range(0, len(docs), 100_000):
-                some = slice(at, at + 100_000)
-                yield out(name[some], docs[some], said[some], (size > HOT)[bucket[some]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[at : at + 100_000]).astype(np.int64)) for c in columns], names=["bucket", "doc_id", "size", "times", "members", "code"])
 
-    return sent.repartition(parts, "part").mapInArrow(run, "bucket long, doc_id long, members long, hot long")
+    return sent.repartitionById(parts, "part").mapInArrow(run, "bucket long, doc_id long, size long, times long, members long, code long")
 
 
-def _first_pairs(buckets: DataFrame) -> DataFrame:
-    """Each member with the least of its bucket and with the next few after it, within the task that made the bucket."""
+def _heads(buckets: DataFrame) -> DataFrame:
+    """(a, b) for each member b of buckets that is not least in all: of their least members the one it meets in most."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (None, None)
         for batch in batches:
-            name, docs = batch.column("bucket").to_numpy(), batch.column("doc_id").to_numpy()
+            name, docs, times = (batch.column(c).to_numpy() for c in ("bucket", "doc_id", "times"))
             if not len(name):
                 continue
             begins = np.concatenate([[True], name[1:] != name[:-1]])
@@ -237,16 +343,12 @@ def _first_pairs(buckets: DataFrame) -> DataFrame:
             if last[0] == name[0]:
                 head[: int(begins[1:].argmax()) + 1 if begins[1:].any() else len(docs)] = last[1]
             last = (name[-1], head[-1])
-            a, b = [head], [docs]
-            for step in range(1, NEAR + 1):
-                same = name[step:] == name[:-step]
-                a.append(docs[:-step][same]), b.append(docs[step:][same])
-            a, b = np.concatenate(a), np.concatenate(b)
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            pairs = np.unique(np.column_stack([a, b])[a != b], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
+            apart = head != docs
+            (a, b), owner = _owners(np.minimum(head, docs)[apart], np.maximum(head, docs)[apart]) if apart.any() else ((docs[:0], docs[:0]), docs[:0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), pa.array(np.bincount(owner, times[apart], minlength=len(a)).astype(np.int64))], names=["a", "b", "c"])
 
-    return buckets.select("bucket", "doc_id").mapInArrow(run, "a long, b long")
+    met = buckets.select("bucket", "doc_id", "times").mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    return met.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
 
 
 def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -256,18 +358,15 @@ def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SKETCH).astype(np.int64) for c in ("s_a", "s_b"))
-            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(7 * np.abs(x - y).sum(1) <= n_a + n_b))
+            good = [_may_link(n, m, _counts(x), _counts(y)) for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
 def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """A written table of the texts of some documents; the one place where whole texts are shuffled."""
-    return materialise(docs.join(ids.distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+    """The texts of some documents; the one place where whole texts are shuffled."""
+    return docs.join(ids.distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -276,7 +375,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """The pairs with 100 * intersection >= 75 * union, from whole texts."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,47 +394,72 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _apart(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """(bucket, size, doc_id, c) of the buckets whose members are still in several components c."""
-    member = materialise(buckets.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "members", "doc_id", F.coalesce("component_id", "doc_id").alias("c")))
-    split = member.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.first("members").alias("members"), F.count("*").alias("size")).where("c0 <> c1")
+def _open(buckets: DataFrame) -> DataFrame:
+    """The buckets without the hot ones that their members can spare.
+
+    Linked documents share at least one signature more than each of them can do without (its slack). If each leaves
+    its largest buckets, in one order for all, up to its slack of signatures, the smallest that two share stays: it
+    has as many larger shared ones before it as fill the slack. So a passage that very many documents hold brings
+    only those together that hold little else.
+    """
+    order = W.partitionBy("doc_id", "code").orderBy(F.desc("size"), "bucket").rowsBetween(W.unboundedPreceding, 0)
+    hot = buckets.where(F.col("size") > HOT).withColumn("spent", F.sum("times").over(order)).where(F.col("spent") > F.shiftright("code", 3)).drop("spent")
+    return buckets.where(F.col("size") <= HOT).unionByName(hot)
+
+
+def _apart(buckets: DataFrame, where: DataFrame, tables: Tables) -> DataFrame:
+    """(bucket, size, doc_id, c, h) of the buckets whose members are in several components c and around several heads h."""
+    placed = buckets.join(where, "doc_id", "left").select("bucket", "doc_id", F.when(F.col("size") > HOT, F.col("bucket")).otherwise(F.col("members")).alias("members"), F.coalesce("c", "doc_id").alias("c"), F.coalesce("h", "doc_id").alias("h"))
+    member = tables.keep(placed)
+    split = member.groupBy("bucket").agg(*[f(x).alias(f"{x}{i}") for x in "ch" for i, f in enumerate((F.min, F.max))], F.first("members").alias("members"), F.count("*").alias("size")).where("c0 <> c1 and h0 <> h1")
     split = split.groupBy("members").agg(F.min(F.struct("bucket", "size")).alias("x")).select("x.*")
-    return member.join(split, "bucket").select("bucket", "size", "doc_id", "c")
+    return member.join(split, "bucket").select("bucket", "size", "doc_id", "c", "h")
 
 
-def _across_components(apart: DataFrame, facts: DataFrame, parts: int) -> DataFrame:
-    """Pairs of one bucket and different components that sizes and sketches do not rule out.
+def _across(rows: DataFrame, facts: DataFrame, sketch: str, parts: int, same_head: bool) -> DataFrame:
+    """Pairs of one ``bucket`` and different components that sizes and sketches do not rule out.
 
-    Buckets are cut into chunks of about ``CHUNK`` members, and each pair of chunks is compared as one block; only
-    plausible pairs leave the task.
+    ``same_head``: the bucket holds what stands around one head; otherwise pairs of one head are left out, as they
+    meet there. Buckets are cut into chunks of about ``CHUNK`` members, each pair of chunks is compared as one block,
+    and only plausible pairs leave the task.
     """
-    rows = apart.join(facts.select("doc_id", "n", "sketch"), "doc_id")
+    rows = rows.join(facts.select("doc_id", "n", F.col(sketch).alias("sketch")), "doc_id")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "c", "n", "sketch")
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "c", "h", "n", "sketch")
 
-    def block(i: int, j: int, held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        own, docs, c, n, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+    def block(i: int, j: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        own, docs, c, h, n = (np.concatenate(x) for x in list(zip(*held, strict=True))[:5])
         values, many = np.unique(c, return_counts=True)
+        odd = np.flatnonzero(c != values[many.argmax()])
+        if not len(odd) or (not same_head and (h == h[0]).all()):
+            return
+        counts = [_counts(x) for part in held for x in part[5]]
+        sizes = np.array([len(x) for x in counts])
+        of_size = {s: (np.cumsum(sizes >= s) - 1, np.stack([_folded(x, s) for x in counts if len(x) >= s])) for s in np.unique(sizes).tolist()}
         out = []
-        for r in np.flatnonzero(c != values[many.argmax()]).tolist():
-            likely = np.flatnonzero((c != c[r]) & (4 * n >= 3 * n[r]) & (4 * n[r] >= 3 * n) & ((own != own[r]) | (i == j)))
-            if len(likely):
-                differ = np.abs(sketch[likely] - sketch[r]).sum(1, dtype=np.int64)
-                near = docs[likely[7 * differ <= n[likely] + n[r]]]
-                out.append(np.column_stack([np.minimum(near, docs[r]), np.maximum(near, docs[r])]))
-        if out and len(pairs := np.unique(np.concatenate(out), axis=0)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, x])) for x in (0, 1)], names=["a", "b"])
+        for r in odd.tolist():
+            likely = (c != c[r]) & (4 * n >= 3 * n[r]) & (4 * n[r] >= 3 * n) & ((own != own[r]) | (i == j))
+            if not same_head:
+                likely &= h != h[r]
+            for s, (row, table) in of_size.items():
+                near = np.flatnonzero(likely & (np.minimum(sizes, sizes[r]) == s))
+                if len(near):
+                    differ = np.abs(table[row[near]] - table[row[r]]).sum(1, dtype=np.int64)
+                    found = docs[near[7 * differ <= n[near] + n[r]]]
+                    if len(found):
+                        out.append(np.column_stack([np.minimum(found, docs[r]), np.maximum(found, docs[r])]))
+        if out:
+            a, b = _owners(*np.concatenate(out).T)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, i, j, own, docs, c, n = (batch.column(x).to_numpy() for x in ("bucket", "i", "j", "own", "doc_id", "c", "n"))
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(-1, SKETCH)
-            # counts above the type's largest are cut there, which can only lessen distances
-            sketch = np.minimum(sketch, 16_000).astype(np.int16)
+            bucket, i, j, own, docs, c, h, n = (batch.column(x).to_numpy() for x in ("bucket", "i", "j", "own", "doc_id", "c", "h", "n"))
+            sketches = batch.column("sketch").to_pylist()
             cuts = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(bucket)]
             for x, y in zip(cuts, cuts[1:], strict=False):
                 name = (bucket[x], i[x], j[x])
@@ -343,7 +467,7 @@ def _across_components(apart: DataFrame, facts: DataFrame, parts: int) -> DataFr
                     if held:
                         yield from block(key[1], key[2], held)
                     key, held = name, []
-                held.append([z[x:y] for z in (own, docs, c, n, sketch)])
+                held.append((own[x:y], docs[x:y], c[x:y], h[x:y], n[x:y], sketches[x:y]))
         if held:
             yield from block(key[1], key[2], held)
 
@@ -351,34 +475,45 @@ def _across_components(apart: DataFrame, facts: DataFrame, parts: int) -> DataFr
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row whose key is not null.
+    """(doc_id, n_shingles, component_id) of every document.
 
     Links: Jaccard similarity of the sets of distinct ``k``-word shingles of 0.75 or more. A text with fewer words is
     one shingle, a null text or one without words is empty and linked with nothing. Rows that repeat a key count as
-    one document, with the greatest text.
+    one document, with the greatest text. Rows without a key come back one by one, linked with nothing and with a
+    null component. Other columns of ``docs`` are not read, whatever their names.
     """
     spark = docs.sparkSession
-    own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    facts = materialise(_describe(own, k))
-    # rows that repeat a key: the fuller description stands, as the links of all of them count for one vertex
-    facts = facts.groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2", "sketch")).alias("x")).select("doc_id", "x.*")
-    copies = facts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    copies = materialise(copies)
-    same = materialise(facts.join(copies, ["n", "d1", "d2"]).select("a", F.col("doc_id").alias("b")).where("a <> b"))
-    total = facts.agg(F.sum("n")).first()[0] or 0
-    parts = max(8, -(-int(total) // TASK_SIGNATURES))
-    gathered = materialise(_gathered(_send(own, k, parts), parts))
-    buckets = gathered.where("bucket >= 0")
-    tied = gathered.where("bucket < 0").groupBy("doc_id").agg(F.sum("members").alias("used"), F.min("hot").alias("slack")).where("used > slack").select("doc_id")
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spare = partitions_for(spark, 0, 1)
-    first = materialise(_plausible(_first_pairs(buckets).repartition(spare, "a", "b").distinct(), facts))
-    links = materialise(_linked(first, _texts(_ends(first), own), k))
-    found = components(links.union(same))
-    found = materialise(found)
-    open_ = buckets.where("hot = 0").unionByName(buckets.where("hot = 1").join(materialise(tied), "doc_id", "left_semi"))
-    late = materialise(_across_components(_apart(open_, found), facts, spare).distinct().join(first, ["a", "b"], "left_anti"))
-    final = found
-    if not late.isEmpty():
-        more = materialise(_linked(late, _texts(_ends(late), own), k))
-        final = components(more.union(found.select(F.col("component_id").alias("a"), F.col("id").alias("b"))))
-    return facts.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    with Tables(spark) as tables:
+        described = tables.keep(_describe(own, k))
+        own = own.where("doc_id is not null")
+        # rows that repeat a key: the fuller description stands, as the links of all of them count for one vertex
+        facts = tables.keep(described.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2", "sketch", "coarse")).alias("x")).select("doc_id", "x.*"))
+        copies = facts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
+        same = tables.keep(facts.select("doc_id", "n", "d1", "d2").join(copies, ["n", "d1", "d2"]).select("a", F.col("doc_id").alias("b")).where("a <> b"))
+        total = facts.agg(F.sum("n")).first()[0] or 0
+        parts = max(8, -(-int(total) * 5 // (4 * TASK_SIGNATURES)))
+        buckets = tables.keep(_gathered(_send(own, k, parts), parts))
+        near = tables.keep(_plausible(_heads(buckets), facts))
+        texts = tables.keep(_texts(_ends(near), own))
+        links = tables.keep(_linked(near, texts, k).unionByName(same))
+        found, around = components(links), components(near.unionByName(same))
+        where = tables.keep(around.join(found.withColumnRenamed("component_id", "c"), "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("c", "id").alias("c"), F.col("component_id").alias("h")))
+        # documents around one head
+        sizes = where.groupBy("h").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h", "size")
+        blocks = where.join(sizes, "h").select(F.col("h").alias("bucket"), "size", "doc_id", "c", "h")
+        late = tables.keep(_across(blocks, facts, "sketch", spare, True).join(near, ["a", "b"], "left_anti"))
+        # and around different heads
+        apart = _across(_apart(_open(buckets), where, tables), facts, "coarse", spare, False).distinct()
+        far = tables.keep(_plausible(apart, facts))
+        more = [tables.keep(_linked(late, texts, k))]
+        if not far.isEmpty():
+            more.append(tables.keep(_linked(far, tables.keep(_texts(_ends(far), own)), k)))
+        final = found
+        if not all(m.isEmpty() for m in more):
+            for m in more:
+                links = links.unionByName(m)
+            final = components(links)
+        rows = facts.select("doc_id", "n").unionByName(described.where("doc_id is null").select("doc_id", "n"))
+        return materialise(rows.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
