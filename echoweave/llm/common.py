@@ -181,8 +181,8 @@ def shingle_set(words: Words, grams: np.ndarray, i: int, k: int) -> np.ndarray:
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)``: a written table (id, component_id), one row per vertex that has an edge to another.
 
-    Alternates large-star and small-star rounds. The least neighbours are written before they are joined, so both
-    sides of a join are plain shuffles, of which Spark splits the large partitions of a vertex with very many edges.
+    Alternates large-star and small-star rounds. The least neighbours are written before they meet the edges, so both
+    sides of that join are plain shuffles, of which Spark splits the large partition of a vertex with very many edges.
     Only the tables of the last round are kept.
     """
     spark = edges.sparkSession
@@ -193,12 +193,11 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         for _ in range(max_rounds):
             least = tables.keep(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
             large = edges.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-            low = tables.keep(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-            tables.free(edges, least)
-            least = tables.keep(low.groupBy("a").agg(F.min("b").alias("m")))
-            small = low.join(least, "a").select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).where("a <> b")
-            edges = tables.keep(both(small).distinct())
-            tables.free(low, least)
+            low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            lowest = low.groupBy("a").agg(F.min("b").alias("m"))
+            small = low.join(lowest, "a").select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).where("a <> b")
+            previous, edges = edges, tables.keep(both(small).distinct())
+            tables.free(previous, least)
             now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
             if now == before:
                 break
@@ -206,3 +205,20 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         else:
             raise RuntimeError(f"no convergence in {max_rounds} rounds")
         return materialise(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component_id")).withColumnRenamed("a", "id"))
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """The written table (id, root) of a forest ``parents(b, a)`` with one parent a < b for each b; roots come too."""
+    with Tables(parents.sparkSession) as tables:
+        own = parents.select(F.col("b").alias("id"), F.col("a").alias("up"))
+        own = tables.keep(own.unionByName(own.join(own.select(F.col("id").alias("up")), "up", "left_anti").select(F.col("up").alias("id"), "up").distinct()))
+        while True:
+            above = own.select(F.col("id").alias("up"), F.col("up").alias("higher"))
+            following = tables.keep(own.join(above, "up").select("id", F.col("higher").alias("up"), (F.col("higher") != F.col("up")).alias("moved")))
+            moved = not following.where("moved").isEmpty()
+            tables.free(own)
+            own = following.drop("moved")
+            if not moved:
+                return materialise(own.withColumnRenamed("up", "root"))
+            own = tables.keep(own)
+            tables.free(following)

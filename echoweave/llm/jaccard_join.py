@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Tables, Words, components, materialise, mix, partitions_for, scramble, shingle_set, text_blocks
+from .common import Tables, Words, components, materialise, mix, partitions_for, roots, shingle_set, text_blocks
 
 WORDS = 5
 #: Independent cuts of the shingle domain.
@@ -168,10 +168,18 @@ def _folded(counts: np.ndarray, size: int) -> np.ndarray:
     return counts.reshape(size, -1).sum(1, dtype=np.int16)
 
 
-def _coarse(sketch: bytes, n: int) -> bytes:
-    """The sketch in an eighth of the cells (64 at least)."""
-    counts = np.minimum(_folded(_counts(sketch), _cells(n // 8)), 15).astype(np.uint8)
-    return (counts[::2] | counts[1::2] << 4).tobytes()
+#: Cells of the coarse sketch, a byte each.
+COARSE = 128
+#: Documents are kin if their coarse sketches differ by no more than this times what linked sets can differ by.
+KIN = 1.5
+
+
+def _coarse(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=COARSE), 255).astype(np.uint8).tobytes() if len(s) else b""
+
+
+def _coarse_table(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, COARSE).astype(np.int16)
 
 
 def _may_link(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray) -> bool:
@@ -195,7 +203,7 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
                     first = [int(s.sum(dtype=np.uint64)) for s in sets]
                     second = [int(mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64)) for s in sets]
                 sketches = [_sketch(s) for s in sets]
-                coarse = [_coarse(x, len(s)) for x, s in zip(sketches, sets, strict=True)]
+                coarse = [_coarse(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [block.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.array(d, np.uint64).view(np.int64)) for d in (first, second)], pa.array(sketches, pa.binary()), pa.array(coarse, pa.binary())],
                     names=["doc_id", "n", "d1", "d2", "sketch", "coarse"],
@@ -352,16 +360,20 @@ def _heads(buckets: DataFrame) -> DataFrame:
 
 
 def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pairs that set sizes and sketches do not rule out. Sound: a link is never lost."""
-    side = lambda s: facts.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
-    both = pairs.join(side("a"), "a").where("n_a > 0").join(side("b"), "b").where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
+    """(a, b, likely, kin): whether set sizes and sketches do not rule the link out (sound: none is lost), and whether the two are kin."""
+    side = lambda s: facts.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"), F.col("coarse").alias(f"t_{s}"))
+    both = pairs.join(side("a"), "a").where("n_a > 0").join(side("b"), "b").where("n_b > 0")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [_may_link(n, m, _counts(x), _counts(y)) for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            x, y = (_coarse_table(batch.column(c).to_pylist()) for c in ("t_a", "t_b"))
+            kin = 7 * np.abs(x - y).sum(1, dtype=np.int64) <= KIN * (n + m)
+            likely = [bool(k) and _may_link(*z[:2], _counts(z[2]), _counts(z[3])) for k, *z in zip(kin, *(batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")), strict=True)]
+            keep = batch.select(["a", "b"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(likely, pa.bool_()), pa.array(kin)], names=["a", "b", "likely", "kin"])
 
-    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b", "t_a", "t_b").mapInArrow(run, "a long, b long, likely boolean, kin boolean").where("likely or kin")
 
 
 def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -434,23 +446,38 @@ def _across(rows: DataFrame, facts: DataFrame, sketch: str, parts: int, same_hea
         odd = np.flatnonzero(c != values[many.argmax()])
         if not len(odd) or (not same_head and (h == h[0]).all()):
             return
-        counts = [_counts(x) for part in held for x in part[5]]
-        sizes = np.array([len(x) for x in counts])
-        of_size = {s: (np.cumsum(sizes >= s) - 1, np.stack([_folded(x, s) for x in counts if len(x) >= s])) for s in np.unique(sizes).tolist()}
-        out = []
-        for r in odd.tolist():
-            likely = (c != c[r]) & (4 * n >= 3 * n[r]) & (4 * n[r] >= 3 * n) & ((own != own[r]) | (i == j))
-            if not same_head:
-                likely &= h != h[r]
-            for s, (row, table) in of_size.items():
-                near = np.flatnonzero(likely & (np.minimum(sizes, sizes[r]) == s))
-                if len(near):
-                    differ = np.abs(table[row[near]] - table[row[r]]).sum(1, dtype=np.int64)
-                    found = docs[near[7 * differ <= n[near] + n[r]]]
-                    if len(found):
-                        out.append(np.column_stack([np.minimum(found, docs[r]), np.maximum(found, docs[r])]))
-        if out:
-            a, b = _owners(*np.concatenate(out).T)[0]
+        sketches = [x for part in held for x in part[5]]
+
+        def likely(rows: np.ndarray) -> np.ndarray:
+            rows = rows[:, None]
+            good = (c != c[rows]) & (4 * n >= 3 * n[rows]) & (4 * n[rows] >= 3 * n)
+            if i != j:
+                good &= own != own[rows]
+            return good if same_head else good & (h != h[rows])
+
+        # each size of sketch: the place of a member, and the members that have as many cells or more
+        if same_head:
+            counts = [_counts(x) for x in sketches]
+            sizes = np.array([len(x) for x in counts])
+            tables = {s: (np.cumsum(sizes >= s) - 1, np.stack([_folded(x, s) for x in counts if len(x) >= s])) for s in np.unique(sizes).tolist()}
+        else:
+            sizes = np.full(len(docs), COARSE)
+            tables = {COARSE: (np.arange(len(docs)), _coarse_table(sketches))}
+        found = []
+        step = max(1, 60_000 // len(docs))
+        for at in range(0, len(odd), step):
+            rows = odd[at : at + step]
+            x, y = np.nonzero(likely(rows))
+            x = rows[x]
+            for s, (row, table) in tables.items():
+                these = np.flatnonzero(np.minimum(sizes[x], sizes[y]) == s)
+                for lot in np.array_split(these, 1 + len(these) * s // 2_000_000):
+                    u, v = x[lot], y[lot]
+                    near = 7 * np.abs(table[row[u]] - table[row[v]]).sum(1, dtype=np.int64) <= n[u] + n[v]
+                    found.append(np.column_stack([docs[u[near]], docs[v[near]]]))
+        if sum(map(len, found)):
+            pairs = np.concatenate(found)
+            a, b = _owners(pairs.min(1), pairs.max(1))[0]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,18 +522,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         total = facts.agg(F.sum("n")).first()[0] or 0
         parts = max(8, -(-int(total) * 5 // (4 * TASK_SIGNATURES)))
         buckets = tables.keep(_gathered(_send(own, k, parts), parts))
-        near = tables.keep(_plausible(_heads(buckets), facts))
+        met = tables.keep(_plausible(_heads(buckets), facts))
+        near = met.where("likely").select("a", "b")
         texts = tables.keep(_texts(_ends(near), own))
         links = tables.keep(_linked(near, texts, k).unionByName(same))
-        found, around = components(links), components(near.unionByName(same))
-        where = tables.keep(around.join(found.withColumnRenamed("component_id", "c"), "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("c", "id").alias("c"), F.col("component_id").alias("h")))
+        found = components(links)
+        # a forest of likely heads: a copy stands under its first one, whatever else it meets
+        around = roots(met.where("kin").join(same.select("b"), "b", "left_anti").select("a", "b").unionByName(same))
+        where = tables.keep(around.join(found.withColumnRenamed("component_id", "c"), "id", "full").select(F.col("id").alias("doc_id"), F.coalesce("c", "id").alias("c"), F.coalesce("root", "id").alias("h")))
         # documents around one head
         sizes = where.groupBy("h").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h", "size")
         blocks = where.join(sizes, "h").select(F.col("h").alias("bucket"), "size", "doc_id", "c", "h")
         late = tables.keep(_across(blocks, facts, "sketch", spare, True).join(near, ["a", "b"], "left_anti"))
         # and around different heads
         apart = _across(_apart(_open(buckets), where, tables), facts, "coarse", spare, False).distinct()
-        far = tables.keep(_plausible(apart, facts))
+        far = tables.keep(_plausible(apart, facts).where("likely").select("a", "b"))
         more = [tables.keep(_linked(late, texts, k))]
         if not far.isEmpty():
             more.append(tables.keep(_linked(far, tables.keep(_texts(_ends(far), own)), k)))
