@@ -41,6 +41,8 @@ WORDS = 5
 WAYS = 4
 #: Members of a bucket that are compared as one block.
 CHUNK = 1000
+#: Most ids (of eight bytes) that are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: A larger bucket counts as hot.
 HOT = 24
 #: Signatures in one task of the search, and of one packed row's block.
@@ -285,8 +287,10 @@ def _owners(docs: np.ndarray, codes: np.ndarray) -> tuple[tuple[np.ndarray, np.n
 
 
 def _gathered(sent: DataFrame, parts: int) -> DataFrame:
-    """(bucket, doc_id, size, times, members, code) of every bucket with two documents or more.
+    """(bucket, least, doc_id, size, times, members, code), of two kinds.
 
+    Bucket -1: the least document of a bucket with another one, and in how many buckets of this task they meet
+    (``times``). Others: a member of a bucket with three documents or more, as two are told by the first kind.
     Buckets of one group and cut with equal members say the same: a task keeps one for ``times`` of them. ``members``
     names such a set of members.
     """
@@ -327,35 +331,25 @@ def _gathered(sent: DataFrame, parts: int) -> DataFrame:
             last = len(size) - 1 - last
             stays, of = np.zeros(len(size), bool), np.zeros(len(size), np.int64)
             stays[last], of[last] = True, times
-            bucket = np.repeat(np.arange(len(size)), size)
-            shown = stays[bucket]
-            docs, code, bucket = docs[shown], code[shown], bucket[shown]
-            columns = [(np.int64(p) << np.int64(32)) + bucket, docs, size[bucket], of[bucket], members.view(np.int64)[bucket], code]
-            for at in range(0, len(docs), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[at : at + 100_000]).astype(np.int64)) for c in columns], names=["bucket", "doc_id", "size", "times", "members", "code"])
+            bucket, least = np.repeat(np.arange(len(size)), size), np.repeat(docs[begin], size)
+            met = np.ones(len(docs), bool)
+            met[begin] = False
+            (head, other), owner = _owners(least[met & stays[bucket]], docs[met & stays[bucket]])
+            zero = np.zeros(len(head), np.int64)
+            yield from rows_of(zero - 1, head, other, zero, np.bincount(owner, of[bucket][met & stays[bucket]], minlength=len(head)), zero, zero)
+            shown = (stays & (size > 2))[bucket]
+            bucket = bucket[shown]
+            yield from rows_of((np.int64(p) << np.int64(32)) + bucket, least[shown], docs[shown], size[bucket], of[bucket], members.view(np.int64)[bucket], code[shown])
 
-    return sent.repartitionById(parts, "part").mapInArrow(run, "bucket long, doc_id long, size long, times long, members long, code long")
+    def rows_of(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(columns[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[at : at + 100_000]).astype(np.int64)) for c in columns], names=["bucket", "least", "doc_id", "size", "times", "members", "code"])
 
+    return sent.repartitionById(parts, "part").mapInArrow(run, "bucket long, least long, doc_id long, size long, times long, members long, code long")
 
-def _heads(buckets: DataFrame) -> DataFrame:
-    """(a, b) for each member b of buckets that is not least in all: of their least members the one it meets in most."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (None, None)
-        for batch in batches:
-            name, docs, times = (batch.column(c).to_numpy() for c in ("bucket", "doc_id", "times"))
-            if not len(name):
-                continue
-            begins = np.concatenate([[True], name[1:] != name[:-1]])
-            head = docs[np.maximum.accumulate(np.where(begins, np.arange(len(docs)), 0))]
-            if last[0] == name[0]:
-                head[: int(begins[1:].argmax()) + 1 if begins[1:].any() else len(docs)] = last[1]
-            last = (name[-1], head[-1])
-            apart = head != docs
-            (a, b), owner = _owners(np.minimum(head, docs)[apart], np.maximum(head, docs)[apart]) if apart.any() else ((docs[:0], docs[:0]), docs[:0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), pa.array(np.bincount(owner, times[apart], minlength=len(a)).astype(np.int64))], names=["a", "b", "c"])
-
-    met = buckets.select("bucket", "doc_id", "times").mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+def _heads(met: DataFrame) -> DataFrame:
+    """(a, b) for each member b of buckets that is not least in all: of their least members the one it meets in most."""
     return met.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
 
 
@@ -376,9 +370,11 @@ def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b", "t_a", "t_b").mapInArrow(run, "a long, b long, likely boolean, kin boolean").where("likely or kin")
 
 
-def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """The texts of some documents; the one place where whole texts are shuffled."""
-    return docs.join(ids.distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+def _texts(ids: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
+    """A written table of the texts of some documents. Ids are broadcast while they are few, so that only these texts are shuffled."""
+    ids = tables.keep(ids.distinct())
+    few = ids.count() <= BROADCAST_IDS
+    return tables.keep(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -419,13 +415,38 @@ def _open(buckets: DataFrame) -> DataFrame:
     return buckets.where(F.col("size") <= HOT).unionByName(hot)
 
 
-def _apart(buckets: DataFrame, where: DataFrame, tables: Tables) -> DataFrame:
-    """(bucket, size, doc_id, c, h) of the buckets whose members are in several components c and around several heads h."""
-    placed = buckets.join(where, "doc_id", "left").select("bucket", "doc_id", F.when(F.col("size") > HOT, F.col("bucket")).otherwise(F.col("members")).alias("members"), F.coalesce("c", "doc_id").alias("c"), F.coalesce("h", "doc_id").alias("h"))
-    member = tables.keep(placed)
-    split = member.groupBy("bucket").agg(*[f(x).alias(f"{x}{i}") for x in "ch" for i, f in enumerate((F.min, F.max))], F.first("members").alias("members"), F.count("*").alias("size")).where("c0 <> c1 and h0 <> h1")
-    split = split.groupBy("members").agg(F.min(F.struct("bucket", "size")).alias("x")).select("x.*")
-    return member.join(split, "bucket").select("bucket", "size", "doc_id", "c", "h")
+def _placed(rows: DataFrame, where: DataFrame, side: str) -> DataFrame:
+    """Adds component and head of the document in column ``side``; those of none are their own."""
+    known = where.select(F.col("doc_id").alias(side), F.col("c").alias(f"c_{side}"), F.col("h").alias(f"h_{side}"))
+    return rows.join(known, side, "left").withColumns({f"{x}_{side}": F.coalesce(f"{x}_{side}", side) for x in "ch"})
+
+
+def _apart(buckets: DataFrame, strangers: DataFrame, where: DataFrame, tables: Tables) -> DataFrame:
+    """(bucket, size, doc_id, c, h) of the buckets whose members are in several components c and around several heads h.
+
+    ``strangers(a, b)``: least and other members apart in both; only their buckets are looked at.
+    """
+    named = F.when(F.col("size") > HOT, F.col("bucket")).otherwise(F.col("members"))
+    mixed = buckets.join(strangers.select(F.col("a").alias("least"), F.col("b").alias("doc_id")), ["least", "doc_id"], "left_semi")
+    mixed = tables.keep(mixed.select("bucket", named.alias("members")).groupBy("members").agg(F.min("bucket").alias("bucket")).select("bucket"))
+    member = tables.keep(_open(buckets.join(mixed, "bucket")).select("bucket", "doc_id"))
+    member = tables.keep(_placed(member, where, "doc_id").select("bucket", "doc_id", F.col("c_doc_id").alias("c"), F.col("h_doc_id").alias("h")))
+    split = member.groupBy("bucket").agg(*[f(x).alias(f"{x}{i}") for x in "ch" for i, f in enumerate((F.min, F.max))], F.count("*").alias("size")).where("c0 <> c1 and h0 <> h1")
+    return member.join(split.select("bucket", "size"), "bucket").select("bucket", "size", "doc_id", "c", "h")
+
+
+def _likely_strangers(strangers: DataFrame, facts: DataFrame) -> DataFrame:
+    """Of pairs of different heads those that sizes and coarse sketches do not rule out."""
+    side = lambda s: facts.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("coarse").alias(f"t_{s}"))
+    both = strangers.join(side("a"), "a").join(side("b"), "b").where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (_coarse_table(batch.column(c).to_pylist()) for c in ("t_a", "t_b"))
+            good = 7 * np.abs(x - y).sum(1, dtype=np.int64) <= batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return both.select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
 
 def _across(rows: DataFrame, facts: DataFrame, sketch: str, parts: int, same_head: bool) -> DataFrame:
@@ -514,36 +535,34 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spare = partitions_for(spark, 0, 1)
     with Tables(spark) as tables:
         described = tables.keep(_describe(own, k))
-        own = own.where("doc_id is not null")
-        # rows that repeat a key: the fuller description stands, as the links of all of them count for one vertex
-        facts = tables.keep(described.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2", "sketch", "coarse")).alias("x")).select("doc_id", "x.*"))
-        copies = facts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
+        own, facts = own.where("doc_id is not null"), described.where("doc_id is not null")
+        if not facts.groupBy("doc_id").count().where("count > 1").isEmpty():
+            # rows that repeat a key: the fuller description stands, as the links of all of them count for one vertex
+            facts = tables.keep(facts.groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2", "sketch", "coarse")).alias("x")).select("doc_id", "x.*"))
+        copies = tables.keep(facts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c"))
         same = tables.keep(facts.select("doc_id", "n", "d1", "d2").join(copies, ["n", "d1", "d2"]).select("a", F.col("doc_id").alias("b")).where("a <> b"))
         total = facts.agg(F.sum("n")).first()[0] or 0
         parts = max(8, -(-int(total) * 5 // (4 * TASK_SIGNATURES)))
-        buckets = tables.keep(_gathered(_send(own, k, parts), parts))
-        met = tables.keep(_plausible(_heads(buckets), facts))
-        near = met.where("likely").select("a", "b")
-        texts = tables.keep(_texts(_ends(near), own))
-        links = tables.keep(_linked(near, texts, k).unionByName(same))
+        gathered = tables.keep(_gathered(_send(own, k, parts), parts))
+        buckets = gathered.where("bucket >= 0")
+        met = tables.keep(gathered.where("bucket < 0").groupBy(F.col("least").alias("a"), F.col("doc_id").alias("b")).agg(F.sum("times").alias("c")))
+        close = tables.keep(_plausible(_heads(met), facts))
+        near = close.where("likely").select("a", "b")
+        links = tables.keep(_linked(near, _texts(_ends(near), own, tables), k).unionByName(same))
         found = components(links)
         # a forest of likely heads: a copy stands under its first one, whatever else it meets
-        around = roots(met.where("kin").join(same.select("b"), "b", "left_anti").select("a", "b").unionByName(same))
+        around = roots(close.where("kin").join(same.select("b"), "b", "left_anti").select("a", "b").unionByName(same))
         where = tables.keep(around.join(found.withColumnRenamed("component_id", "c"), "id", "full").select(F.col("id").alias("doc_id"), F.coalesce("c", "id").alias("c"), F.coalesce("root", "id").alias("h")))
         # documents around one head
         sizes = where.groupBy("h").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h", "size")
         blocks = where.join(sizes, "h").select(F.col("h").alias("bucket"), "size", "doc_id", "c", "h")
         late = tables.keep(_across(blocks, facts, "sketch", spare, True).join(near, ["a", "b"], "left_anti"))
         # and around different heads
-        apart = _across(_apart(_open(buckets), where, tables), facts, "coarse", spare, False).distinct()
-        far = tables.keep(_plausible(apart, facts).where("likely").select("a", "b"))
-        more = [tables.keep(_linked(late, texts, k))]
-        if not far.isEmpty():
-            more.append(tables.keep(_linked(far, tables.keep(_texts(_ends(far), own)), k)))
-        final = found
-        if not all(m.isEmpty() for m in more):
-            for m in more:
-                links = links.unionByName(m)
-            final = components(links)
+        strangers = tables.keep(_placed(_placed(met.select("a", "b"), where, "a"), where, "b").where("c_a <> c_b and h_a <> h_b").select("a", "b"))
+        apart = _across(_apart(buckets, strangers, where, tables), facts, "coarse", spare, False)
+        far = tables.keep(_plausible(apart.unionByName(_likely_strangers(strangers, facts)).distinct(), facts).where("likely").select("a", "b"))
+        final, rest = found, late.unionByName(far)
+        if not rest.isEmpty():
+            final = components(links.unionByName(tables.keep(_linked(rest, _texts(_ends(rest), own, tables), k))))
         rows = facts.select("doc_id", "n").unionByName(described.where("doc_id is null").select("doc_id", "n"))
         return materialise(rows.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
