@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|noscript|template|textarea|title|svg|iframe|select|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_NAMED = re.compile(r"(class|id|role|y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Elements whose content is no text of the page.
+_RAW = {t: re.compile(f"</{t}(?![a-z0-9:-])", re.I) for t in "script style template textarea title svg iframe select object".split()}
 _WORD = re.compile(r"[a-z]+")
 #: Elements of HTML without an end tag, those inside a line of text, and which open ones a start tag ends.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,6 +31,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SPACE = " \t\n\r\f\v"
 _RUN = re.compile(r"\s+")
+#: Words of an element that counts as short: its pairs of words are evidence.
+SHORT = 24
 _STOP = re.compile(r"[.!?…]['\")\]]*\Z")
 
 
@@ -41,69 +45,149 @@ class Node:
     texts: list[int] = field(default_factory=list)
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
-    """Block elements in page order (0: the document), and the blocks of text: (element, text, letters in links)."""
+class _Frame:
+    """An open block element and the inline elements that are open in it."""
+
+    def __init__(self, tag: str, node: int):
+        self.tag, self.node = tag, node
+        self.inline: list[str] = []
+        self.open: dict[str, int] = {}
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of all tags, in one pass; comments and the like have no name.
+
+    A raw element runs to its end tag or the end of the page. Where no quote closes before the page ends, tags from
+    there on end at their first ``>``.
+    """
+    at, last, quoted = 0, page.rfind(">"), True
+    while 0 <= (at := page.find("<", at)) < last:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+        elif page[at + 1] in "!?":
+            end = page.find(">", at) + 1
+            yield at, end, "", False, ""
+        else:
+            closing = page[at + 1] == "/"
+            name = _NAME.match(page, at + 1 + closing)
+            if not name:
+                at += 1
+                continue
+            end = _tag_end(page, name.end()) if quoted else -1
+            if end < 0:
+                quoted = False
+                end = page.find(">", name.end())
+            tag, end = name[0].lower(), end + 1
+            inside = page[name.end() : end - 1]
+            if tag in _RAW and not closing and not inside.endswith("/"):
+                found = _RAW[tag].search(page, end)
+                end = page.find(">", found.end()) + 1 if found else len(page)
+                end = end or len(page)
+                tag = ""
+            yield at, end, tag, closing, inside
+        at = end
+
+
+def _tag_end(page: str, at: int) -> int:
+    """The ``>`` outside quoted values from a place on; -1 if there is none. A quote opens a value behind ``=`` alone."""
+    while True:
+        end = page.find(">", at)
+        if end < 0:
+            return -1
+        opened = min((i for i in (page.find("=", at, end),) if i >= 0), default=-1)
+        if opened < 0:
+            return end
+        value = opened + 1
+        while value < end and page[value] in _SPACE:
+            value += 1
+        if value < end and page[value] in "\"'":
+            closed = page.find(page[value], value + 1)
+            if closed < 0:
+                return -1
+            at = closed + 1
+        else:
+            at = value
+
+
+def parse(page: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int, str, int]]]:
+    """Block elements in page order (0: the document), and the blocks of text: (element, text, letters in links).
+
+    The work is in proportion to the page. ``labelled``: the attribute ``y`` is an element's label.
+    """
     nodes = [Node("document", "", -1)]
-    stack: list[tuple[str, int]] = [("document", 0)]  # open elements; inline ones have the node they stand in
+    frames = [_Frame("document", 0)]
+    opened: dict[str, int] = {}
     blocks: list[tuple[int, str, int]] = []
     part: list[tuple[str, bool]] = []
     links = 0
 
     def flush() -> None:
-        nonlocal links
         if part:
             text = _RUN.sub(" ", html.unescape("".join(p for p, _ in part))).strip()
             if text:
-                node = stack[-1][1]
+                node = frames[-1].node
                 nodes[node].texts.append(len(blocks))
                 blocks.append((node, text, sum(len(p) for p, linked in part if linked)))
             part.clear()
 
+    def close() -> str:
+        nonlocal links
+        frame = frames.pop()
+        opened[frame.tag] -= 1
+        links -= frame.open.get("a", 0)
+        return frame.tag
+
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            part.append((page[at : m.start()], links > 0))
-        at = m.end()
-        name = m[3]
-        if name is None:
+    for start, end, tag, closing, inside in _tags(page):
+        if start > at:
+            part.append((page[at:start], links > 0))
+        at = end
+        frame = frames[-1]
+        if not tag:
             continue
-        tag = name.lower()
-        if m[2]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if not depth or (tag in _INLINE and any(t not in _INLINE for t, _ in stack[depth + 1 :])):
-                continue
-            if tag not in _INLINE:
+        if closing:
+            if tag in _INLINE:
+                while frame.open.get(tag, 0):
+                    gone = frame.inline.pop()
+                    frame.open[gone] -= 1
+                    links -= gone == "a"
+                    if gone == tag:
+                        break
+            elif opened.get(tag, 0):
                 flush()
-            links -= sum(t == "a" for t, _ in stack[depth:])
-            del stack[depth:]
+                while close() != tag:
+                    pass
         elif tag in _VOID:
             if tag in ("br", "hr"):
                 flush()
         elif tag in _INLINE:
             links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            frame.inline.append(tag)
+            frame.open[tag] = frame.open.get(tag, 0) + 1
         else:
             flush()
             ends = _ENDS.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
-                t = stack[i][0]
-                if t == "p" or t in ends:
-                    links -= sum(x == "a" for x, _ in stack[i:])
-                    del stack[i:]
-                    if t == "p" or tag not in ("tr",):
-                        break
-                elif t not in _INLINE:
+            while len(frames) > 1 and (frames[-1].tag == "p" or frames[-1].tag in ends):
+                gone = close()
+                if gone == "p" or tag != "tr":
                     break
             names, label = [], None
-            for a in _NAMED.finditer(m[4]):
+            for a in _ATTRIBUTE.finditer(inside):
                 value = a[2] or a[3] or a[4] or ""
-                if a[1].lower() == "y":
-                    label = int(value)
-                else:
+                if a[1].lower() != "y":
                     names.append(value)
-            nodes.append(Node(tag, " ".join(names), stack[-1][1], label))
-            if not m[4].endswith("/"):
-                stack.append((tag, len(nodes) - 1))
+                elif labelled:
+                    label = int(value)
+            nodes.append(Node(tag, " ".join(names), frames[-1].node, label))
+            if not inside.endswith("/"):
+                frames.append(_Frame(tag, len(nodes) - 1))
+                opened[tag] = opened.get(tag, 0) + 1
     if at < len(page):
         part.append((page[at:], links > 0))
     flush()
@@ -122,6 +206,9 @@ def evidence(node: Node, blocks: list[tuple[int, str, int]]) -> list[str]:
     out.append(f"words={min(4, int(math.log2(words + 1) / 1.5))}")
     out.append(f"links={0 if share < 0.2 else 1 if share < 0.7 else 2}")
     out.append(f"stop={bool(_STOP.search(own[-1][1]))}")
+    if words <= SHORT:
+        said = [_WORD.findall(t.lower()) for _, t, _ in own]
+        out += sorted({f"says={a} {b}" for w in said for a, b in zip(w, w[1:], strict=False)})
     return out
 
 
@@ -140,8 +227,13 @@ class Model:
         up = []
         for node in nodes:
             a = b = 0.0
+            told = False
             for f in evidence(node, blocks):
                 x = self.weight.get(f, none)
+                if x is not none and f.startswith("says="):
+                    if told:  # an article may quote a notice: one pair of words counts
+                        continue
+                    told = True
                 a += x[0]
                 b += x[1]
             top = max(a, b)
@@ -177,7 +269,7 @@ def train(pages: Iterable[str], add: float = 0.5) -> Model:
     counts: dict[str, list[float]] = {}
     total, move = np.zeros(2), np.full((2, 2), add)
     for page in pages:
-        nodes, blocks = parse(page)
+        nodes, blocks = parse(page, labelled=True)
         labels: list[int] = []
         for i, node in enumerate(nodes):
             labels.append(1 if not i else labels[node.parent] if node.label is None else node.label)
@@ -186,6 +278,8 @@ def train(pages: Iterable[str], add: float = 0.5) -> Model:
                 move[labels[node.parent], labels[i]] += 1
             for f in evidence(node, blocks):
                 counts.setdefault(f, [add, add])[labels[i]] += 1
+    # pairs of words tell if several elements outside articles hold them and none inside
+    counts = {f: n for f, n in counts.items() if not f.startswith("says=") or (n[0] >= 3 and n[1] < 1)}
     weight = {f: tuple(np.log(np.array(n) / (total + 2 * add)).tolist()) for f, n in counts.items()}
     return Model(weight, np.log(move / move.sum(1, keepdims=True)), np.log(np.array([0.02, 0.98])))
 
@@ -208,11 +302,21 @@ LAYOUTS = (
     "<body><div class=alert role=alert y=0><p>L</p></div><article class=post><h1>S</h1><p>L</p><p>L</p><p>L</p><dl><dt>S</dt><dd>L</dd></dl></article><section class='comment-list responses' y=0><article class=comment><h4>S</h4><p>L</p></article><article class=comment><p>L</p></article></section></body>",
     "<body><div class='menu nav' y=0><ul><li>S</li><li>S</li></ul></div><div class='ads sponsor' y=0>L</div><div class=body><h1>S</h1>P<pre>L</pre><aside class=pullquote y=0><p>N</p></aside>P</div><div class=tags y=0>K</div><div class='login form' y=0><form><p>N</p></form></div></body>",
 )
+#: Short notices of the kind that surrounds articles, and names that say nothing.
+NOTICES = (
+    "all rights reserved", "subscribe to our newsletter", "sign up for updates", "we use cookies to improve this site", "accept all cookies", "log in to leave a comment", "share this article", "follow us",
+    "privacy policy and terms of use", "copyright notice", "skip to content", "read more related stories", "advertisement", "sponsored content", "back to top", "contact us about this site",
+)
+_PLAIN = "x1 c2 box row col block strip panel unit inner outer part wrap cell area".split()
+_CALLED = re.compile(r"(class|id|role)=('[^']*'|[^\s>]+)")
 _FILL = "a the river over light was stone garden for with morning people under old again through window because near almost".split()
 
 
 def labelled_pages(copies: int = 12) -> list[str]:
-    """The layouts with invented text of many lengths, ``copies`` of each; the same every time."""
+    """The layouts with invented text of many lengths, ``copies`` of each; the same every time.
+
+    In a third of them the elements' names say nothing, so that what stands in them has to tell.
+    """
     rng = np.random.default_rng(5)
 
     def words(n: int) -> str:
@@ -223,6 +327,8 @@ def labelled_pages(copies: int = 12) -> list[str]:
         if kind == "S":
             return words(int(rng.integers(1, 9)))
         if kind == "N":
+            if rng.random() < 0.5:
+                return str(rng.choice(NOTICES)).capitalize() + ("." if rng.random() < 0.5 else "")
             return words(int(rng.integers(2, 18))) + ("." if rng.random() < 0.7 else "")
         if kind == "L":
             return " ".join(words(int(rng.integers(3, 25))).capitalize() + "." for _ in range(int(rng.integers(1, 5))))
@@ -231,7 +337,8 @@ def labelled_pages(copies: int = 12) -> list[str]:
         return "".join(f"<p>{words(int(rng.integers(1, 4)))}{'.' if rng.random() < 0.5 else ''}</p>" if rng.random() < 0.25 else f"<p>{words(int(rng.integers(6, 120)))}{'.' if rng.random() < 0.8 else ''}</p>" for _ in range(int(rng.integers(1, 6))))
 
     outside = re.compile(r"(?<=>)[^<]+(?=<)")
-    return [outside.sub(lambda m: re.sub(r"[SNLKP]", fill, m[0]), layout) for layout in LAYOUTS for _ in range(copies)]
+    unnamed = lambda layout: _CALLED.sub(lambda m: f"class={rng.choice(_PLAIN)}", layout)
+    return [outside.sub(lambda m: re.sub(r"[SNLKP]", fill, m[0]), unnamed(layout) if i % 3 == 2 else layout) for layout in LAYOUTS for i in range(copies)]
 
 
 _model: list[Model] = []
