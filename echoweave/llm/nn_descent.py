@@ -1,11 +1,14 @@
 """Embedding near-duplicates by NN-descent.
 
-Every vector keeps a list of its nearest neighbours found so far: the ``K`` best, and beyond them all that reach the
-threshold, so a list whose K entries all do is enlarged. Lists start from random hyperplane trees: vectors sorted by
-(label, signs, projection) are compared within consecutive blocks of bounded size. Rounds of the local join follow:
-a vector's neighbours are compared with each other, as a neighbour of a neighbour is likely a neighbour. Recall is
-then audited against brute force for a bounded set of queries; while it is too low, another forest and another round
-refine the lists. Links are the list entries at or above the threshold.
+Every vector keeps a list of its nearest neighbours found so far: the ``K`` best, and while all of those reach the
+threshold it is enlarged, up to ``WIDE``. Lists start from random hyperplane trees: vectors sorted by (label, signs,
+projection) are compared within consecutive blocks of bounded size. Rounds of the local join follow: a vector's
+neighbours are compared with each other, as a neighbour of a neighbour is likely a neighbour. Recall is then audited
+against brute force; while it is too low, another forest and another round refine the lists, and if the last one does
+not do, an exact search in blocks takes their place.
+
+Entries at the threshold are links, and links make components. A list need not hold all links of a vector: within each
+component all pairs are compared in blocks, and only the number of links leaves a block.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, partitions_for
+from .common import Tables, components, materialise, partitions_for
 
-K, TREES, BLOCK, JOINED, ROUNDS = 10, 4, 1024, 16, 2
-AUDIT, RECALL = 200, 0.97
+K, WIDE, TREES, BLOCK, JOINED, ROUNDS = 10, 48, 4, 1024, 16, 2
+#: Most queries of the audit (of the rows whose id is divisible by 50, those with the least hashes), and the mean share of a query's links that must be found.
+AUDIT, RECALL = 1000, 0.97
 PAIR = "a long, b long, sim double"
 
 
@@ -34,12 +38,12 @@ def _pairs(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(sim.astype(float))], names=["a", "b", "sim"])
 
 
-def _best(sims: np.ndarray, ids: np.ndarray, floor: np.ndarray, threshold: float) -> pa.RecordBatch:
-    """Of a block's similarities each row's K best and all at the threshold, if they reach the row's floor."""
+def _best(sims: np.ndarray, ids: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """Of a block's similarities each row's K best, and those at the threshold up to WIDE."""
     np.fill_diagonal(sims, -2)
-    k = min(K, len(ids) - 1)
-    kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
-    a, b = np.nonzero((sims >= np.minimum(kth, threshold)[:, None]) & (sims >= floor[:, None]) & (sims > -2))
+    ordered = -np.partition(-sims, [min(K, len(ids) - 1) - 1, min(WIDE, len(ids) - 1) - 1], axis=1)
+    kth, wide = ordered[:, min(K, len(ids) - 1) - 1], ordered[:, min(WIDE, len(ids) - 1) - 1]
+    a, b = np.nonzero((sims >= np.maximum(np.minimum(kth, threshold), wide)[:, None]) & (sims > -2))
     return _pairs(ids[a], ids[b], sims[a, b])
 
 
@@ -66,7 +70,7 @@ def _forest(vectors: DataFrame, dim: int, first: int, threshold: float) -> DataF
             ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             held.clear()
             if len(ids) > 1:
-                yield _best(x @ x.T, ids, np.full(len(ids), -1.5), threshold)
+                yield _best(x @ x.T, ids, threshold)
 
         name = None
         for batch in batches:
@@ -97,20 +101,24 @@ def _forest(vectors: DataFrame, dim: int, first: int, threshold: float) -> DataF
     return ordered.mapInArrow(compare, PAIR)
 
 
-def _merge(lists: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Lists (id, near: sorted (sim, b)) of the K best and all at the threshold among old entries and new pairs."""
+def _merge(lists: DataFrame | None, found: DataFrame, threshold: float, tables: Tables) -> DataFrame:
+    """Lists (id, near: sorted (sim, b)) of the K best, and of those at the threshold up to WIDE, among old entries and new pairs."""
     flat = found.select(F.col("a").alias("id"), F.struct("sim", "b").alias("x"))
     if lists is not None:
         flat = flat.union(lists.select("id", F.explode("near").alias("x")))
     near = flat.groupBy("id").agg(F.sort_array(F.collect_set("x"), asc=False).alias("near"))
-    return materialise(near.select("id", F.filter("near", lambda x, i: (i < K) | (x["sim"] >= threshold)).alias("near")))
+    out = tables.keep(near.select("id", F.filter("near", lambda x, i: (i < K) | ((x["sim"] >= threshold) & (i < WIDE))).alias("near")))
+    if lists is not None:
+        tables.free(lists)
+    return out
 
 
 def _local_join(lists: DataFrame, vectors: DataFrame, dim: int, turn: int, threshold: float) -> DataFrame:
     """Compares the neighbours of each vector with each other: ``JOINED`` of its list, others in every round."""
     drawn = F.slice(F.array_sort(F.transform("near", lambda x: F.struct(F.xxhash64(x["b"], F.col("id"), F.lit(turn)).alias("h"), x["b"].alias("b")))), 1, JOINED)
     asked = lists.select(F.col("id").alias("center"), F.explode(drawn).alias("x")).select("center", F.col("x.b").alias("id"))
-    worst = lists.select("id", F.when(F.size("near") >= K, F.element_at("near", -1)["sim"]).otherwise(-1.5).alias("floor"))
+    last = F.element_at("near", -1)["sim"]
+    worst = lists.select("id", F.when(F.size("near") >= WIDE, last).when(F.size("near") >= K, F.least(last, F.lit(threshold))).otherwise(-1.5).alias("floor"))
     members = asked.join(vectors.join(worst, "id", "left").select("id", "vec", F.coalesce("floor", F.lit(-1.5)).alias("floor")), "id")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +129,7 @@ def _local_join(lists: DataFrame, vectors: DataFrame, dim: int, turn: int, thres
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 sims = x @ x.T
                 np.fill_diagonal(sims, -2)
-                a, b = np.nonzero(sims >= np.minimum(floor, threshold)[:, None])
+                a, b = np.nonzero((sims > floor[:, None]) & (sims > -2))
                 out.append((ids[a], ids[b], sims[a, b]))
             if out:
                 yield _pairs(*(np.concatenate(c) for c in zip(*out, strict=True)))
@@ -132,8 +140,11 @@ def _local_join(lists: DataFrame, vectors: DataFrame, dim: int, turn: int, thres
 
 
 def _recall(lists: DataFrame, vectors: DataFrame, dim: int, threshold: float) -> float:
-    """Share of the links of ``AUDIT`` queries (least hashes of ids) that their lists have, brute force over all vectors."""
-    queries = vectors.orderBy(F.xxhash64("id")).limit(AUDIT).select("id", "label", "vec").collect()
+    """The mean, over at most ``AUDIT`` queries that have links, of the share of them in the list; brute force over all vectors.
+
+    A full list counts as whole: it links the query with more than enough of its component.
+    """
+    queries = vectors.where(F.col("id") % 50 == 0).orderBy(F.xxhash64("id")).limit(AUDIT).select("id", "label", "vec").collect()
     if not queries:
         return 1.0
     ids, labels = np.array([q["id"] for q in queries]), np.array([q["label"] for q in queries])
@@ -145,48 +156,121 @@ def _recall(lists: DataFrame, vectors: DataFrame, dim: int, threshold: float) ->
             if batch.num_rows:
                 own, label = batch.column("id").to_numpy(), batch.column("label").to_numpy()
                 sims = x @ _matrix(batch.column("vec"), dim).T
-                a, b = np.nonzero((sims >= threshold) & (labels[:, None] == label[None, :]) & (ids[:, None] != own[None, :]))
-                yield _pairs(ids[a], own[b], sims[a, b])
+                at, many = np.unique(np.nonzero((sims >= threshold) & (labels[:, None] == label[None, :]) & (ids[:, None] != own[None, :]))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(many.astype(np.int64))], names=["id", "n"])
 
-    true = materialise(vectors.mapInArrow(search, PAIR))
-    links = lists.join(true.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.explode("near.b").alias("b"))
-    total = true.count()
-    return true.join(links, ["a", "b"], "left_semi").count() / total if total else 1.0
+    true = vectors.mapInArrow(search, "id long, n long").groupBy("id").agg(F.least(F.sum("n"), F.lit(WIDE)).alias("n"))
+    found = lists.select("id", F.size(F.filter("near", lambda y: y["sim"] >= threshold)).alias("found"))
+    share = true.join(found, "id", "left").agg(F.avg(F.least(F.coalesce("found", F.lit(0)) / F.col("n"), F.lit(1.0)))).first()[0]
+    return 1.0 if share is None else share
 
 
-def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, max_forests: int = 5) -> DataFrame:
-    """(key, n_links, component_id, kept) of every row whose key is not null.
+def _in_blocks(rows: DataFrame, dim: int, schema: str, compare) -> DataFrame:
+    """``compare`` of every two chunks of each group of ``rows(g, size, id, weight, vec)``; chunks hold about BLOCK rows.
 
-    Vectors without label, and those that are null, empty, zero or have null or non-finite components, or another
-    dimension than the longest, link with nothing. Equal vectors of a label are searched once and each copy
-    counts as a link of the others. A repeated key counts as so many copies of one vector but gives one row.
+    A row is copied once for each chunk of its group. ``compare(ids, weights, x, left)``: ``left`` marks the rows of
+    the first of two chunks; all are left ones where a chunk meets itself.
     """
-    rows = table.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("vec"))
-    rows = rows.groupBy("id").agg(F.min_by(F.struct("label", "vec"), F.struct("label", "vec")).alias("x")).select("id", "x.*")
-    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.coalesce(F.col("label").isNotNull() & (F.size("vec") > 0) & finite & F.exists("vec", lambda x: x != 0), F.lit(False))
-    rows = materialise(rows.withColumn("usable", usable))
-    good = rows.where("usable")
-    dim = good.agg(F.max(F.size("vec"))).first()[0] or 0
-    good = good.where(F.size("vec") == dim)
-    copies = materialise(good.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = dealt.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "weight", "vec")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def block() -> Iterator[pa.RecordBatch]:
+            own, ids, weights, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            yield from compare(ids, weights, x, np.ones(len(own), bool) if key[1] == key[2] else own == key[1])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, i, j, own, ids, weights = (batch.column(c).to_numpy() for c in ("g", "i", "j", "own", "id", "weight"))
+            x = _matrix(batch.column("vec"), dim)
+            cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(g)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                name = (g[a], i[a], j[a])
+                if name != key:
+                    if held:
+                        yield from block()
+                    key, held = name, []
+                held.append((own[a:b], ids[a:b], weights[a:b], x[a:b]))
+        if held:
+            yield from block()
+
+    parts = partitions_for(rows.sparkSession, 0, 1)
+    return dealt.repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, schema)
+
+
+def _exact(vectors: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """All links (a, b) within labels, by blocks; for vectors whose lists stay below the recall."""
+
+    def links(ids, weights, x, left) -> Iterator[pa.RecordBatch]:
+        right = np.ones(len(left), bool) if left.all() else ~left
+        a, b = np.nonzero(x[left] @ x[right].T >= threshold)
+        a, b = ids[left][a], ids[right][b]
+        yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+    sizes = vectors.groupBy("label").agg(F.count("*").alias("size"))
+    rows = vectors.join(sizes, "label").select(F.col("label").cast("long").alias("g"), "size", "id", F.lit(1).cast("long").alias("weight"), "vec")
+    return _in_blocks(rows, dim, "a long, b long", links)
+
+
+def _link_counts(members: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(id, others): for each of ``members(g, size, id, weight, vec)`` the weights of the others of its group that it links with."""
+
+    def count(ids, weights, x, left) -> Iterator[pa.RecordBatch]:
+        right = np.ones(len(left), bool) if left.all() else ~left
+        near = x[left] @ x[right].T >= threshold
+        near &= ids[left][:, None] != ids[right][None, :]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array((near @ weights[right]).astype(np.int64))], names=["id", "others"])
+        if not left.all():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[right]), pa.array((weights[left] @ near).astype(np.int64))], names=["id", "others"])
+
+    return _in_blocks(members, dim, "id long, others long", count).groupBy("id").agg(F.sum("others").alias("others"))
+
+
+def _of_dimension(good: DataFrame, dim: int, threshold: float, max_forests: int, tables: Tables) -> DataFrame:
+    """(id, n_links, component_id) of usable rows (id, label, vec) of one dimension."""
+    copies = tables.keep(good.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     vectors = copies.select("id", "label", "vec")
     lists = None
     for forest in range(max_forests):
-        lists = _merge(lists, _forest(vectors, dim, forest * TREES, threshold), threshold)
+        lists = _merge(lists, _forest(vectors, dim, forest * TREES, threshold), threshold, tables)
         for turn in range(ROUNDS):
-            lists = _merge(lists, _local_join(lists, vectors, dim, forest * ROUNDS + turn, threshold), threshold)
+            lists = _merge(lists, _local_join(lists, vectors, dim, forest * ROUNDS + turn, threshold), threshold, tables)
         if _recall(lists, vectors, dim, threshold) >= RECALL:
+            links = lists.select(F.col("id").alias("a"), F.explode("near").alias("x")).where(F.col("x.sim") >= threshold).select("a", F.col("x.b").alias("b"))
             break
-    links = lists.select(F.col("id").alias("a"), F.explode("near").alias("x")).where(F.col("x.sim") >= threshold).select("a", F.col("x.b").alias("b"))
-    links = materialise(links.union(links.select("b", "a")).distinct())
-    many = links.join(copies.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    found = components(links).withColumnRenamed("id", "a")
-    whole = copies.join(many, copies["id"] == many["a"], "left").drop("a").join(found, F.col("id") == found["a"], "left").drop("a")
-    whole = materialise(whole.select("label", "vec", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))) if dim else None
-    if whole is None:
-        done = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     else:
-        mine = good.select("id", "label", "vec").join(whole, ["label", "vec"]).select("id", "n_links", "component_id")
-        done = mine.union(rows.join(mine.select("id"), "id", "left_anti").select("id", F.lit(0).cast("long"), "id"))
-    return done.select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+        links = _exact(vectors, dim, threshold)
+    found = components(tables.keep(links))
+    sizes = found.groupBy("component_id").agg(F.count("*").alias("size"))
+    members = found.join(sizes, "component_id").join(copies, "id").select(F.col("component_id").alias("g"), "size", "id", F.col("copies").alias("weight"), "vec")
+    counts = tables.keep(_link_counts(members, dim, threshold))
+    whole = copies.join(counts, "id", "left").join(found, "id", "left").select("label", "vec", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return tables.keep(good.join(whole, ["label", "vec"]).select("id", "n_links", "component_id"))
+
+
+def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, max_forests: int = 5) -> DataFrame:
+    """(key, n_links, component_id, kept) of every row whose key is not null.
+
+    Only vectors of one label and one dimension are compared; each dimension is searched apart. Vectors without label,
+    and those that are null, empty, zero or have null or non-finite components, link with nothing. Vectors are scaled
+    by their largest component first, so neither large nor tiny numbers spoil their length. Equal vectors of a label
+    are searched once and each copy counts as a link of the others. Rows that repeat a key give one row, with the
+    least (label, vector). Other columns are not read.
+    """
+    rows = table.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("vec"))
+    rows = rows.groupBy("id").agg(F.min_by(F.struct("label", "vec"), F.struct("label", "vec")).alias("x")).select("id", "x.*")
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = F.coalesce(F.col("label").isNotNull() & (F.size("vec") > 0) & finite & F.exists("vec", lambda x: x != 0), F.lit(False))
+    largest = F.array_max(F.transform("vec", lambda x: F.abs(x)))
+    with Tables(table.sparkSession) as tables:
+        rows = tables.keep(rows.withColumn("usable", usable).withColumn("vec", F.when(F.col("usable"), F.transform("vec", lambda x: x / largest))))
+        good = rows.where("usable").select("id", "label", "vec")
+        dims = sorted(r[0] for r in good.select(F.size("vec")).distinct().collect())
+        done = rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+        for dim in dims:
+            done = done.unionByName(_of_dimension(good.where(F.size("vec") == dim), dim, threshold, max_forests, tables))
+        return materialise(done.select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept")))

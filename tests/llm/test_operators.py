@@ -146,6 +146,29 @@ def test_html(spark):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
 
 
+def test_html_hard_pages(spark):
+    """Attributes that end in y, quotes and sections that do not close, plain names, and pages of a megabyte."""
+    import time
+
+    from echoweave.llm.html_text import extract
+
+    body = "<p>The quick river ran over the stone all morning, and people saw it.</p><p>It was near the old garden, almost under the light again.</p>"
+    text = re.sub(r"\s*</p><p>\s*", " ", body)[3:-4]
+    pages = {
+        f'<div data-key="abc"><section data-category="news" property="articleBody">{body}</section></div>': text,
+        f'<article title="oops>{body}</article>': text,
+        f"<article><![CDATA[a > b]]>{body}</article>": text,
+        f"<noscript>{body}</noscript>": text,
+        f"<div class='hdr-strip'><a href=/>Home</a> <a href=/n>News</a></div><div class=x1>{body}</div><div class=btm><p>Subscribe to our newsletter</p><p>All rights reserved</p></div>": text,
+    }
+    long_ = ["<a b=" * 200_000, "<div>" * 60_000 + "</p></span>" * 60_000, "<a b='>' " * 100_000, "<b>" + "<div>" * 50_000 + "</b>" * 50_000]
+    rows = [(i, p) for i, p in enumerate([*pages, *long_])]
+    began = time.time()
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows + rows[:1], "page_id long, html string")).collect()}
+    assert [got[i] for i in range(len(pages))] == list(pages.values()) and time.time() - began < 60
+    assert extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
 def test_urls(spark):
     from echoweave.llm.url_filter import filter_urls
 
@@ -233,22 +256,37 @@ def test_language_model(docs, texts, nothing):
     assert score(nothing).count() == 0
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("forests", [5, 0])
+def test_embeddings(spark, forests):
+    """Against brute force; without forests the exact search alone finds the links."""
     from echoweave.llm.nn_descent import near_duplicates
 
     rng = np.random.default_rng(0)
     centers = rng.standard_normal((6, 16))
     x = np.concatenate([c + 0.1 * rng.standard_normal((25, 16)) for c in centers] + [rng.standard_normal((60, 16))])
+    x[7] *= 1e200
+    x[8] *= 1e-200
     rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
     rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [None, *[1.0] * 15], 1), (903, [float("nan"), *[1.0] * 15], 1), (904, [], 1), (905, x[0].tolist(), None), (906, x[0].tolist(), 0)]
-    got = {r.vec_id: r for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    rows += [(910, [1.0, 2.0], 0), (911, [2.0, 4.0], 0), (912, [2.0, 4.1], 0), (912, [9.0, 0.0], 1), (None, x[0].tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("n_links", F.lit("clash"))
+    found = near_duplicates(df, max_forests=forests)
+    got = {r.vec_id: r for r in found.collect()}
+    assert found.count() == len(got) == len(x) + 10
     u = np.concatenate([x, x[:1]])
+    u /= np.abs(u).max(1, keepdims=True)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     ids, label = [*range(len(x)), 906], np.array([i % 2 for i in range(len(x))] + [0])
     near = (u @ u.T >= 0.93) & (label[:, None] == label) & ~np.eye(len(u), dtype=bool)
+    reach = near | np.eye(len(u), dtype=bool)
+    for _ in range(8):
+        reach = reach @ reach
     for i, k in enumerate(ids):
-        assert got[k].n_links == near[i].sum()
+        assert got[k].n_links == near[i].sum() and got[k].component_id == min(ids[j] for j in np.flatnonzero(reach[i]))
+        assert got[k].kept == (got[k].component_id == k)
     assert all(got[k].n_links == 0 and got[k].kept for k in range(900, 906))
+    assert [(got[k].n_links, got[k].component_id) for k in (910, 911, 912)] == [(2, 910)] * 3
+    assert near_duplicates(df.limit(0)).count() == 0
 
 
 def test_fingerprints(docs, texts, nothing):
