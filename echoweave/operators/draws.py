@@ -47,6 +47,11 @@ def pick(df: DataFrame, table: DataFrame, u: Column, by: Sequence[str] = ()) ->
     return placed.join(table.drop("size"), [*by, "k"], "left").drop("k")
 
 
+def climatology(points: DataFrame, table: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``n`` values of :func:`empirical` for every point, whatever its features."""
+    return pick(tiled(points, n), table, uniform("climate", *keys, "draw"))
+
+
 def bulk_draws(df: DataFrame, slope: float, intercept: float, residuals: DataFrame, u: Column, distance: str = "bistatic_range_m", name: str = "sampled_error") -> DataFrame:
     """Trend in range and a residual picked at random (``residuals``: :func:`empirical` of ``residual``)."""
     return pick(df, residuals, u).withColumn(name, F.lit(intercept) + F.lit(slope) * F.col(distance) + F.col("residual")).drop("residual")

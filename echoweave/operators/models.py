@@ -208,3 +208,41 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
         after = auroc(predict(model, given.join(values, "row").drop("row"), features), "p", label).first()["auroc"]
         rows.append((f, None if base is None else base - after))
     return df.sparkSession.createDataFrame(rows, "feature string, loss double")
+
+
+def constant_predictions(df: DataFrame, label: str = "detected") -> DataFrame:
+    """One row: the rate of targets without partner, and the shares f0 to f3 of the outcomes of pairs."""
+    from .pairs import branch, pairs
+
+    rate = branch(df).where("branch = 'independent'").agg(F.avg(label).alias("rate"))
+    score = 2 * F.col(f"{label}_a") + F.col(f"{label}_b")
+    shares = pairs(df, [label], symmetric=True).agg(*[F.avg((score == i).cast("int")).alias(f"f{i}") for i in range(4)])
+    return rate.withColumns({name: F.lit(value) for name, value in shares.first().asDict().items()})
+
+
+def fit_pair_network(train: DataFrame, features: Sequence[str], label: str, classes: int, hidden: int = 64, steps: int = 60, seed: int = 42) -> PipelineModel:
+    """A network of two hidden layers over all outcomes of a pair."""
+    network = MultilayerPerceptronClassifier(featuresCol="x", labelCol=label, layers=[2 * len(features), hidden, hidden, classes], maxIter=steps, seed=seed)
+    return Pipeline(stages=[*_prepare(features, True), network]).fit(_with_flags(train, features))
+
+
+def predict_classes(model: PipelineModel, df: DataFrame, features: Sequence[str], classes: int, prefix: str = "p") -> DataFrame:
+    p = vector_to_array("probability")
+    return model.transform(_with_flags(df, features)).select(*df.columns, *[p[i].alias(f"{prefix}{i}") for i in range(classes)])
+
+
+def fit_regimes(train: DataFrame, features: Sequence[str], label: str, classes: int, folds: int = 5, trees: int = 20) -> tuple[list[PipelineModel], list[float]]:
+    """The folds' forests, and the biases that calibrate them, from rows that each forest has not seen."""
+    fitted, scored = cross_fit(train, features, label, classes, folds, trees)
+    return fitted, fit_bias(scored.select("raw", label).persist(), "raw", label, classes)
+
+
+def predict_regimes(fitted: tuple[list[PipelineModel], list[float]], df: DataFrame, features: Sequence[str], classes: int, prefix: str = "p") -> DataFrame:
+    """Adds the average of the calibrated probabilities of all forests."""
+    forests, bias = fitted
+    out = df
+    for k, forest in enumerate(forests):
+        raw = forest.transform(_with_flags(out, features)).select(*out.columns, _log_probabilities(classes).alias("__raw"))
+        out = raw.withColumn(f"__p{k}", F.array(*biased("__raw", bias))).drop("__raw")
+    mean = lambda i: sum((F.col(f"__p{k}")[i] for k in range(1, len(forests))), F.col("__p0")[i]) / len(forests)
+    return out.select(*df.columns, *[mean(i).alias(f"{prefix}{i}") for i in range(classes)])

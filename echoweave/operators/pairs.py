@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import KEYS, MATCH_COLS, SCENE
+from .ranks import ordinal
 
 
 def with_group_size(df: DataFrame, match: Sequence[str] = MATCH_COLS) -> DataFrame:
@@ -57,3 +58,9 @@ def is_held_out(columns: Sequence[str] = SCENE) -> Column:
 def fold(n: int, columns: Sequence[str] = SCENE) -> Column:
     """A fold from 0 to n - 1, the same for all rows of a scene."""
     return (F.conv(_share(columns, "fold"), 16, 10).cast("long") % n).cast("int")
+
+
+def balanced_folds(df: DataFrame, n: int, scene: Sequence[str] = SCENE) -> DataFrame:
+    """(scene, fold): scenes in the order of a hash dealt to ``n`` folds in turn, so folds differ by one scene at most."""
+    scenes = df.select(*scene).distinct().withColumn("__h", F.conv(_share(scene, "fold"), 16, 10).cast("long"))
+    return ordinal(scenes, "__h", scene).select(*scene, ((F.col("row") - 1) % n).cast("int").alias("fold"))

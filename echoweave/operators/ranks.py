@@ -9,13 +9,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def ordinal(df: DataFrame, value: str, keys: Sequence[str], by: Sequence[str] = (), buckets: int = 32) -> DataFrame:
+def ranges(df: DataFrame, buckets: int | None) -> int:
+    """Ranges of a value: what is asked for, or as many as the session has shuffle partitions, 32 at least."""
+    return buckets or max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ordinal(df: DataFrame, value: str, keys: Sequence[str], by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Adds ``row`` (1 for the least value; ties by keys), ``rank`` (ties share the least) and ``n``, in each group of ``by``.
 
     Rows are dealt into ranges of the value; only counts of ranges leave them, and windows run within a range. Where
     the ranges end changes no result. Null values stand first.
     """
-    cuts = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.005)))
+    buckets = ranges(df, buckets)
+    df = df.persist()  # read for the cuts, the counts and the rows; what memory does not hold goes to disk
+    cuts = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.15 / buckets)))
     edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     dealt = df.withColumn("__b", F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(edges, lambda e: F.col(value) >= e))))
     sizes = dealt.groupBy(*by, "__b").agg(F.count("*").alias("__c"))

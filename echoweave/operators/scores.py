@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from math import lgamma
+from math import erfc, lgamma
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keyed_random import uniform
 from ..schemas import KEYS, SCENE
-from .ranks import edge_bin, ordinal, tile
+from .ranks import edge_bin, ordinal, ranges, tile
 
 
 def brier(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -56,9 +56,26 @@ def ece(df: DataFrame, p: str, y: str, bins: int, kind: str = "edges", by: Seque
     return calibration_bins(df, p, y, bins, kind, by).groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("rate"))) / F.sum("n")).alias("ece"))
 
 
+def chi2_tail(x: Column, freedom: int) -> Column:
+    """Share of the chi-square distribution above x: a finite sum, with the normal tail if the degrees of freedom are odd."""
+    half, odd = x / 2, freedom % 2
+    term, total = (F.lit(1.0), F.lit(0.0)) if not odd else (2 * F.sqrt(half / F.pi()), F.lit(0.0))
+    for i in range((freedom - odd) // 2):
+        total = total + term
+        term = term * half / (i + 1 + odd / 2)
+    return F.exp(-half) * total + (_normal_tails(F.sqrt(x)) if odd else 0)
+
+
+@F.pandas_udf("double")
+def _normal_tails(z: pd.Series) -> pd.Series:
+    return z.map(lambda v: erfc(v / 2**0.5))
+
+
 def hosmer_lemeshow(df: DataFrame, p: str, y: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
+    """The statistic and its p value (bins less two degrees of freedom)."""
     m = F.col("mean_p")
-    return calibration_bins(df, p, y, bins, "tile", by).groupBy(*by).agg(F.sum(F.col("n") * (F.col("rate") - m) * (F.col("rate") - m) / (m * (1 - m))).alias("statistic"))
+    found = calibration_bins(df, p, y, bins, "tile", by).groupBy(*by).agg(F.sum(F.col("n") * (F.col("rate") - m) * (F.col("rate") - m) / (m * (1 - m))).alias("statistic"))
+    return found.withColumn("p_value", chi2_tail(F.col("statistic"), bins - 2))
 
 
 def murphy(df: DataFrame, p: str, y: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
@@ -66,7 +83,7 @@ def murphy(df: DataFrame, p: str, y: str, bins: int, by: Sequence[str] = ()) ->
     n, gap = F.col("n"), F.col("mean_p") - F.col("rate")
     sums = calibration_bins(df, p, y, bins, "ties", by).groupBy(*by).agg(F.sum(n).alias("n"), F.sum(n * gap * gap).alias("g"), F.sum(n * F.col("rate") * F.col("rate")).alias("r"), (F.sum(n * F.col("rate")) / F.sum(n)).alias("o"))
     o = F.col("o")
-    return sums.select(*by, (F.col("g") / n).alias("reliability"), (F.col("r") / n - o * o).alias("resolution"), (o * (1 - o)).alias("uncertainty"))
+    return sums.select(*by, (F.col("g") / n).alias("reliability"), (F.col("r") / n - o * o).alias("resolution"), (o * (1 - o)).alias("uncertainty"), (F.col("g") / n - F.col("r") / n + o).alias("reconstructed"))
 
 
 def slice_chi2(df: DataFrame, feature: str, p: str, y: str, bins: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -84,16 +101,18 @@ def auroc(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     return sums.select(*by, F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("u") / (F.col("a") * F.col("b"))).alias("auroc"))
 
 
-def _running(counts: DataFrame, value: str, columns: Sequence[str], by: Sequence[str] = (), buckets: int = 32) -> DataFrame:
+def _running(counts: DataFrame, value: str, columns: Sequence[str], by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Adds cumulative sums in the order of distinct values, by ranges as :func:`ordinal` does, and totals."""
-    cuts = sorted(set(counts.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.005)))
+    buckets = ranges(counts, buckets)
+    counts = counts.persist()
+    cuts = sorted(set(counts.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.15 / buckets)))
     edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     dealt = counts.withColumn("__b", F.size(F.filter(edges, lambda e: F.col(value) >= e)))
     sizes = dealt.groupBy(*by, "__b").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
     order = W.partitionBy(*by).orderBy("__b")
     sizes = sizes.withColumns({f"__before_{c}": F.sum(f"__{c}").over(order) - F.col(f"__{c}") for c in columns} | {f"all_{c}": F.sum(f"__{c}").over(W.partitionBy(*by)) for c in columns}).drop(*[f"__{c}" for c in columns])
     inside = W.partitionBy(*by, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return dealt.join(sizes if by else F.broadcast(sizes), [*by, "__b"]).withColumns({f"cum_{c}": F.sum(c).over(inside) + F.col(f"__before_{c}") for c in columns}).drop("__b", *[f"__before_{c}" for c in columns])
+    return dealt.join(sizes if by else F.broadcast(sizes), [*by, "__b"]).withColumns({f"cum_{c}": F.sum(c).over(inside) + F.col(f"__before_{c}") for c in columns}).withColumnRenamed("__b", "__range").drop(*[f"__before_{c}" for c in columns])
 
 
 def best_f1(df: DataFrame, p: str, y: str) -> DataFrame:
@@ -109,7 +128,11 @@ def best_f1(df: DataFrame, p: str, y: str) -> DataFrame:
 def ks_two_sample(df: DataFrame, p: str, y: str) -> DataFrame:
     counts = df.groupBy(p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
     run = _running(counts, p, ["pos", "neg"])
-    return run.agg(F.max(F.abs(F.col("cum_pos") / F.col("all_pos") - F.col("cum_neg") / F.col("all_neg"))).alias("ks"))
+    found = run.agg(F.max(F.abs(F.col("cum_pos") / F.col("all_pos") - F.col("cum_neg") / F.col("all_neg"))).alias("ks"), F.first("all_pos").alias("a"), F.first("all_neg").alias("b"))
+    # the asymptotic distribution; its terms vanish soon
+    scale = F.col("ks") * F.col("ks") * F.col("a") * F.col("b") / (F.col("a") + F.col("b"))
+    tail = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * scale))
+    return found.select("ks", F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)).alias("p_value"))
 
 
 def wasserstein(real: DataFrame, draws: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -117,9 +140,13 @@ def wasserstein(real: DataFrame, draws: DataFrame, by: Sequence[str] = ()) -> Da
     both = real.select(*by, "value", F.lit(1).alias("r"), F.lit(0).alias("d")).union(draws.select(*by, "value", F.lit(0), F.lit(1)))
     counts = both.groupBy(*by, "value").agg(F.sum("r").alias("r"), F.sum("d").alias("d"))
     run = _running(counts, "value", ["r", "d"], by)
-    ranked = ordinal(run, "value", [], by).select(*by, "value", "row", F.abs(F.col("cum_r") / F.col("all_r") - F.col("cum_d") / F.col("all_d")).alias("gap"))
-    after = ranked.select(*by, (F.col("row") - 1).alias("row"), F.col("value").alias("next"))
-    return ranked.join(after, [*by, "row"]).groupBy(*by).agg(F.sum(F.col("gap") * (F.col("next") - F.col("value"))).alias("w1"))
+    gaps = run.select(*by, "value", F.abs(F.col("cum_r") / F.col("all_r") - F.col("cum_d") / F.col("all_d")).alias("gap"), "__range")
+    # the value after: within a range, and the least of the next range that has one
+    least = gaps.groupBy(*by, "__range").agg(F.min("value").alias("least"))
+    following = least.select(*by, "__range", F.lead("least").over(W.partitionBy(*by).orderBy("__range")).alias("border"))
+    after = F.coalesce(F.lead("value").over(W.partitionBy(*by, "__range").orderBy("value")), "border")
+    placed = gaps.join(following if by else F.broadcast(following), [*by, "__range"]).withColumn("next", after)
+    return placed.groupBy(*by).agg(F.coalesce(F.sum(F.col("gap") * (F.col("next") - F.col("value"))), F.lit(0.0)).alias("w1"))
 
 
 def crps(draws: DataFrame, real: str, value: str = "value", keys: Sequence[str] = KEYS) -> DataFrame:
@@ -132,30 +159,30 @@ def crps(draws: DataFrame, real: str, value: str = "value", keys: Sequence[str]
     return rows.select(*keys, F.when(m > 1, error - pair / (m * (m - 1))).otherwise(error).alias("crps"))
 
 
-def scene_bootstrap(df: DataFrame, value: str, replicates: int, alpha: float = 0.05, scene: Sequence[str] = SCENE, seed: int = 42) -> DataFrame:
-    """Interval of the mean of ``value`` by resampling whole scenes with Poisson weights.
+def scene_bootstrap(df: DataFrame, value: str, replicates: int, alpha: float = 0.05, scene: Sequence[str] = SCENE, by: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """Interval of the mean of ``value`` by resampling whole scenes: as many scenes as there are, drawn with replacement.
 
-    Scenes are summed first; replicates multiply sums of scenes, never rows, and are added up where they are made.
+    Scenes are summed first and numbered; every replicate draws their numbers, and its sums are counts times sums of
+    scenes. All groups of ``by`` share the draws.
     """
-    sums = df.groupBy(*scene).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    drawn = sums.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = uniform("boot", *scene, "b", seed=seed)
-    weight, tail, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(12):
-        tail += term
-        term /= k + 1
-        weight = weight + (u >= tail).cast("int")
-    means = drawn.withColumn("w", weight).groupBy("b").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
-    return means.agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
-
-
-def null_ece(df: DataFrame, p: str, bins: int, simulations: int, seed: int = 42) -> DataFrame:
-    """ECE of labels drawn from the predictions themselves, one row per simulation; bins are fixed once."""
-    placed = ordinal(df, p, KEYS).withColumn("bin", edge_bin(bins)).select(*KEYS, p, "bin", "n")
-    drawn = placed.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
-    hit = (uniform("null", *KEYS, "sim", seed=seed) < F.col(p)).cast("int")
+    sums = df.groupBy(*by, *scene).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    numbered = ordinal(sums.select(*scene).distinct(), scene[-1], scene).select(*scene, "row", F.col("n").alias("scenes")).persist()
+    drawn = numbered.select("scenes", F.col("row").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    times = drawn.select("b", (F.floor(uniform("boot", "b", "j", seed=seed) * F.col("scenes")) + 1).alias("row")).groupBy("b", "row").agg(F.count("*").alias("w"))
+    means = times.join(sums.join(numbered, list(scene)), "row").groupBy(*by, "b").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
+    return means.groupBy(*by).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
+
+
+def null_ece(df: DataFrame, p: str, y: str, bins: int, simulations: int, seed: int = 42) -> DataFrame:
+    """(observed, null_mean, p_value): the ECE against that of labels drawn from the predictions themselves; bins are fixed once."""
+    placed = ordinal(df, p, KEYS).withColumn("bin", edge_bin(bins)).select(*KEYS, p, y, "bin", "n")
+    # simulation -1 is the observed one
+    drawn = placed.withColumn("sim", F.explode(F.sequence(F.lit(-1), F.lit(simulations - 1))))
+    hit = F.when(F.col("sim") < 0, F.col(y)).otherwise((uniform("null", *KEYS, "sim", seed=seed) < F.col(p)).cast("int"))
     sums = drawn.groupBy("sim", "bin").agg(F.sum(p).alias("sp"), F.sum(hit).alias("sy"), F.first("n").alias("n"))
-    return sums.groupBy("sim").agg((F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.first("n")).alias("ece"))
+    each = sums.groupBy("sim").agg((F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.first("n")).alias("ece"))
+    whole = each.agg(F.max(F.when(F.col("sim") < 0, F.col("ece"))).alias("observed"), F.collect_list(F.when(F.col("sim") >= 0, F.col("ece"))).alias("null"))
+    return whole.select("observed", (F.aggregate("null", F.lit(0.0), lambda s, x: s + x) / F.size("null")).alias("null_mean"), ((1 + F.size(F.filter("null", lambda x: x >= F.col("observed")))) / (1 + F.size("null"))).alias("p_value"))
 
 
 def anderson_darling(df: DataFrame, p: str, y: str) -> DataFrame:
@@ -238,3 +265,64 @@ def score_table(df: DataFrame, p: str, y: str, model: str = "model", bins: int =
     parts = brier(df, p, y, by).join(ece(df, p, y, bins, by=by), by).join(murphy(df, p, y, bins, by), by).join(auroc(df, p, y, by), by)
     names = ("brier", "ece", "reliability", "resolution", "uncertainty", "auroc")
     return parts.select(model, F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])))
+
+
+def chi2_total(slices: DataFrame, bins: int) -> DataFrame:
+    """Sum of squared z of :func:`slice_chi2` and its p value."""
+    return slices.agg(F.sum(F.col("z") * F.col("z")).alias("statistic")).withColumn("p_value", chi2_tail(F.col("statistic"), bins))
+
+
+def reliability_logits(df: DataFrame, p: str, y: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
+    """Logits of mean prediction and rate of each bin, rates kept half an observation away from 0 and 1."""
+    edge = 0.5 / F.col("n")
+    logit = lambda x: F.ln(x / (1 - x))
+    kept = F.greatest(F.least(F.col("rate"), 1 - edge), edge)
+    return calibration_bins(df, p, y, bins, "tile", by).select(*by, "bin", "n", logit(F.col("mean_p")).alias("logit_p"), logit(kept).alias("logit_rate"))
+
+
+def sliced(df: DataFrame, feature: str, bins: int, keys: Sequence[str] = KEYS, by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``bin`` of equal mass of a covariate; rows without it are left out."""
+    return ordinal(df.where(F.col(feature).isNotNull()), feature, keys, by).withColumn("bin", tile(bins)).drop("row", "rank", "n")
+
+
+def slice_metrics(df: DataFrame, feature: str, p: str, y: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
+    """Brier score and AUROC in bins of a covariate."""
+    cut, at = sliced(df, feature, bins, by=by), [*by, "bin"]
+    return cut.groupBy(*at).agg(F.count("*").alias("n"), F.avg(feature).alias("f_mid")).join(brier(cut, p, y, at), at).join(auroc(cut, p, y, at), at)
+
+
+BRANCHES = ("non_mutual", "mutual", "pooled")
+
+
+def branch_metrics(points: DataFrame, p: str, y: str, mutual: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
+    """Brier score, Murphy parts and AUROC of points outside pairs, in pairs, and of all: each point in two branches."""
+    own = points.withColumn("branch", F.explode(F.array(F.when(F.col(mutual), "mutual").otherwise("non_mutual"), F.lit("pooled"))))
+    at = [*by, "branch"]
+    return brier(own, p, y, at).join(murphy(own, p, y, bins, at).drop("reconstructed"), at).join(auroc(own, p, y, at), at)
+
+
+def report(values: DataFrame, row: str, column: str, value: str, names: Sequence[str], low: str | None = None, high: str | None = None) -> DataFrame:
+    """A table to read: one row for each ``row``, one text column for each of ``names``, with its interval if there is one."""
+    plain = F.format_string("%.4f", value)
+    cell = plain if low is None else F.when(F.col(low).isNull(), plain).otherwise(F.format_string("%.4f [%.4f, %.4f]", value, low, high))
+    return values.groupBy(row).pivot(column, list(names)).agg(F.first(cell))
+
+
+def draw_scores(draws: DataFrame, real: str, value: str = "value", model: str = "model", reference: str | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """W1 and mean CRPS of the draws of each model, and the CRPS skill against the ``reference`` model."""
+    points = crps(draws, real, value, [model, *keys])
+    once = draws.groupBy(model, *keys).agg(F.first(real).alias("value"))
+    table = wasserstein(once, draws.withColumn("value", F.col(value)), [model]).join(points.groupBy(model).agg(F.avg("crps").alias("crps")), model)
+    if reference is None:
+        return table
+    base = F.max(F.when(F.col(model) == reference, F.col("crps"))).over(W.partitionBy(F.lit(1)))  # a row for each model
+    return table.withColumn("crpss", 1 - F.col("crps") / base)
+
+
+def draw_slices(draws: DataFrame, real: str, feature: str, bins: int, value: str = "value", keys: Sequence[str] = KEYS) -> DataFrame:
+    """W1 and CRPS in bins of a covariate of the points."""
+    points = crps(draws, real, value, keys).join(draws.groupBy(*keys).agg(F.first(feature).alias(feature), F.first(real).alias("__real")), list(keys))
+    cut = sliced(points, feature, bins, keys)
+    placed = draws.join(cut.select(*keys, "bin"), list(keys))
+    w = wasserstein(cut.select("bin", F.col("__real").alias("value")), placed.select("bin", F.col(value).alias("value")), ["bin"])
+    return cut.groupBy("bin").agg(F.count("*").alias("n"), F.avg(feature).alias("f_mid"), F.avg("crps").alias("crps")).join(w, "bin")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.keyed_random import uniform
 from ..operators import draws, models, pairs, scores
 from ..operators import features as ft
-from ..schemas import KEYS
+from ..schemas import KEYS, LEVELS, PAIR_FEATURES
+from ..sources.sets import pair_set
 from .queries import _E, _GRID, _K, FEATURES, _feature_table, _query, _r, _targets
 
 _U = "{U(concat_ws('|',scenario_id,drop_id,target_id);%s)}"
@@ -120,16 +121,16 @@ def score_table(t) -> DataFrame:
 
 @_query()
 def pair_model(t) -> DataFrame:
-    rows = pairs.pairs(t("fx_pred"), ["detected", "bistatic_range_m"]).withColumn("score", 2 * F.col("detected_a") + F.col("detected_b")).withColumn("held_out", pairs.is_held_out())
-    features = ("bistatic_range_m_a", "bistatic_range_m_b", "nn_norm_range_sep")
-    fitted = models.fit_outcomes(rows.where("not held_out"), features, "score", 4, trees=5)
-    return models.predict_outcomes(fitted, rows.where("held_out"), features).select("scenario_id", "drop_id", "target_id_a", "target_id_b", "score", "p0", "p1", "p2", "p3")
+    rows = pair_set(_feature_table(t)).withColumn("held_out", pairs.is_held_out())
+    features = PAIR_FEATURES
+    fitted = models.fit_outcomes(rows.where("not held_out"), features, "score", 4)
+    return models.predict_outcomes(fitted, rows.where("held_out and target_id_a < target_id_b"), features).select("scenario_id", "drop_id", "target_id_a", "target_id_b", "score", "p0", "p1", "p2", "p3")
 
 
 @_query()
 def regime_model(t) -> DataFrame:
     rows = _feature_table(t).where("range_error_m is not null").withColumn("region", ft.regime(F.col("range_error_m"))).select(*KEYS, "region", *FEATURES)
-    _, scored = models.cross_fit(rows, FEATURES, "region", 6, folds=3, trees=5)
+    _, scored = models.cross_fit(rows, FEATURES, "region", 6)
     bias = models.fit_bias(scored, "raw", "region", 6)
     return scored.select(*KEYS, "region", *[p.alias(f"p{i}") for i, p in enumerate(models.biased("raw", bias))])
 
@@ -146,15 +147,15 @@ def slip_model(t) -> DataFrame:
 
 @_query()
 def quantile_forest(t) -> DataFrame:
-    levels = [i / 10 for i in range(1, 10)]
+    levels = LEVELS
     rows = _feature_table(t).where("range_error_m is not null").withColumn("size", F.ln(F.abs("range_error_m") + 1e-6)).withColumn("held_out", pairs.is_held_out()).select(*KEYS, "size", "held_out", *FEATURES)
     model, leaves = models.fit_quantiles(rows.where("not held_out"), FEATURES, "size", levels)
     found = models.predict_quantiles(model, leaves, rows.where("held_out"), FEATURES, KEYS, len(levels))
-    return found.select(*KEYS, *[F.col("q")[i].alias(f"q{i + 1}") for i in range(9)], draws.quantile_draws(levels, F.col("q"), uniform("quantile", *KEYS)).alias("drawn"))
+    return found.select(*KEYS, *[F.col("q")[i].alias(f"q{i + 1}") for i in range(len(levels))], draws.quantile_draws(levels, F.col("q"), uniform("quantile", *KEYS)).alias("drawn"))
 
 
 @_query()
 def two_sample_classifier(t) -> DataFrame:
     error = t("fx_draws").where("draw = 0").join(t("fx_target").select(*KEYS, "bistatic_range_m"), list(KEYS))
     side = lambda c: error.select(*KEYS, "bistatic_range_m", F.col(c).alias("error"))
-    return models.two_sample(side("range_error_m"), side("value"), ("bistatic_range_m", "error"), folds=3, trees=5)
+    return models.two_sample(side("range_error_m"), side("value"), ("bistatic_range_m", "error"))

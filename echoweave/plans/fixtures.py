@@ -71,6 +71,34 @@ select e.scenario_id, e.drop_id, e.target_id, s.draw, -0.52e0+1.34e0*{U(e.target
 from fx_error e cross join {SEQ(10)} s where e.range_error_m is not null""",
 }
 
+_LIVE = "filter (PathRSS is not null)"
+_CIRCLE = "degrees(sqrt(-2*ln(least(greatest(sqrt(({s})*({s})+({c})*({c})),1e-12),1))))"
+_WS, _WC = "sum(sin(radians(PathAOA))*p)/sum(p)", "sum(cos(radians(PathAOA))*p)/sum(p)"
+#: Tables of features for DuckDB alone; Spark's come from the operators.
+DUCK_VIEWS: dict[str, str] = {
+    "fx_mp": f"""
+select scenario_id, drop_id, target_id, count(PathRSS) n_mpc, max(PathRSS) rss_max, min(PathRSS) rss_min, avg(PathRSS) rss_mean, case when count(PathRSS)>1 then stddev_samp(PathRSS) else 0 end rss_std, 10*log10(sum(p)) rss_total_db,
+ min(PathDelay) {_LIVE} delay_min, max(PathDelay) {_LIVE} delay_max, max(PathDelay) {_LIVE}-min(PathDelay) {_LIVE} delay_spread_raw,
+ {_CIRCLE.format(s=f"avg(sin(radians(PathAOA))) {_LIVE}", c=f"avg(cos(radians(PathAOA))) {_LIVE}")} aoa_std, case when count(PathRSS)>1 then stddev_samp(PathZOA) {_LIVE} else 0 end zoa_std,
+ (max({{'a':PathRSS,'b':PathDelay,'c':PathAOA,'d':PathZOA}}) {_LIVE}).b dom_delay, (max({{'a':PathRSS,'b':PathDelay,'c':PathAOA,'d':PathZOA}}) {_LIVE}).d dom_zoa, degrees(atan2({_WS},{_WC})) aoa_mean_circ,
+ (max({{'a':PathRSS,'b':PathDelay,'c':PathAOA,'d':PathZOA}}) {_LIVE}).c-degrees(atan2({_WS},{_WC})) dom_aoa_offset, sin(radians(max(PathAOA) {_LIVE})) dom_aoa_sin, cos(radians(max(PathAOA) {_LIVE})) dom_aoa_cos,
+ max(PathRSS)-(min({{'a':PathDelay,'b':PathRSS}}) {_LIVE}).b dom_excess_delay, (max({{'a':PathRSS,'b':PathDelay,'c':PathAOA,'d':PathZOA}}) {_LIVE}).b-min(PathDelay) {_LIVE} first_rss_minus_dom,
+ max(md) mean_delay_w, sqrt(sum((PathDelay-md)*(PathDelay-md)*p)/sum(p)) rms_delay_spread, {_CIRCLE.format(s=_WS, c=_WC)} aoa_spread_w, sqrt(sum((PathZOA-mz)*(PathZOA-mz)*p)/sum(p)) zoa_spread_w,
+ least(max(PathRSS)-10*log10(greatest(sum(p)-max(p),1e-30)),60) k_factor_db, count(*)-count(PathRSS) n_mpc_dropped
+from (select *, pow(10, PathRSS/10) p, sum(PathDelay*pow(10,PathRSS/10)) over w / sum(pow(10,PathRSS/10)) over w md, sum(PathZOA*pow(10,PathRSS/10)) over w / sum(pow(10,PathRSS/10)) over w mz
+ from fx_snr window w as (partition by scenario_id, drop_id, target_id)) q group by all having count(PathRSS) > 0""",
+    "fx_features": """
+select g.*, case when e.position_error_x_m is not null then 1 else 0 end detected, e.position_error_3d_m, e.range_error_m, e.rx_azimuth_error_deg, e.rx_elevation_error_deg, m.* exclude (scenario_id, drop_id, target_id) from (
+ select *, 32*u_true-ku_true frac_u, 32*v_true-kv_true frac_v, abs(32*u_true-ku_true) abs_frac_u, abs(32*v_true-kv_true) abs_frac_v, ku_est-ku_true slip_u, kv_est-kv_true slip_v from (
+ select *, round_even(32*u_true,0) ku_true, round_even(32*v_true,0) kv_true, round_even(32*u_coord,0) ku_est, round_even(32*v_coord,0) kv_est from (
+ select t.*, d.estimated_bistatic_range_m-bistatic_range_m range_err_bi, ln(rx_target_distance_m) log_R, 2*target_v_x_ms*target_v_x_ms speed, rx_azimuth_deg-30 az_off_boresight, abs(bistatic_doppler_hz) abs_bistatic_doppler_hz,
+  nearest_neighbor_norm_range_sep nn_norm_range_sep, nearest_neighbor_norm_rx_angle_sep nn_norm_ang_sep, num_targets_in_sample n_targets,
+  cos(radians(rx_elevation_deg))*sin(radians(rx_azimuth_deg-30)) u_true, sin(radians(rx_elevation_deg)) v_true, cos(radians(estimated_rx_elevation_deg))*sin(radians(estimated_rx_azimuth_deg-30)) u_coord, sin(radians(estimated_rx_elevation_deg)) v_coord
+ from fx_target t left join fx_detection d on t.scenario_id = d.scenario_id and t.drop_id = d.drop_id and t.target_id = d.associated_target_id) a) b) g
+ left join fx_error e using (scenario_id, drop_id, target_id) left join fx_mp m using (scenario_id, drop_id, target_id)""",
+}
+
+_ALL = VIEWS | DUCK_VIEWS
 _SPARK = {
     "U": lambda k, salt: f"(conv(substr(md5(concat_ws('|','42','{salt}',cast({k} as string))),1,13),16,10)/pow(2,52))",
     "RINT": lambda x: f"rint({x})",
@@ -95,12 +123,12 @@ def _needed(sql: str) -> list[str]:
         text = todo.pop()
         for name in set(re.findall(r"\bfx_\w+", text)) - found:
             found.add(name)
-            todo.append(VIEWS[name])
-    return [name for name in VIEWS if name in found]
+            todo.append(_ALL[name])
+    return [name for name in _ALL if name in found]
 
 
-def _statement(sql: str, functions: dict) -> str:
-    head = ", ".join(f"{name} as ({VIEWS[name]})" for name in _needed(sql))
+def _statement(sql: str, functions: dict, kind: str = "") -> str:
+    head = ", ".join(f"{name} as {kind}({_ALL[name]})" for name in _needed(sql))
     if head and sql.startswith("with "):  # the statement's own tables follow the views
         return _filled(f"with {head}, {sql[5:]}", functions)
     return _filled(f"with {head} {sql}" if head else sql, functions)
@@ -108,7 +136,7 @@ def _statement(sql: str, functions: dict) -> str:
 
 def oracle(sql: str) -> str:
     """The statement with its views put in, for DuckDB."""
-    return _statement(sql, _DUCK)
+    return _statement(sql, _DUCK, "materialized ")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

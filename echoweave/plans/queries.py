@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 from ..functions.keyed_random import categorical, uniform
 from ..operators import features as ft
 from ..operators import models, pairs, scores
-from ..schemas import KEYS, REGIMES, SCENE
+from ..schemas import INDEP_FEATURES, KEYS, POSITION_FEATURES, POSITION_LABELS, REGIMES, SCENE, union
 from ..sources.raw import clean_detections
 from .fixtures import oracle, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-FEATURES = ("bistatic_range_m", "nn_norm_range_sep", "log_R")
+FEATURES = INDEP_FEATURES
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     """Floating-point columns to six places: sums of doubles differ in their last digits between engines."""
-    return df.select(*[F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c).cast("long").alias(c) if t in ("int", "bigint", "boolean") else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t in ("double", "float") else F.col(c).cast("long").alias(c) if t in ("int", "bigint", "boolean") else F.col(c) for c, t in df.dtypes])
 
 
 def _query(sql: str | None = None):
@@ -37,7 +37,7 @@ def _query(sql: str | None = None):
 
 def _r(*terms: str) -> str:
     """``expression name`` each, rounded."""
-    return ", ".join(f"round(({t.rsplit(' ', 1)[0]})::double, 6) {t.rsplit(' ', 1)[1]}" for t in terms)
+    return ", ".join(f"round(({t.rsplit(' ', 1)[0]})::double, 6)+0e0 {t.rsplit(' ', 1)[1]}" for t in terms)
 
 
 _K = "scenario_id::bigint scenario_id, drop_id::bigint drop_id, target_id::bigint target_id"
@@ -67,10 +67,12 @@ _GRID = f"""(select *, {_UV[0].format(a='rx_azimuth_deg', e='rx_elevation_deg')}
  {_UV[0].format(a='estimated_rx_azimuth_deg', e='estimated_rx_elevation_deg')} u_coord, {_UV[1].format(e='estimated_rx_elevation_deg')} v_coord from {_TD}) g"""
 
 
-@_query(f"""select {_K}, {_r('u_true u_true', 'v_true v_true', 'u_coord u_coord', 'v_coord v_coord', 'round_even(32*u_true,0) ku_true', '32*u_true-round_even(32*u_true,0) frac_u',
- '32*v_true-round_even(32*v_true,0) frac_v', 'round_even(32*u_coord,0)-round_even(32*u_true,0) slip_u', 'round_even(32*v_coord,0)-round_even(32*v_true,0) slip_v', 'abs(32*u_true-round_even(32*u_true,0)) abs_frac_u')} from {_GRID}""")
+_GRID_COLUMNS = ("u_true", "v_true", "u_coord", "v_coord", "ku_true", "kv_true", "ku_est", "kv_est", "frac_u", "frac_v", "slip_u", "slip_v", "abs_frac_u", "abs_frac_v")
+
+
+@_query(f"select {_K}, {_r(*[f'{c} {c}' for c in _GRID_COLUMNS])} from fx_features")
 def angle_grid(t) -> DataFrame:
-    return ft.angle_grid(_targets(t)).select(*KEYS, "u_true", "v_true", "u_coord", "v_coord", "ku_true", "frac_u", "frac_v", "slip_u", "slip_v", "abs_frac_u")
+    return ft.angle_grid(_targets(t)).select(*KEYS, *_GRID_COLUMNS)
 
 
 @_query(f"select {_K}, case when range_error_m between -0.52 and 0.82 then 0 when range_error_m between 1.40 and 1.85 then 1 when range_error_m between -2.25 and -1.55 then 2 when range_error_m > 1.85 then 3 when range_error_m < -2.25 then 4 else 5 end::bigint region, ['bulk','sideband+','sideband-','far+','far-','near'][case when range_error_m between -0.52 and 0.82 then 1 when range_error_m between 1.40 and 1.85 then 2 when range_error_m between -2.25 and -1.55 then 3 when range_error_m > 1.85 then 4 when range_error_m < -2.25 then 5 else 6 end] region_txt from fx_error")
@@ -83,37 +85,41 @@ _FAR = "(r+range_error_m)", "(e+radians(rx_elevation_error_deg))", "radians(rx_a
 
 
 @_query(f"""select {_K}, {_r('range_error_m err_along', f'r*cos(e)*{_FAR[2]} err_cross_h', 'r*radians(rx_elevation_error_deg) err_cross_v',
- f'sqrt(pow({_FAR[0]}*cos({_FAR[1]})*cos({_FAR[2]})-r*cos(e),2)+pow({_FAR[0]}*cos({_FAR[1]})*sin({_FAR[2]}),2)+pow({_FAR[0]}*sin({_FAR[1]})-r*sin(e),2)) err_3d')}
+ f'sqrt(pow({_FAR[0]}*cos({_FAR[1]})*cos({_FAR[2]})-r*cos(e),2)+pow({_FAR[0]}*cos({_FAR[1]})*sin({_FAR[2]}),2)+pow({_FAR[0]}*sin({_FAR[1]})-r*sin(e),2)) err_3d', f'sqrt(pow(range_error_m,2)+pow(r*cos(e)*{_FAR[2]},2)+pow(r*radians(rx_elevation_error_deg),2)) err_3d_approx')}
  from (select x.*, rx_target_distance_m r, radians(rx_elevation_deg) e from fx_error x join fx_target using (scenario_id, drop_id, target_id) where range_error_m is not null) y""")
 def position_error_3d(t) -> DataFrame:
     joined = t("fx_error").where("range_error_m is not null").join(t("fx_target"), list(KEYS))
     out = ft.position_error(joined, "range_error_m", "rx_azimuth_error_deg", "rx_elevation_error_deg", "rx_target_distance_m", "rx_elevation_deg")
-    return out.select(*KEYS, "err_along", "err_cross_h", "err_cross_v", "err_3d")
+    return out.select(*KEYS, "err_along", "err_cross_h", "err_cross_v", "err_3d", "err_3d_approx")
 
 
-_MP = """(select *, pow(10, PathRSS/10) p, sum(PathDelay*pow(10,PathRSS/10)) over w / sum(pow(10,PathRSS/10)) over w md, sum(PathZOA*pow(10,PathRSS/10)) over w / sum(pow(10,PathRSS/10)) over w mz
- from fx_snr window w as (partition by scenario_id, drop_id, target_id)) q"""
+_MULTIPATH = (
+    "rss_max", "rss_min", "rss_mean", "rss_std", "rss_total_db", "delay_min", "delay_max", "delay_spread_raw", "aoa_std", "zoa_std", "dom_delay", "dom_zoa", "aoa_mean_circ", "dom_aoa_offset", "dom_aoa_sin", "dom_aoa_cos",
+    "dom_excess_delay", "first_rss_minus_dom", "mean_delay_w", "rms_delay_spread", "aoa_spread_w", "zoa_spread_w", "k_factor_db",
+)
 
 
-@_query(f"""select {_K}, count(PathRSS) n_mpc, {_r('max(PathRSS) rss_max', 'avg(PathRSS) rss_mean', 'case when count(PathRSS)>1 then stddev_samp(PathRSS) else 0 end rss_std', '10*log10(sum(p)) rss_total_db',
- 'max(PathDelay) filter (PathRSS is not null)-min(PathDelay) filter (PathRSS is not null) delay_spread_raw', 'max(md) mean_delay_w', 'sqrt(sum((PathDelay-md)*(PathDelay-md)*p)/sum(p)) rms_delay_spread', 'sqrt(sum((PathZOA-mz)*(PathZOA-mz)*p)/sum(p)) zoa_spread_w',
- 'least(max(PathRSS)-10*log10(greatest(sum(p)-max(p),1e-30)),60) k_factor_db')}, count(*)-count(PathRSS) n_mpc_dropped
- from {_MP} group by all having count(PathRSS) > 0""")
+@_query(f"select {_K}, n_mpc, {_r(*[f'{c} {c}' for c in _MULTIPATH])}, n_mpc_dropped from fx_mp")
 def multipath_features(t) -> DataFrame:
-    return ft.multipath(t("fx_snr")).select(*KEYS, "n_mpc", "rss_max", "rss_mean", "rss_std", "rss_total_db", "delay_spread_raw", "mean_delay_w", "rms_delay_spread", "zoa_spread_w", "k_factor_db", "n_mpc_dropped")
+    return ft.multipath(t("fx_snr")).select(*KEYS, "n_mpc", *_MULTIPATH, "n_mpc_dropped")
 
 
 def _feature_table(t) -> DataFrame:
-    error = t("fx_error").select(*KEYS, "position_error_x_m", "range_error_m")
+    error = t("fx_error").select(*KEYS, "position_error_x_m", "position_error_3d_m", "range_error_m", "rx_azimuth_error_deg", "rx_elevation_error_deg")
     joined = _targets(t).join(error, list(KEYS), "left").join(ft.multipath(t("fx_snr")), list(KEYS), "left")
     return ft.angle_grid(ft.neighbours(ft.geometry(joined))).withColumn("detected", F.col("position_error_x_m").isNotNull().cast("int"))
 
 
-@_query("""select t.scenario_id::bigint scenario_id, t.drop_id::bigint drop_id, t.target_id::bigint target_id, case when e.position_error_x_m is not null then 1 else 0 end::bigint detected, n_mpc, round(rss_max::double,6) rss_max, round(ln(rx_target_distance_m),6) log_R
- from fx_target t left join fx_error e using (scenario_id, drop_id, target_id)
- left join (select scenario_id, drop_id, target_id, count(PathRSS) n_mpc, max(PathRSS) rss_max from fx_snr group by all having count(PathRSS) > 0) s using (scenario_id, drop_id, target_id)""")
+_TABLE = union(INDEP_FEATURES, POSITION_FEATURES, POSITION_LABELS, _MULTIPATH)
+
+
+def _typed(*names: str) -> str:
+    return ", ".join(f"{c}::bigint {c}" if c in ("n_mpc", "n_targets", "detected", "detected_a", "detected_b", "score") or c.startswith("n_mpc") or c.startswith("n_targets") else _r(f"{c} {c}") for c in names)
+
+
+@_query(f"select {_K}, detected::bigint detected, {_typed(*_TABLE)} from fx_features")
 def feature_table(t) -> DataFrame:
-    return _feature_table(t).select(*KEYS, "detected", "n_mpc", "rss_max", "log_R")
+    return _feature_table(t).select(*KEYS, "detected", *_TABLE)
 
 
 @_query(f"select {_K}, case when g=2 then 'mutual' when g=1 then 'independent' else 'ambiguous' end branch from (select *, count(*) over (partition by scenario_id, drop_id, nn_norm_range_sep) g from fx_pred) x")
@@ -210,12 +216,16 @@ def reliability(t) -> DataFrame:
     return scores.calibration_bins(t("fx_pred"), "p", "detected", 15, "tile")
 
 
-@_query(f"select round(sum(n*(y-m)*(y-m)/(m*(1-m))),6) statistic from (select bin, avg(p) m, avg(detected) y, count(*) n from {_TILE} group by all) b")
+_TAIL8 = "exp(-x/2)*(1+x/2+pow(x/2,2)/2+pow(x/2,3)/6)"
+_TAIL10 = "exp(-x/2)*(1+x/2+pow(x/2,2)/2+pow(x/2,3)/6+pow(x/2,4)/24)"
+
+
+@_query(f"select {_r('x statistic', f'{_TAIL8} p_value')} from (select sum(n*(y-m)*(y-m)/(m*(1-m))) x from (select bin, avg(p) m, avg(detected) y, count(*) n from {_TILE.replace('ntile(15)', 'ntile(10)')} group by all) b) c")
 def hosmer_lemeshow_stat(t) -> DataFrame:
-    return scores.hosmer_lemeshow(t("fx_pred"), "p", "detected", 15)
+    return scores.hosmer_lemeshow(t("fx_pred"), "p", "detected", 10)
 
 
-@_query(f"select {_r('sum(n*(m-y)*(m-y))/sum(n) reliability', 'sum(n*(y-o)*(y-o))/sum(n) resolution', 'max(o*(1-o)) uncertainty')} from (select bin, avg(p) m, avg(detected) y, count(*) n, (select avg(detected) from fx_pred) o from {_TIES} group by all) b")
+@_query(f"select {_r('sum(n*(m-y)*(m-y))/sum(n) reliability', 'sum(n*(y-o)*(y-o))/sum(n) resolution', 'max(o*(1-o)) uncertainty', 'sum(n*(m-y)*(m-y))/sum(n)-sum(n*(y-o)*(y-o))/sum(n)+max(o*(1-o)) reconstructed')} from (select bin, avg(p) m, avg(detected) y, count(*) n, (select avg(detected) from fx_pred) o from {_TIES} group by all) b")
 def murphy(t) -> DataFrame:
     return scores.murphy(t("fx_pred"), "p", "detected", 15)
 
@@ -238,7 +248,8 @@ def best_f1(t) -> DataFrame:
     return scores.best_f1(t("fx_pred"), "p", "detected")
 
 
-@_query("select round(max(abs(a-b)),6) ks from (select sum(detected) over (order by p)::double/sum(detected) over () a, sum(1-detected) over (order by p)::double/sum(1-detected) over () b from fx_pred) x")
+@_query("""with k as (select max(abs(a-b)) ks, max(n) n, max(m) m from (select sum(detected) over (order by p)::double/sum(detected) over () a, sum(1-detected) over (order by p)::double/sum(1-detected) over () b, sum(detected) over ()::double n, sum(1-detected) over ()::double m from fx_pred) x)
+ select round(ks,6) ks, round(greatest(0e0,least(1e0,(select sum((case when i%2=1 then 2e0 else -2e0 end)*exp(-2e0*i*i*ks*ks*n*m/(n+m))) from (select unnest(range(1,101)) i) s))),6) p_value from k""")
 def ks_2samp(t) -> DataFrame:
     return scores.ks_two_sample(t("fx_pred"), "p", "detected")
 
@@ -277,14 +288,16 @@ def gaussian_error_fit(t) -> DataFrame:
     return models.gaussian_fit(t("fx_error"), _E)
 
 
-@_query()
+@_query("""with s as (select *, row_number() over (order by drop_id, scenario_id) j, count(*) over () g from (select scenario_id, drop_id, sum((p-detected)*(p-detected)) s, count(*) n from fx_pred group by all) x),
+ d as (select b, floor({U(concat_ws('|',b,j);boot)}*g)+1 k, count(*) w from s, (select unnest(range(1000)) b) r group by all),
+ m as (select b, sum(w*s)/sum(w*n) m from d join s on s.j=d.k group by b) select round(quantile_cont(m,0.025),6) low, round(quantile_cont(m,0.975),6) high from m""")
 def scene_bootstrap(t) -> DataFrame:
     return scores.scene_bootstrap(t("fx_pred").withColumn("loss", (F.col("p") - F.col("detected")) ** 2), "loss", 1000)
 
 
 @_query()
 def mc_null_ece(t) -> DataFrame:
-    return scores.null_ece(t("fx_pred"), "p", 15, 1000)
+    return scores.null_ece(t("fx_pred"), "p", "detected", 15, 1000)
 
 
 def _fitted(t, kind: str) -> DataFrame:
