@@ -227,8 +227,9 @@ def fit_pair_network(train: DataFrame, features: Sequence[str], label: str, clas
 
 
 def predict_classes(model: PipelineModel, df: DataFrame, features: Sequence[str], classes: int, prefix: str = "p") -> DataFrame:
+    """Adds the probability of every class; 0 for classes beyond those that training had."""
     p = vector_to_array("probability")
-    return model.transform(_with_flags(df, features)).select(*df.columns, *[p[i].alias(f"{prefix}{i}") for i in range(classes)])
+    return model.transform(_with_flags(df, features)).select(*df.columns, *[F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)).alias(f"{prefix}{i}") for i in range(classes)])
 
 
 def fit_regimes(train: DataFrame, features: Sequence[str], label: str, classes: int, folds: int = 5, trees: int = 20) -> tuple[list[PipelineModel], list[float]]:
