@@ -372,9 +372,7 @@ def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 
 def _texts(ids: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
     """A written table of the texts of some documents. Ids are broadcast while they are few, so that only these texts are shuffled."""
-    ids = tables.keep(ids.distinct())
-    few = ids.count() <= BROADCAST_IDS
-    return tables.keep(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+    return tables.keep(docs.join(_few(tables.keep(ids.distinct())), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -427,26 +425,32 @@ def _apart(buckets: DataFrame, strangers: DataFrame, where: DataFrame, tables: T
     ``strangers(a, b)``: least and other members apart in both; only their buckets are looked at.
     """
     named = F.when(F.col("size") > HOT, F.col("bucket")).otherwise(F.col("members"))
-    mixed = buckets.join(strangers.select(F.col("a").alias("least"), F.col("b").alias("doc_id")), ["least", "doc_id"], "left_semi")
+    mixed = buckets.join(_few(strangers.select(F.col("a").alias("least"), F.col("b").alias("doc_id"))), ["least", "doc_id"], "left_semi")
     mixed = tables.keep(mixed.select("bucket", named.alias("members")).groupBy("members").agg(F.min("bucket").alias("bucket")).select("bucket"))
-    member = tables.keep(_open(buckets.join(mixed, "bucket")).select("bucket", "doc_id"))
+    member = tables.keep(_open(buckets.join(_few(mixed), "bucket")).select("bucket", "doc_id"))
     member = tables.keep(_placed(member, where, "doc_id").select("bucket", "doc_id", F.col("c_doc_id").alias("c"), F.col("h_doc_id").alias("h")))
     split = member.groupBy("bucket").agg(*[f(x).alias(f"{x}{i}") for x in "ch" for i, f in enumerate((F.min, F.max))], F.count("*").alias("size")).where("c0 <> c1 and h0 <> h1")
     return member.join(split.select("bucket", "size"), "bucket").select("bucket", "size", "doc_id", "c", "h")
 
 
-def _likely_strangers(strangers: DataFrame, facts: DataFrame) -> DataFrame:
-    """Of pairs of different heads those that sizes and coarse sketches do not rule out."""
+def _kin(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs whose coarse sketches are close; those left out cannot link."""
     side = lambda s: facts.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("coarse").alias(f"t_{s}"))
-    both = strangers.join(side("a"), "a").join(side("b"), "b").where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
+    names, schema = pairs.columns, pairs.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (_coarse_table(batch.column(c).to_pylist()) for c in ("t_a", "t_b"))
-            good = 7 * np.abs(x - y).sum(1, dtype=np.int64) <= batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            good = 7 * np.abs(x - y).sum(1, dtype=np.int64) <= KIN * (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy())
+            yield batch.select(names).filter(pa.array(good))
 
-    return both.select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+    return both.select(*names, "n_a", "n_b", "t_a", "t_b").mapInArrow(run, schema)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast while it is short."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def _across(rows: DataFrame, facts: DataFrame, sketch: str, parts: int, same_head: bool) -> DataFrame:
@@ -553,14 +557,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         # a forest of likely heads: a copy stands under its first one, whatever else it meets
         around = roots(close.where("kin").join(same.select("b"), "b", "left_anti").select("a", "b").unionByName(same))
         where = tables.keep(around.join(found.withColumnRenamed("component_id", "c"), "id", "full").select(F.col("id").alias("doc_id"), F.coalesce("c", "id").alias("c"), F.coalesce("root", "id").alias("h")))
+        # heads whose documents are kin count as one
+        strangers = tables.keep(_placed(_placed(met.select("a", "b"), where, "a"), where, "b").where("c_a <> c_b and h_a <> h_b").select("a", "b", "h_a", "h_b"))
+        merged = components(tables.keep(_kin(strangers, facts).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))))
+        lone = merged.join(where, F.col("id") == F.col("doc_id"), "left_anti").select(F.col("id").alias("doc_id"), F.col("id").alias("c"), F.col("component_id").alias("h"))
+        where = tables.keep(where.join(merged, F.col("h") == F.col("id"), "left").select("doc_id", "c", F.coalesce("component_id", "h").alias("h")).unionByName(lone))
         # documents around one head
         sizes = where.groupBy("h").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h", "size")
         blocks = where.join(sizes, "h").select(F.col("h").alias("bucket"), "size", "doc_id", "c", "h")
         late = tables.keep(_across(blocks, facts, "sketch", spare, True).join(near, ["a", "b"], "left_anti"))
-        # and around different heads
-        strangers = tables.keep(_placed(_placed(met.select("a", "b"), where, "a"), where, "b").where("c_a <> c_b and h_a <> h_b").select("a", "b"))
+        # and around different heads: the pairs of least members and others were told apart above
+        strangers = tables.keep(_placed(_placed(strangers.select("a", "b"), where, "a"), where, "b").where("h_a <> h_b").select("a", "b"))
         apart = _across(_apart(buckets, strangers, where, tables), facts, "coarse", spare, False)
-        far = tables.keep(_plausible(apart.unionByName(_likely_strangers(strangers, facts)).distinct(), facts).where("likely").select("a", "b"))
+        far = tables.keep(_plausible(apart.distinct(), facts).where("likely").select("a", "b"))
         final, rest = found, late.unionByName(far)
         if not rest.isEmpty():
             final = components(links.unionByName(tables.keep(_linked(rest, _texts(_ends(rest), own, tables), k))))
