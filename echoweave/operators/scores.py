@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.keyed_random import uniform
 from ..schemas import KEYS, SCENE
@@ -66,7 +67,7 @@ def chi2_tail(x: Column, freedom: int) -> Column:
     return F.exp(-half) * total + (_normal_tails(F.sqrt(x)) if odd else 0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_tails(z: pd.Series) -> pd.Series:
     return z.map(lambda v: erfc(v / 2**0.5))
 

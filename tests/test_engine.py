@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from echoweave.functions.keyed_random import uniform
 from echoweave.operators import draws, features, models, pairs, ranks, scores
-from echoweave.plans import draw_queries, queries  # noqa: F401
+from echoweave.plans import draw_queries, evaluation_queries, queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["geometry_features", "multipath_features", "reassemble", "ece", "auroc", "murphy", "sample_categorical", "crps", "sample_bulk", "sample_nonbulk", "sample_angles", "sample_gaussian", "anderson_darling", "w1_null", "slip_rows"])
+@pytest.mark.parametrize("name", ["geometry_features", "multipath_features", "reassemble", "ece", "auroc", "murphy", "sample_categorical", "crps", "sample_bulk", "sample_nonbulk", "sample_angles", "sample_gaussian", "anderson_darling", "w1_null", "slip_rows", "feature_table", "pair_set", "branch_metrics", "position_draws", "range_draws", "draw_slices", "scene_bootstrap", "ks_2samp"])
 def test_against_duckdb(spark, duck, name):
     df = queries.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
@@ -122,7 +122,22 @@ def test_replicates_of_the_reference(spark):
     from echoweave.plans.queries import QUERIES
 
     sf = "/root/testdata/sf0.001"
-    assert QUERIES["mc_null_ece"](spark, sf).count() == 1000
+    (null,) = QUERIES["mc_null_ece"](spark, sf).collect()
+    assert 1 / 1001 - 1e-6 <= null.p_value <= 1 and 0 < null.observed < 1 and 0 < null.null_mean < 1
     losses = table(spark, sf, "fx_pred").withColumn("loss", (F.col("p") - F.col("detected")) ** 2)
     want, got = scores.scene_bootstrap(losses, "loss", 1000).first(), QUERIES["scene_bootstrap"](spark, sf).first()
     assert all(abs(want[c] - got[c]) < 1e-6 for c in ("low", "high"))
+
+
+def test_one_tied_value(spark):
+    """A constant prediction: one range holds all rows, and each score is that of a constant."""
+    df = spark.createDataFrame([(0, 0, i, 0.25, int(i % 4 == 0)) for i in range(400)], "scenario_id long, drop_id long, target_id long, p double, detected int")
+    (r,) = scores.murphy(df, "p", "detected", 15).collect()
+    assert (r.reliability, r.resolution, r.reconstructed) == pytest.approx((0.0, 0.0, 0.1875), abs=1e-12)
+    assert scores.auroc(df, "p", "detected").first().auroc == pytest.approx(0.5)
+
+
+def test_chi2_tail(spark):
+    df = spark.createDataFrame([(7.5,)], "x double")
+    got = df.select(scores.chi2_tail(F.col("x"), 8).alias("even"), scores.chi2_tail(F.col("x"), 3).alias("odd")).first()
+    assert (got.even, got.odd) == pytest.approx((0.483768, 0.057556), abs=1e-5)
