@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +257,69 @@ def test_language_model(docs, texts, nothing):
     assert score(nothing).count() == 0
 
 
+def test_brown_classes(docs, texts, spark):
+    """The class model's score from its classes and plain counts; every word of the training texts has a class of its own finding."""
+    from echoweave.llm import brown_lm
+    from echoweave.llm.common import Tables, Words
+
+    model = brown_lm.fit(brown_lm.training_rows(docs, "doc_id", "text", 10, 0), Tables(spark))
+    assert all(b > a for a, b in zip(model.likelihoods[1:-1], model.likelihoods[2:-1], strict=False))
+    of, count = {}, {}
+    for r in model.lexicon.collect():
+        for key, n, c in zip(np.frombuffer(r.words, "<u8").tolist(), np.frombuffer(r.counts, "<i8").tolist(), list(r.classes), strict=True):
+            of[key], count[key] = c, n
+    key = {w: int(brown_lm._keys(Words(pa.array([w])))[0]) for t in texts.values() for w in words(t)}
+    end = int(brown_lm._END)
+    assert [k for k, c in of.items() if c == 0] == [end] and set(of) == {*key.values(), end}
+    tokens = {k: [*(key[w] for w in words(t)), end] for k, t in texts.items()}
+    moves, size, kinds = collections.Counter(), collections.Counter(), collections.Counter()
+    plain = collections.Counter()
+    for k, x in tokens.items():
+        if zlib.crc32(str(k).encode()) % 10:
+            plain.update(x)
+            moves.update((of[a], of[b]) for a, b in zip([end, *x], x, strict=False))
+    assert {k: n for k, n in count.items() if n} == dict(plain)
+    for w, n in plain.items():
+        size[of[w]] += n
+        kinds[of[w]] += 1
+    row = collections.Counter()
+    for (a, _), n in moves.items():
+        row[a] += n
+    step = lambda a, b: math.log10((moves[of[a], of[b]] + 0.5) / (row[of[a]] + 0.5 * 48)) + math.log10((count[b] + 0.1) / (size[of[b]] + 0.1 * (kinds[of[b]] + 1)))
+    for r in brown_lm.score(docs).collect():
+        x = tokens[r.doc_id]
+        assert r.score == pytest.approx(sum(step(a, b) for a, b in zip([end, *x], x, strict=False)))
+
+
+def test_exchange():
+    """No single move gains after exchange, and the gains of a sweep are those of the likelihood."""
+    from echoweave.llm.brown_lm import exchange, likelihood, reassign
+
+    rng = np.random.default_rng(3)
+    kind = rng.integers(0, 3, 30)
+    bigrams = rng.poisson(1 + 6.0 * (kind[:, None] == (kind[None, :] + 1) % 3))
+
+    def table(own):
+        out = np.zeros((5, 5))
+        np.add.at(out, (own[:, None], own[None, :]), bigrams)
+        return out
+
+    own = exchange(bigrams, 5)
+    best = likelihood(table(own))
+    for w in range(29):
+        for c in range(1, 5):
+            other = own.copy()
+            other[w] = c
+            assert likelihood(table(other)) <= best + 1e-6
+    lost = own.copy()
+    lost[4] = own[4] % 4 + 1
+    out, into = bigrams[4].copy(), bigrams[:, 4].copy()
+    out[4] = into[4] = 0
+    n = np.concatenate([np.bincount(lost, out, minlength=5), np.bincount(lost, into, minlength=5)])
+    code = np.flatnonzero(n)
+    assert reassign(table(lost), lost, np.full(len(code), 4), code, n[code])[4] == own[4]
+
+
 @pytest.mark.parametrize("forests", [5, 0])
 def test_embeddings(spark, forests):
     """Against brute force; without forests the exact search alone finds the links."""
