@@ -17,12 +17,13 @@ the bounded matrices meets at the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Tables, Words, mix, text_blocks
@@ -360,7 +361,7 @@ def _contexts(blocks: DataFrame, parts: int, classes: int, units: Units, unit_cl
                 many = np.bincount(word, minlength=len(b.words))
                 cut = b.cuts(parts)
                 at = np.searchsorted(word, cut)
-                yield _batch([(0, p, b.number, *(_binary(x[lo:hi], t) for x, t, lo, hi in ((b.words, "<u8", cut[p], cut[p + 1]), (many, "<u2", cut[p], cut[p + 1]), (code, "<u2", at[p], at[p + 1]), (times, "<u4", at[p], at[p + 1])))) for p in np.flatnonzero(np.diff(cut)).tolist()], _CONTEXT)
+                yield _batch([(0, p, b.number, *(_binary(x[lo:hi], t) for x, t, lo, hi in ((b.words, "<u8", cut[p], cut[p + 1]), (many, "<u2", cut[p], cut[p + 1]), (code, "u1", at[p], at[p + 1]), (times, "<u4", at[p], at[p + 1])))) for p in np.flatnonzero(np.diff(cut)).tolist()], _CONTEXT)
         a, b = np.divmod(np.flatnonzero(total), classes)
         yield _batch([(1, x, y, b"", b"", b"", _binary(total[x * classes + y], "<i8")) for x, y in zip(a.tolist(), b.tolist(), strict=True)], _CONTEXT)
 
@@ -392,7 +393,7 @@ def _sweep(contexts: DataFrame, lexicon: DataFrame, parts: int, table: np.ndarra
         own = np.frombuffer(own, "u1").astype(np.int64) if own else unit_class[unit]
         where = [np.searchsorted(words, np.frombuffer(r[1], "<u8")) for r in rows]
         word = np.concatenate([np.repeat(w, np.frombuffer(r[2], "<u2")) for w, r in zip(where, rows, strict=True)])
-        entry = word * 2 * len(table) + np.concatenate([np.frombuffer(r[3], "<u2") for r in rows])
+        entry = word * 2 * len(table) + np.concatenate([np.frombuffer(r[3], "u1") for r in rows])
         times = np.concatenate([np.frombuffer(r[4], "<u4") for r in rows])
         free = ~alone[word]
         entry, index = np.unique(entry[free], return_inverse=True)
@@ -405,6 +406,18 @@ def _sweep(contexts: DataFrame, lexicon: DataFrame, parts: int, table: np.ndarra
     return _by_part(sent.unionByName(held), parts, _REPLY + ", words binary", work)
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of each job that ends here: every sweep writes its tables, and nothing reads its shuffles again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @dataclass
 class Model:
     """``blocks`` and ``replies`` are written tables, as is ``lexicon`` (part, words, counts, classes: packed, part by part)."""
@@ -439,15 +452,18 @@ def fit(own: DataFrame, tables: Tables, classes: int = CLASSES, share: float = S
     while True:
         reached.append(likelihood(table))
         if found is not None and reached[-1] - reached[-2] <= TOLERANCE * abs(reached[-2]):
+            worse = before and before[0]
             if before is not None and reached[-1] < reached[-2]:
+                worse = found
                 found, known, table = before
-            tables.free(contexts)
+            tables.free(contexts, *([] if worse is None else [worse]))
             return Model(blocks, found.where("block is not null"), known, table, reached)
         if before is not None:
             tables.free(before[0])
+        used = [contexts, counted] if found is None else [contexts]
         before = None if found is None else (found, known, table)
         found = tables.keep(_sweep(contexts, known, parts, table, units, unit_class))
-        tables.free(contexts)
+        tables.free(*used)
         known = found.where("block is null").select("part", "words", "counts", "classes")
         contexts = tables.keep(_contexts(_with_classes(blocks, found.where("block is not null")), parts, classes, units, unit_class))
         table = _transitions(contexts, classes)
@@ -478,10 +494,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     A null or empty text has its end alone as token. Rows with a null key are scored and never trained on. Equal rows
     stay, each with its score; each counts in training. Without training texts all counts are 0.
     """
-    if classes > 250:
-        raise ValueError("a class is one byte: at most 250")
+    if classes > 127:
+        raise ValueError("a class and its side are one byte: at most 127")
     tables = Tables(docs.sparkSession)
-    model = fit(training_rows(docs, key, text, folds, held_out), tables, classes, share)
+    with _shuffles_removed(docs.sparkSession):
+        model = fit(training_rows(docs, key, text, folds, held_out), tables, classes, share)
     sums = np.array(_totals(model.lexicon, classes), float)
     tokens, distinct = int(sums[:, 0].sum()), int(sums[:, 1].sum())
     step = np.log10((model.table + ADD_CLASS) / (model.table.sum(1, keepdims=True) + ADD_CLASS * classes)) - np.log10(sums[:, 0] + ADD * (sums[:, 1] + 1))[None, :]
