@@ -36,9 +36,9 @@ ADD_CLASS = 0.5
 #: Least growth of the likelihood, as a share of it, for which another sweep is made.
 TOLERANCE = 1e-3
 #: Tokens of a block of texts (a longer text stands alone).
-BLOCK_TOKENS = 250_000
+BLOCK_TOKENS = 500_000
 #: Characters of text for each part of the word space.
-PART_CHARS = 50_000_000
+PART_CHARS = 20_000_000
 #: Context entries whose gains are computed at once.
 GAIN_ROWS = 20_000
 _END = np.uint64(0xE0D0E0D0E0D0E000)
