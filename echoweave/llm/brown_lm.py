@@ -289,7 +289,8 @@ def reassign(table: np.ndarray, own: np.ndarray, word: np.ndarray, code: np.ndar
     """The class of most gain for each word against a table of class bigrams that holds all words in their ``own`` classes.
 
     Entries are sorted by ``word``: ``times`` tokens of it stand before class ``code``, or after class ``code - classes``.
-    A word is taken out of its own class first; ties stay or go to the lower class; class 0 is the end's alone.
+    A word is taken out of its own class first (not out of the other classes' entries beside it, a term that is small as a
+    word without its own unit is rare, so a gain is close but not exact); ties stay or go to the lower class; class 0 is the end's alone.
     """
     classes = len(table)
     both = np.concatenate([table.T, table])
