@@ -1,8 +1,9 @@
 """I-Match document fingerprints, with DataFrame functions only.
 
 The lexicon holds the terms whose document frequency lies in a band (so their inverse document frequency does). A
-document keeps its lexicon terms, sorts the distinct ones, and hashes several randomised subsets of the lexicon: a
-term is in a subset if random bits of its hash say so, at the subset's rate. Subsets come at several rates, as a
+document keeps its lexicon terms, sorts the distinct ones (by their 64-bit hashes, which stand for them), and hashes the
+sorted list of those in each of several randomised subsets of the lexicon: a term is in a subset if random bits of its
+hash say so, at the subset's rate. Subsets come at several rates, as a
 long document needs thin ones for some to survive an edit and a short one needs thick ones.
 
 The lexicon is bounded whatever the corpus: the frequencies of all terms sum to at most (distinct terms of a document,
@@ -71,23 +72,20 @@ def neighbours(keys: DataFrame) -> DataFrame:
 
 
 def _masks(h: Column) -> dict[str, Column]:
-    """Random bits of a term that decide which subsets have it, 8 subsets of a scale from one hash, and its summand."""
-    return {f"m{scale}": F.xxhash64(h, F.lit(scale)) for scale in range(len(RATES))} | {"v": F.shiftright(F.xxhash64(h, F.lit(99)), 20)}
+    """Random bits of a term that decide which subsets have it, 8 subsets of a scale from one hash."""
+    return {f"m{scale}": F.xxhash64(h, F.lit(scale)) for scale in range(len(RATES))}
 
 
-def _sums(side: int) -> list[Column]:
-    """For each subset the sum of its distinct terms' hashes on one side (null: it has none).
+def _drawn(kept: str, mask: str, at: int, rate: int) -> Column:
+    """The terms of ``kept`` (an array of terms and masks) whose bits of a mask from ``at`` on are 0, in its order."""
+    inside = F.filter(kept, lambda x: F.shiftrightunsigned(x[mask], at).bitwiseAND(F.lit(rate - 1)) == 0)
+    return F.transform(inside, lambda x: x["h"])
 
-    Sets are equal, and in practice only then, if the sums of 44-bit hashes are; unlike a hash of the sorted list
-    the sum is gathered piecewise.
-    """
-    out = []
-    for scale, rate in enumerate(RATES):
-        bits = rate.bit_length() - 1
-        for k in range(SUBSETS):
-            drawn = F.shiftrightunsigned(f"m{scale}", (k * bits) % (64 - bits)).bitwiseAND(F.lit(rate - 1)) == 0
-            out.append(F.sum(F.when(drawn & (F.col("side") != side), F.col("v"))))
-    return out
+
+def _subsets(kept: str) -> list[Column]:
+    """For each subset the hash of the sorted list of its terms."""
+    bits = [rate.bit_length() - 1 for rate in RATES]
+    return [F.xxhash64(_drawn(kept, f"m{s}", (k * bits[s]) % (64 - bits[s]), rate)) for s, rate in enumerate(RATES) for k in range(SUBSETS)]
 
 
 def _hashes(text: str) -> Column:
@@ -98,9 +96,10 @@ def _tag(side: int):
     return lambda h: F.struct(h.alias("h"), F.lit(side).alias("side"))
 
 
-def _digest(sums: Sequence[Column]) -> Column:
-    """Eight hex digits for each subset, dots for one without terms."""
-    each = [F.when(s.isNull(), F.lit("........")).otherwise(F.lpad(F.lower(F.hex(F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")) for s in sums]
+def _digest(hashes: Sequence[Column]) -> Column:
+    """Eight hex digits for each subset, dots for one without terms (its hash is that of the empty list)."""
+    empty = F.xxhash64(F.array().cast("array<bigint>"))
+    each = [F.when(h == empty, F.lit("........")).otherwise(F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")) for h in hashes]
     return F.concat(*each)
 
 
@@ -144,13 +143,15 @@ def fingerprint_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "te
         *[F.transform(terms_of, tag) for terms_of, tag in ((F.array_except("a", "b"), _tag(1)), (F.array_except("b", "a"), _tag(2)), (F.array_intersect("a", "b"), _tag(3)))]
     )
     hits = found.select("k", F.explode(tagged).alias("x")).select("k", "x.h", "x.side").join(words, "h")
-    hits = hits.select("k", "side", *[c.alias(n) for n, c in _masks(F.col("h")).items()])
+    hits = hits.select("k", F.struct("h", "side", *[c.alias(n) for n, c in _masks(F.col("h")).items()]).alias("x"))
+    kept = hits.groupBy("k").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    sides = kept.select("k", F.filter("x", lambda x: x["side"] != 2).alias("a"), F.filter("x", lambda x: x["side"] != 1).alias("b"))
     names = [f"s{i}" for i in range(len(RATES) * SUBSETS)]
-    sums = hits.groupBy("k").agg(
-        F.count(F.when(F.col("side") != 2, 1)).alias("n_a"), F.count(F.when(F.col("side") != 1, 1)).alias("n_b"),
-        *[c.alias(n) for c, n in zip(_sums(2), names, strict=True)], *[c.alias(f"e{n}") for c, n in zip(_sums(1), names, strict=True)],
+    hashes = sides.select(
+        "k", F.size("a").alias("n_a"), F.size("b").alias("n_b"),
+        *[c.alias(n) for n, c in zip(names, _subsets("a"), strict=True)], *[c.alias(f"e{n}") for n, c in zip(names, _subsets("b"), strict=True)],
     )
-    marked = sums.select("k", "n_a", "n_b", _digest([F.col(n) for n in names]).alias("fa"), _digest([F.col(f"e{n}") for n in names]).alias("fb"))
+    marked = hashes.select("k", "n_a", "n_b", _digest([F.col(n) for n in names]).alias("fa"), _digest([F.col(f"e{n}") for n in names]).alias("fb"))
     facts = rows.select(
         "k", "next_k", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"), F.xxhash64("t").alias("whole"), F.xxhash64("e").alias("whole_e"),
     )
