@@ -1,20 +1,23 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three machines are compiled from the model's pieces: the normaliser (white space to its sign, one before the text),
-the piece transducer (a trie from characters to pieces, with an arc to its bytes for each character that is no piece),
-and a filter that lets two pieces stand side by side only if the model's merges would leave them so. A text is composed
-with them chunk by chunk, lazily, and the path of least weight in the tropical semiring (an arc's weight is minus its
-piece's score) gives the ids. Merge-based models accept one path per text, the model's own encoding; the filter is what
-tells it from cheaper paths that merges never reach.
-
-Chunks are maximal runs of space and what follows; no piece crosses their borders (checked when compiling), so each
-distinct chunk is solved once.
+Machines compiled from the model's file, in this order of composition:
+
+* :class:`Normaliser` reads characters and writes them, white space as its sign, after the sign of the text's beginning.
+* :class:`PieceMachine` reads what it wrote: a trie whose leaves write pieces at a weight of minus their score, and an
+  arc over each character that is no piece, which writes the character (spelled in byte pieces by the last machine).
+* For merge-based models, a filter that lets two pieces stand side by side only if the model's merges would leave them
+  so; a state remembers the last piece. Models of single pieces (unigram) need no filter and no memory.
+
+A text is composed with them lazily, chunk by chunk, and its ids are the path of least weight in the tropical semiring:
+weights add along a path, the least of the paths into a state stays. Chunks are maximal runs of space and what follows;
+no piece crosses their borders (checked when compiling), so each distinct chunk is solved once. Models with a table of
+character replacements, white space removal, pieces of the user or no byte pieces are refused when compiling.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -27,37 +30,38 @@ from .packing import RunMemory, joined, laid
 SIGN = "▁"
 #: Pairs of pieces whose verdict a worker remembers.
 PAIRS = 1_000_000
+#: Numbers of the model file's format: kinds of models, and kinds of pieces.
+UNIGRAM, MERGES = 1, 2
+NORMAL, BYTE = 1, 6
+USER_DEFINED, UNUSED = 4, 5
+#: Fixed value: what a unigram model adds to its largest weight for a character that is no piece.
+UNKNOWN_EXTRA = 10.0
 
 
-class Transducer:
-    def __init__(self, path: str):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = model.get_piece_size()
-        self.bytes_first = next(i for i in range(n) if model.is_byte(i))
-        plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        self.piece = {i: model.id_to_piece(i) for i in plain}
-        self.id = {p: i for i, p in self.piece.items()}
-        self.weight = {p: -model.get_score(i) for p, i in self.id.items()}
-        if any(SIGN in p.lstrip(SIGN) for p in self.id):
-            raise ValueError("a piece holds white space behind other characters: chunks do not stand alone")
+class Normaliser:
+    """Two states, before the first character and behind it; the arc out of the first writes the opening sign."""
+
+    def __init__(self, opening: bool = True):
+        self.opening = SIGN if opening else ""
+        self.arcs = str.maketrans({" ": SIGN})
+
+    def __call__(self, text: str, opens: bool) -> str:
+        return (self.opening if opens else "") + text.translate(self.arcs)
+
+
+class PieceMachine:
+    """The weighted machine of ``weight`` (piece to weight); with ``merges``, composed with the filter of merges."""
+
+    def __init__(self, weight: Mapping[str, float], merges: bool):
+        self.weight, self.merges = dict(weight), merges
+        self.unknown = max(self.weight.values(), default=0.0) + UNKNOWN_EXTRA
         self.trie: dict = {}
-        for p in self.id:
+        for p in self.weight:
             node = self.trie
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = p
         self.verdicts: dict[tuple[str, str], bool] = {}
-        self.memory = RunMemory(lambda runs: laid([self.chunk(r[1:].decode(), True) if r[:1] == b"\0" else self.chunk(r.decode(), False) for r in runs]))
-        spelled = [b"" for _ in range(n)]
-        for i, p in self.piece.items():
-            spelled[i] = p.replace(SIGN, " ").encode()
-        for x in range(256):
-            spelled[self.bytes_first + x] = bytes([x])
-        self.spell_size = np.array([len(x) for x in spelled], np.int64)
-        self.spell_at = np.cumsum(self.spell_size) - self.spell_size
-        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
 
     def merged(self, text: str) -> list[str]:
         """What the model's merges make of a string: the best-scored pair first, the leftmost of equals."""
@@ -84,39 +88,79 @@ class Transducer:
         return known
 
     def shortest(self, text: str) -> list[str]:
-        """The path of least weight through text o pieces o filter, as strings; a state is (place, last piece).
+        """The path of least weight through the composition, as strings; of equal ones that whose last piece is longest.
 
-        The filter leaves one path to each place, the merges' own result for the text up to there, so a place is
-        settled by the first path that reaches it.
+        A state is a place of the text and the last piece. With the filter, one path alone leads to each place (what
+        merges make of the text up to there), so a place has one state and, once reached, is not relaxed again; without
+        it the last piece decides nothing and a place has one state as well. ``least`` holds the states' weights.
         """
-        n = len(text)
-        last: list[str | None] = [None] * (n + 1)
-        last[0] = ""
-        verdicts, adjoin, trie = self.verdicts, self.adjoin, self.trie
+        n, merges, weight, trie, adjoin = len(text), self.merges, self.weight, self.trie, self.adjoin
+        none = float("inf")
+        least = [none] * (n + 1)
+        last: list[str] = [""] * (n + 1)
+        least[0] = 0.0
         for i in range(n):
-            before = last[i]
-            if before is None:
+            here, before = least[i], last[i]
+            if here == none:
                 continue
             node, j = trie, i
             while j < n and (node := node.get(text[j])) is not None:
                 j += 1
                 piece = node.get("")
-                if piece is not None and last[j] is None:
-                    good = True if not before else verdicts.get((before, piece))
-                    if good if good is not None else adjoin(before, piece):
-                        last[j] = piece
-            if last[i + 1] is None and text[i] not in self.id:
-                last[i + 1] = text[i]  # an unknown character: its bytes
+                if piece is None:
+                    continue
+                there = here + weight[piece]
+                if there < least[j] if not merges else least[j] == none and (not before or adjoin(before, piece)):
+                    least[j], last[j] = there, piece
+            there = here + self.unknown
+            if text[i] not in weight and (there < least[i + 1] if not merges else least[i + 1] == none and (not before or adjoin(before, text[i]))):
+                least[i + 1], last[i + 1] = there, text[i]
         path, at = [], n
         while at:
             path.append(last[at])
             at -= len(path[-1])
         return path[::-1]
 
+
+class Transducer:
+    """The composition of the machines of a model's file, and its inverse."""
+
+    def __init__(self, path: str):
+        from sentencepiece import sentencepiece_model_pb2
+
+        with open(path, "rb") as file:
+            model = sentencepiece_model_pb2.ModelProto.FromString(file.read())
+        rules, kind = model.normalizer_spec, model.trainer_spec.model_type
+        types = [p.type for p in model.pieces]
+        refused = {
+            "a kind other than unigram or merges": kind not in (UNIGRAM, MERGES),
+            "a table of character replacements": bool(rules.precompiled_charsmap),
+            "removal of white space": rules.remove_extra_whitespaces,
+            "white space kept as it is, or behind words": not rules.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix,
+            "no 256 byte pieces": types.count(BYTE) != 256,
+            "pieces of the user, or unused ones": USER_DEFINED in types or UNUSED in types,
+            "a piece with white space behind other characters: chunks do not stand alone": any(SIGN in p.piece.lstrip(SIGN) for p in model.pieces if p.type == NORMAL),
+        }
+        if found := [what for what, is_so in refused.items() if is_so]:
+            raise ValueError("the model has " + "; ".join(found))
+        self.bytes_first = types.index(BYTE)
+        self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
+        self.normalise = Normaliser(rules.add_dummy_prefix)
+        self.machine = PieceMachine({p: -model.pieces[i].score for p, i in self.id.items()}, kind == MERGES)
+        self.memory = RunMemory(lambda runs: laid([self.chunk(r[1:].decode(), True) if r[:1] == b"\0" else self.chunk(r.decode(), False) for r in runs]))
+        spelled = [b"" for _ in types]
+        for p, i in self.id.items():
+            spelled[i] = p.replace(SIGN, " ").encode()
+        for x in range(256):
+            spelled[self.bytes_first + x] = bytes([x])
+        self.spell_size = np.array([len(x) for x in spelled], np.int64)
+        self.spell_at = np.cumsum(self.spell_size) - self.spell_size
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+
     def chunk(self, text: str, opens: bool) -> list[int]:
-        """Ids of a chunk of normalised or raw text; ``opens``: the sign of the text's beginning stands before it."""
+        """Ids of a chunk of normalised or raw text; ``opens``: it begins the text."""
         out = []
-        for piece in self.shortest(SIGN * opens + text.replace(" ", SIGN)):
+        for piece in self.machine.shortest(self.normalise(text, opens)):
             if piece in self.id:
                 out.append(self.id[piece])
             else:
@@ -140,19 +184,19 @@ class Transducer:
             parts = [ids[x:y] for x, y in zip(places, places[1:], strict=False)]
             for i, t in enumerate(texts.to_pylist()):
                 if t and SIGN in t:  # the sign itself is white space to the model: chunks begin elsewhere
-                    whole = SIGN + t.replace(" ", SIGN)
+                    whole = self.normalise(t, True)
                     cuts = [0, *(k for k in range(1, len(whole)) if whole[k] == SIGN != whole[k - 1]), len(whole)]
                     parts[i] = np.array([x for p, q in zip(cuts, cuts[1:], strict=False) for x in self.chunk(whole[p:q], False)], np.uint32)
             ids, places = joined(parts)
         return ids, places
 
     def decode(self, ids: np.ndarray, places: np.ndarray) -> list[str]:
-        """The texts of id sequences: spellings one after another, without the sign before the text. Bytes that are no UTF-8 become U+FFFD."""
+        """The texts of id sequences: spellings one after another, without the opening sign. Bytes that are no UTF-8 become U+FFFD."""
         sizes = self.spell_size[ids]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         raw = self.spelled[np.repeat(self.spell_at[ids] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
         cuts = ends[places].tolist()
-        return [raw[a + (raw[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [raw[a + (bool(self.normalise.opening) and raw[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 _machines: dict[str, Transducer] = {}
