@@ -187,7 +187,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _tokenizers.setdefault(tokenizer_path, RunTokenizer(tokenizer_path))
+        coder = _tokenizers.get(tokenizer_path) or _tokenizers.setdefault(tokenizer_path, RunTokenizer(tokenizer_path))
         for batch in batches:
             rows: list[tuple] = []
             for block in text_blocks(batch, "t", 1 << 20):
