@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -228,6 +229,70 @@ def test_sentence_pieces(docs, texts):
         else:
             assert list(got[k].ids) == model.encode(t) and got[k].text == t.replace("▁", " ")
     assert {r.doc_id for r in round_trips(docs, path).where("not round_trip").collect()} == {10**6 + 3}
+    odd = docs.select("doc_id", "text", F.lit("own").alias("n_tokens"), F.lit(1).alias("ids"))
+    assert round_trips(odd, path).count() == docs.count() and round_trips(odd.limit(0), path).count() == 0
+    assert dict(encode(odd, path).dtypes)["ids"] == "array<int>" and encode(odd.limit(0), path).count() == 0
+
+
+def spellings(text, pieces):
+    """Every way to cut a text into pieces, or single characters that are none."""
+    if not text:
+        yield []
+    for j in range(1, len(text) + 1):
+        if text[:j] in pieces or (j == 1 and text[0] not in pieces):
+            yield from ([text[:j], *rest] for rest in spellings(text[j:], pieces))
+
+
+def test_shortest_path():
+    from echoweave.llm.sentence_pieces import PieceMachine
+
+    rng = random.Random(3)
+    for _ in range(40):
+        weight = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))): rng.uniform(0.5, 9) for _ in range(12)}
+        machine = PieceMachine(weight, merges=False)
+        for _ in range(10):
+            text = "".join(rng.choice("abcd") for _ in range(rng.randrange(12)))
+            cost = {tuple(x): sum(weight.get(p, machine.unknown) for p in x) for x in spellings(text, weight)}
+            assert cost[tuple(machine.shortest(text))] == pytest.approx(min(cost.values()))
+        # merges of pairs, where each longer piece is a pair of shorter ones
+        ranks = dict.fromkeys("abc", 0.0)
+        while len(ranks) < 14:
+            ranks.setdefault(rng.choice(list(ranks)) + rng.choice(list(ranks)), float(len(ranks)))
+        machine = PieceMachine(ranks, merges=True)
+        for _ in range(10):
+            text = "".join(rng.choice("abcd") for _ in range(rng.randrange(30)))
+            assert machine.shortest(text) == machine.merged(text)
+
+
+def test_other_models_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    from echoweave.llm.sentence_pieces import Transducer
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = sentencepiece_model_pb2.ModelProto.FromString(file.read())
+    model.normalizer_spec.remove_extra_whitespaces = True
+    (tmp_path / "other.model").write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError, match="removal of white space"):
+        Transducer(str(tmp_path / "other.model"))
+
+
+def test_opening_sign_follows_the_model(tmp_path):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    from echoweave.llm.sentence_pieces import Transducer
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = sentencepiece_model_pb2.ModelProto.FromString(file.read())
+    model.normalizer_spec.add_dummy_prefix = False
+    path = str(tmp_path / "plain.model")
+    (tmp_path / "plain.model").write_bytes(model.SerializeToString())
+    known, texts = sentencepiece.SentencePieceProcessor(model_file=path), ["", " a  b", "It's 12ab — é", "x▁y ▁z"]
+    machine = Transducer(path)
+    ids, at = machine.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [known.encode(t) for t in texts]
+    assert machine.decode(ids, at) == [t.replace("▁", " ") for t in texts]
 
 
 def test_quality(spark, docs, nothing):
@@ -353,6 +418,50 @@ def test_embeddings(spark, forests):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def term_hash(data, seed=42):
+    """Spark's xxhash64 of a string, or of a long or int in their own width, as an unsigned number."""
+    return xxhash.xxh64(data, seed).intdigest()
+
+
+def long_bytes(x, size=8):
+    return int(x).to_bytes(size, "little", signed=x < 0)
+
+
+def lexicon_of(texts, low=0.0005, high=0.2):
+    df = collections.Counter(w for t in texts.values() for w in set(words(t)))
+    return {term_hash(w.encode()) for w, n in df.items() if max(2, low * len(texts)) <= n <= max(2, high * len(texts))}
+
+
+def print_of(text, kept, rates=(2, 8, 32, 128, 512), subsets=8):
+    signed = lambda h: h - (h >> 63 << 64)
+    found = sorted(signed(h) for h in {term_hash(w.encode()) for w in words(text)} & kept)
+    if not found:
+        return f"-{term_hash((text or '').encode()):x}"
+    out = ""
+    for scale, rate in enumerate(rates):
+        bits = rate.bit_length() - 1
+        masks = [term_hash(long_bytes(scale, 4), term_hash(long_bytes(h))) for h in found]
+        for k in range(subsets):
+            drawn = [h for h, m in zip(found, masks, strict=True) if (m >> (k * bits) % (64 - bits)) % rate == 0]
+            state = 42
+            for h in drawn:
+                state = term_hash(long_bytes(h), state)
+            out += f"{state % 2**32:08x}" if drawn else "........"
+    return out
+
+
+def alike(a, b, size=8):
+    if a == b or a[0] == "-" or b[0] == "-":
+        return float(a == b)
+    best = 0.0
+    for at in range(0, len(a), 8 * size):
+        pairs = [(a[i : i + 8], b[i : i + 8]) for i in range(at, at + 8 * size, 8)]
+        full = [x for x in pairs if x != ("........", "........")]
+        if len(full) >= 2:
+            best = max(best, sum(x == y for x, y in full) / len(full))
+    return best
+
+
 def test_fingerprints(docs, texts, nothing):
     from echoweave.llm.imatch import fingerprint_with_edits
 
@@ -366,6 +475,13 @@ def test_fingerprints(docs, texts, nothing):
     for k, t in texts.items():
         prints[t].add(got[k].fingerprint)
     assert all(len(x) == 1 for x in prints.values())
+    kept = lexicon_of(texts)
+    for i, k in enumerate(order):
+        t, following = texts[k], texts[order[(i + 1) % len(order)]]
+        edited = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
+        assert (got[k].fingerprint, got[k].edited_fingerprint) == (print_of(t, kept), print_of(edited, kept))
+        assert got[k].near_edited == pytest.approx(alike(got[k].fingerprint, got[k].edited_fingerprint))
+        assert got[k].near_next == pytest.approx(alike(got[k].fingerprint, print_of(following, kept)))
     assert np.mean([r.near_edited for r in got.values()]) > 0.3 > 0.1 > np.mean([r.near_next for r in got.values()])
     assert fingerprint_with_edits(nothing).count() == 0
 
