@@ -71,21 +71,21 @@ def neighbours(keys: DataFrame) -> DataFrame:
     return near.join(F.broadcast(borders), "bucket", "left").select("k", F.coalesce("n_k", "after").alias("next_k"), F.coalesce("p_k", "before").alias("prev_k"), F.coalesce("p_n", "before_n").alias("prev_n"))
 
 
-def _masks(h: Column) -> dict[str, Column]:
-    """Random bits of a term that decide which subsets have it, 8 subsets of a scale from one hash."""
-    return {f"m{scale}": F.xxhash64(h, F.lit(scale)) for scale in range(len(RATES))}
+def _drawn(h: Column) -> Column:
+    """The numbers of the subsets that have a term, by random bits of it (8 subsets of a scale from one hash), among nulls; -1 if none has."""
+    out = []
+    for scale, rate in enumerate(RATES):
+        bits = rate.bit_length() - 1
+        for k in range(SUBSETS):
+            mine = F.shiftrightunsigned(F.xxhash64(h, F.lit(scale)), (k * bits) % (64 - bits)).bitwiseAND(F.lit(rate - 1)) == 0
+            out.append(F.when(mine, F.lit(scale * SUBSETS + k)))
+    return F.array(*out, F.when(F.coalesce(*out).isNull(), F.lit(-1)))
 
 
-def _drawn(kept: str, mask: str, at: int, rate: int) -> Column:
-    """The terms of ``kept`` (an array of terms and masks) whose bits of a mask from ``at`` on are 0, in its order."""
-    inside = F.filter(kept, lambda x: F.shiftrightunsigned(x[mask], at).bitwiseAND(F.lit(rate - 1)) == 0)
-    return F.transform(inside, lambda x: x["h"])
-
-
-def _subsets(kept: str) -> list[Column]:
-    """For each subset the hash of the sorted list of its terms."""
-    bits = [rate.bit_length() - 1 for rate in RATES]
-    return [F.xxhash64(_drawn(kept, f"m{s}", (k * bits[s]) % (64 - bits[s]), rate)) for s, rate in enumerate(RATES) for k in range(SUBSETS)]
+def _sorted_hash(side: int) -> Column:
+    """Hash of the sorted list of a subset's terms, without those of one side alone; null if there are none."""
+    ours = F.col("side") != side
+    return F.when(F.count(F.when(ours, 1)) > 0, F.xxhash64(F.sort_array(F.collect_list(F.when(ours, F.col("h"))))))
 
 
 def _hashes(text: str) -> Column:
@@ -97,10 +97,8 @@ def _tag(side: int):
 
 
 def _digest(hashes: Sequence[Column]) -> Column:
-    """Eight hex digits for each subset, dots for one without terms (its hash is that of the empty list)."""
-    empty = F.xxhash64(F.array().cast("array<bigint>"))
-    each = [F.when(h == empty, F.lit("........")).otherwise(F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")) for h in hashes]
-    return F.concat(*each)
+    """Eight hex digits for each subset, dots for one without terms."""
+    return F.concat(*[F.when(h.isNull(), F.lit("........")).otherwise(F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")) for h in hashes])
 
 
 def likeness(a: Column, b: Column, size: int = SUBSETS, rates: int = len(RATES)) -> Column:
@@ -143,15 +141,14 @@ def fingerprint_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "te
         *[F.transform(terms_of, tag) for terms_of, tag in ((F.array_except("a", "b"), _tag(1)), (F.array_except("b", "a"), _tag(2)), (F.array_intersect("a", "b"), _tag(3)))]
     )
     hits = found.select("k", F.explode(tagged).alias("x")).select("k", "x.h", "x.side").join(words, "h")
-    hits = hits.select("k", F.struct("h", "side", *[c.alias(n) for n, c in _masks(F.col("h")).items()]).alias("x"))
-    kept = hits.groupBy("k").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    sides = kept.select("k", F.filter("x", lambda x: x["side"] != 2).alias("a"), F.filter("x", lambda x: x["side"] != 1).alias("b"))
-    names = [f"s{i}" for i in range(len(RATES) * SUBSETS)]
-    hashes = sides.select(
-        "k", F.size("a").alias("n_a"), F.size("b").alias("n_b"),
-        *[c.alias(n) for n, c in zip(names, _subsets("a"), strict=True)], *[c.alias(f"e{n}") for n, c in zip(names, _subsets("b"), strict=True)],
-    )
-    marked = hashes.select("k", "n_a", "n_b", _digest([F.col(n) for n in names]).alias("fa"), _digest([F.col(f"e{n}") for n in names]).alias("fb"))
+    # the rows stay dealt by k, so neither grouping shuffles
+    drawn = hits.select("k", "side", "h", F.explode(_drawn(F.col("h"))).alias("i")).where(F.col("i").isNotNull())
+    lists = drawn.groupBy("k", "i").agg(_sorted_hash(2).alias("ha"), _sorted_hash(1).alias("hb"))
+    names = [f"{i}" for i in range(len(RATES) * SUBSETS)]
+    hashes = lists.groupBy("k").agg(
+        F.count("ha").alias("n_a"), F.count("hb").alias("n_b"), *[F.max(F.when(F.col("i") == int(n), F.col(h))).alias(h + n) for h in ("ha", "hb") for n in names]
+    )
+    marked = hashes.select("k", "n_a", "n_b", *[_digest([F.col(h + n) for n in names]).alias(f) for h, f in (("ha", "fa"), ("hb", "fb"))])
     facts = rows.select(
         "k", "next_k", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"), F.xxhash64("t").alias("whole"), F.xxhash64("e").alias("whole_e"),
     )
