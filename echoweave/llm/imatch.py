@@ -72,20 +72,19 @@ def neighbours(keys: DataFrame) -> DataFrame:
 
 
 def _drawn(h: Column) -> Column:
-    """The numbers of the subsets that have a term, by random bits of it (8 subsets of a scale from one hash), among nulls; -1 if none has."""
-    out = []
+    """The subsets that have a term, one bit each, by random bits of it (8 subsets of a scale from one hash)."""
+    out = F.lit(0).cast("long")
     for scale, rate in enumerate(RATES):
         bits = rate.bit_length() - 1
         for k in range(SUBSETS):
             mine = F.shiftrightunsigned(F.xxhash64(h, F.lit(scale)), (k * bits) % (64 - bits)).bitwiseAND(F.lit(rate - 1)) == 0
-            out.append(F.when(mine, F.lit(scale * SUBSETS + k)))
-    return F.array(*out, F.when(F.coalesce(*out).isNull(), F.lit(-1)))
+            out = out.bitwiseOR(F.when(mine, F.lit(1 << (scale * SUBSETS + k)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return out
 
 
-def _sorted_hash(side: int) -> Column:
-    """Hash of the sorted list of a subset's terms, without those of one side alone; null if there are none."""
-    ours = F.col("side") != side
-    return F.when(F.count(F.when(ours, 1)) > 0, F.xxhash64(F.sort_array(F.collect_list(F.when(ours, F.col("h"))))))
+def _list(subset: int, drawn: str) -> Column:
+    """The terms of a subset; ``drawn`` has its bit if the term is in it and on the side in question."""
+    return F.collect_list(F.when(F.col(drawn).bitwiseAND(F.lit(1 << subset).cast("long")) != 0, F.col("h")))
 
 
 def _hashes(text: str) -> Column:
@@ -96,9 +95,10 @@ def _tag(side: int):
     return lambda h: F.struct(h.alias("h"), F.lit(side).alias("side"))
 
 
-def _digest(hashes: Sequence[Column]) -> Column:
-    """Eight hex digits for each subset, dots for one without terms."""
-    return F.concat(*[F.when(h.isNull(), F.lit("........")).otherwise(F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")) for h in hashes])
+def _digest(lists: Sequence[str]) -> Column:
+    """Eight hex digits of the hash of each subset's sorted list, dots for one without terms."""
+    digits = lambda c: F.lpad(F.lower(F.hex(F.xxhash64(F.sort_array(c)).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
+    return F.concat(*[F.when(F.size(c) == 0, F.lit("........")).otherwise(digits(c)) for c in lists])
 
 
 def likeness(a: Column, b: Column, size: int = SUBSETS, rates: int = len(RATES)) -> Column:
@@ -141,14 +141,12 @@ def fingerprint_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "te
         *[F.transform(terms_of, tag) for terms_of, tag in ((F.array_except("a", "b"), _tag(1)), (F.array_except("b", "a"), _tag(2)), (F.array_intersect("a", "b"), _tag(3)))]
     )
     hits = found.select("k", F.explode(tagged).alias("x")).select("k", "x.h", "x.side").join(words, "h")
-    # the rows stay dealt by k, so neither grouping shuffles
-    drawn = hits.select("k", "side", "h", F.explode(_drawn(F.col("h"))).alias("i")).where(F.col("i").isNotNull())
-    lists = drawn.groupBy("k", "i").agg(_sorted_hash(2).alias("ha"), _sorted_hash(1).alias("hb"))
-    names = [f"{i}" for i in range(len(RATES) * SUBSETS)]
-    hashes = lists.groupBy("k").agg(
-        F.count("ha").alias("n_a"), F.count("hb").alias("n_b"), *[F.max(F.when(F.col("i") == int(n), F.col(h))).alias(h + n) for h in ("ha", "hb") for n in names]
-    )
-    marked = hashes.select("k", "n_a", "n_b", *[_digest([F.col(h + n) for n in names]).alias(f) for h, f in (("ha", "fa"), ("hb", "fb"))])
+    # the rows stay dealt by k, so the grouping needs no shuffle
+    drawn = hits.select("k", "side", "h", _drawn(F.col("h")).alias("d"))
+    drawn = drawn.select("k", "side", "h", F.when(F.col("side") != 2, F.col("d")).alias("da"), F.when(F.col("side") != 1, F.col("d")).alias("db"))
+    subsets = range(len(RATES) * SUBSETS)
+    lists = drawn.groupBy("k").agg(F.count("da").alias("n_a"), F.count("db").alias("n_b"), *[_list(i, d).alias(f"{d}{i}") for d in ("da", "db") for i in subsets])
+    marked = lists.select("k", "n_a", "n_b", *[_digest([f"{d}{i}" for i in subsets]).alias(f) for d, f in (("da", "fa"), ("db", "fb"))])
     facts = rows.select(
         "k", "next_k", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"), F.xxhash64("t").alias("whole"), F.xxhash64("e").alias("whole_e"),
     )
