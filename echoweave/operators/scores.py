@@ -160,20 +160,6 @@ def crps(draws: DataFrame, real: str, value: str = "value", keys: Sequence[str]
     return rows.select(*keys, F.when(m > 1, error - pair / (m * (m - 1))).otherwise(error).alias("crps"))
 
 
-def scene_bootstrap(df: DataFrame, value: str, replicates: int, alpha: float = 0.05, scene: Sequence[str] = SCENE, by: Sequence[str] = (), seed: int = 42) -> DataFrame:
-    """Interval of the mean of ``value`` by resampling whole scenes: as many scenes as there are, drawn with replacement.
-
-    Scenes are summed first and numbered; every replicate draws their numbers, and its sums are counts times sums of
-    scenes. All groups of ``by`` share the draws.
-    """
-    sums = df.groupBy(*by, *scene).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    numbered = ordinal(sums.select(*scene).distinct(), scene[-1], scene).select(*scene, "row", F.col("n").alias("scenes")).persist()
-    drawn = numbered.select("scenes", F.col("row").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    times = drawn.select("b", (F.floor(uniform("boot", "b", "j", seed=seed) * F.col("scenes")) + 1).alias("row")).groupBy("b", "row").agg(F.count("*").alias("w"))
-    means = times.join(sums.join(numbered, list(scene)), "row").groupBy(*by, "b").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
-    return means.groupBy(*by).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
-
-
 def null_ece(df: DataFrame, p: str, y: str, bins: int, simulations: int, seed: int = 42) -> DataFrame:
     """(observed, null_mean, p_value): the ECE against that of labels drawn from the predictions themselves; bins are fixed once."""
     placed = ordinal(df, p, KEYS).withColumn("bin", edge_bin(bins)).select(*KEYS, p, y, "bin", "n")

@@ -288,13 +288,6 @@ def gaussian_error_fit(t) -> DataFrame:
     return models.gaussian_fit(t("fx_error"), _E)
 
 
-@_query("""with s as (select *, row_number() over (order by drop_id, scenario_id) j, count(*) over () g from (select scenario_id, drop_id, sum((p-detected)*(p-detected)) s, count(*) n from fx_pred group by all) x),
- d as (select b, floor({U(concat_ws('|',b,j);boot)}*g)+1 k, count(*) w from s, (select unnest(range(1000)) b) r group by all),
- m as (select b, sum(w*s)/sum(w*n) m from d join s on s.j=d.k group by b) select round(quantile_cont(m,0.025),6) low, round(quantile_cont(m,0.975),6) high from m""")
-def scene_bootstrap(t) -> DataFrame:
-    return scores.scene_bootstrap(t("fx_pred").withColumn("loss", (F.col("p") - F.col("detected")) ** 2), "loss", 1000)
-
-
 @_query()
 def mc_null_ece(t) -> DataFrame:
     return scores.null_ece(t("fx_pred"), "p", "detected", 15, 1000)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from echoweave.functions.keyed_random import uniform
 from echoweave.operators import draws, features, models, pairs, ranks, scores
-from echoweave.plans import draw_queries, evaluation_queries, queries  # noqa: F401
+from echoweave.plans import draw_queries, evaluation_queries, queries, resampling_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
