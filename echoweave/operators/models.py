@@ -35,11 +35,11 @@ def gaussian_fit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return own.agg(*[F.avg(c).alias(f"mean_{i}") for i, c in enumerate(columns)], *[F.covar_samp(a, b).alias(f"cov_{i}{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j])
 
 
-def _with_flags(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def with_flags(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in features})
 
 
-def _prepare(features: Sequence[str], scale: bool = False) -> list:
+def prepare(features: Sequence[str], scale: bool = False) -> list:
     filled = [f"{c}_filled" for c in features]
     stages = [Imputer(strategy="mean", inputCols=list(features), outputCols=filled), VectorAssembler(inputCols=filled + [f"{c}_missing" for c in features], outputCol="raw_x" if scale else "x")]
     return stages + ([StandardScaler(inputCol="raw_x", outputCol="x", withMean=True)] if scale else [])
@@ -52,19 +52,19 @@ def fit_detection(train: DataFrame, features: Sequence[str], label: str = "detec
         "network": MultilayerPerceptronClassifier(featuresCol="x", labelCol=label, layers=[2 * len(features), 16, 2], maxIter=40, seed=seed),
         "logistic": LogisticRegression(featuresCol="x", labelCol=label, regParam=1e-4),
     }[kind]
-    return Pipeline(stages=[*_prepare(features, kind == "network"), last]).fit(_with_flags(train, features))
+    return Pipeline(stages=[*prepare(features, kind == "network"), last]).fit(with_flags(train, features))
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], name: str = "p") -> DataFrame:
     """Adds the probability of label 1; every column of ``df`` stays."""
-    return model.transform(_with_flags(df, features)).select(*df.columns, vector_to_array("probability")[1].alias(name))
+    return model.transform(with_flags(df, features)).select(*df.columns, vector_to_array("probability")[1].alias(name))
 
 
 def fit_outcomes(train: DataFrame, features: Sequence[str], label: str, classes: int, trees: int = 10, seed: int = 42) -> list[PipelineModel]:
     """One boosted model for each of the outcomes 0 to classes - 1 against all others, as for pairs of targets."""
-    flagged = _with_flags(train, features)
+    flagged = with_flags(train, features)
     return [
-        Pipeline(stages=[*_prepare(features), GBTClassifier(featuresCol="x", labelCol="own", maxIter=trees, maxDepth=3, seed=seed)]).fit(flagged.withColumn("own", (F.col(label) == c).cast("int")))
+        Pipeline(stages=[*prepare(features), GBTClassifier(featuresCol="x", labelCol="own", maxIter=trees, maxDepth=3, seed=seed)]).fit(flagged.withColumn("own", (F.col(label) == c).cast("int")))
         for c in range(classes)
     ]
 
@@ -80,17 +80,17 @@ def predict_outcomes(models: Sequence[PipelineModel], df: DataFrame, features: S
 
 def cross_fit(df: DataFrame, features: Sequence[str], label: str, classes: int, folds: int = 5, trees: int = 20, seed: int = 42) -> tuple[list[PipelineModel], DataFrame]:
     """Forests fitted without each fold of scenes in turn, and the rows with ``raw``: log probabilities from the forest that has not seen them."""
-    placed = _with_flags(df, features).withColumn("fold", fold(folds))
+    placed = with_flags(df, features).withColumn("fold", fold(folds))
     # a class that a fold lacks still has its place in the vector
     models, scored = [], []
     for k in range(folds):
         forest = RandomForestClassifier(featuresCol="x", labelCol=label, numTrees=trees, maxDepth=5, seed=seed)
-        models.append(Pipeline(stages=[*_prepare(features), forest]).fit(placed.where(F.col("fold") != k)))
-        scored.append(models[k].transform(placed.where(F.col("fold") == k)).select(*df.columns, "fold", _log_probabilities(classes).alias("raw")))
+        models.append(Pipeline(stages=[*prepare(features), forest]).fit(placed.where(F.col("fold") != k)))
+        scored.append(models[k].transform(placed.where(F.col("fold") == k)).select(*df.columns, "fold", log_probabilities(classes).alias("raw")))
     return models, reduce(DataFrame.unionByName, scored)
 
 
-def _log_probabilities(classes: int) -> Column:
+def log_probabilities(classes: int) -> Column:
     p = vector_to_array("probability")
     return F.array(*[F.ln(F.greatest(F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)), F.lit(1e-6))) for i in range(classes)])
 
@@ -103,34 +103,57 @@ def biased(raw: str, bias: Sequence[float]) -> list[Column]:
 
 
 def fit_bias(df: DataFrame, raw: str, label: str, classes: int, steps: int = 25) -> list[float]:
-    """Biases (the first is 0) that minimise the mean negative log-likelihood of softmax(raw + bias).
+    """Biases (the first is 0) that minimise the mean negative log-likelihood of softmax(raw + bias)."""
+    return fit_biases(df.withColumn("fold", F.lit(0)), raw, label, classes, 0, steps=steps)[-1]
 
-    Damped Newton steps; each takes loss, gradient and Hessian from one aggregate over the rows.
+
+def fit_biases(df: DataFrame, raw: str, label: str, classes: int, folds: int, fold: str = "fold", steps: int = 25) -> list[list[float]]:
+    """Biases fitted without each fold in turn, then on all rows: ``folds`` + 1 problems, solved together.
+
+    Damped Newton steps. A step takes loss, gradient and Hessian of every open problem from one aggregate, in which a
+    row counts for the problems that do not leave out its fold; only a row of sums for each problem is shuffled. Each
+    problem ends with the best point that was evaluated; one without rows keeps 0.
     """
-    bias, ridge, last = np.zeros(classes), 1e-6, np.inf
-    step = np.zeros(classes - 1)
+    count, ridge = folds + 1, 1e-6
+    best, trial, step = np.zeros((count, classes)), np.zeros((count, classes)), np.zeros((count, classes))
+    loss, open_ = np.full(count, np.inf), np.ones(count, bool)
+    upper = [(i, j) for i in range(1, classes) for j in range(i, classes)]
     for _ in range(steps):
-        q = biased(raw, bias)
-        picked = F.coalesce(*[F.when(F.col(label) == i, q[i]) for i in range(classes)])
-        pairs_ = [(i, j) for i in range(1, classes) for j in range(i, classes)]
-        row = df.agg(
-            F.avg(-F.ln(picked + 1e-12)), *[F.avg(q[i] - (F.col(label) == i).cast("int")) for i in range(1, classes)], *[F.avg((q[i] if i == j else F.lit(0.0)) - q[i] * q[j]) for i, j in pairs_]
-        ).first()
-        if row[0] is None:
-            return bias.tolist()
-        if row[0] > last + 1e-12:  # too far: half the way back
-            step /= 2
-            bias[1:] -= step
-            continue
-        last = row[0]
-        gradient, hessian = np.array(row[1:classes]), np.zeros((classes - 1, classes - 1))
-        for (i, j), h in zip(pairs_, row[classes:], strict=True):
-            hessian[i - 1, j - 1] = hessian[j - 1, i - 1] = h
-        if np.abs(gradient).max() < 1e-9:
+        offered = [F.struct(F.lit(int(k)).alias("problem"), F.array(*[F.lit(float(x)) for x in trial[k]]).alias("bias")) for k in np.flatnonzero(open_)]
+        each = df.select(F.col(fold).alias("__fold"), F.col(label).alias("__y"), F.col(raw).alias("__raw"), F.inline(F.array(*offered))).where("problem <> __fold or problem = " + str(folds))
+        e = [F.exp(F.col("__raw")[i] + F.col("bias")[i]) for i in range(classes)]
+        each = each.withColumn("__e", F.array(*e)).withColumn("__q", F.transform("__e", lambda x: x / F.aggregate("__e", F.lit(0.0), lambda s, v: s + v)))
+        q = [F.col("__q")[i] for i in range(classes)]
+        picked = F.coalesce(*[F.when(F.col("__y") == i, q[i]) for i in range(classes)])
+        gradients = [F.avg(q[i] - (F.col("__y") == i).cast("int")) for i in range(1, classes)]
+        found = each.groupBy("problem").agg(F.avg(-F.ln(picked + 1e-12)).alias("loss"), *gradients, *[F.avg((q[i] if i == j else F.lit(0.0)) - q[i] * q[j]) for i, j in upper]).collect()
+        open_[:] = False
+        for row in found:
+            k = row["problem"]
+            if row["loss"] is None:
+                continue
+            if row["loss"] > loss[k] + 1e-12:  # too far: half the way back
+                step[k] /= 2
+                trial[k], open_[k] = best[k] + step[k], bool(np.abs(step[k]).max() > 1e-12)
+                continue
+            best[k], loss[k] = trial[k], row["loss"]
+            gradient, hessian = np.array(row[2 : classes + 1]), np.zeros((classes - 1, classes - 1))
+            for (i, j), h in zip(upper, row[classes + 1 :], strict=True):
+                hessian[i - 1, j - 1] = hessian[j - 1, i - 1] = h
+            if np.abs(gradient).max() >= 1e-12:
+                step[k, 1:] = -np.linalg.solve(hessian + ridge * np.eye(classes - 1), gradient)
+                trial[k], open_[k] = best[k] + step[k], True
+        if not open_.any():
             break
-        step = -np.linalg.solve(hessian + ridge * np.eye(classes - 1), gradient)
-        bias[1:] += step
-    return bias.tolist()
+    return best.tolist()
+
+
+def calibrated(df: DataFrame, raw: str, biases: Sequence[Sequence[float]], name: str, fold: str = "fold") -> DataFrame:
+    """Adds softmax(raw + the bias of the row's fold), an array."""
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in b]) for b in biases])
+    e = F.transform(F.zip_with(raw, F.get(table, F.col(fold)), lambda x, b: x + b), lambda x: F.exp(x))
+    share = F.transform("__e", lambda x: x / F.aggregate("__e", F.lit(0.0), lambda s, v: s + v))
+    return df.withColumn("__e", e).withColumn(name, share).drop("__e")
 
 
 def slip_features(df: DataFrame, farthest: float) -> DataFrame:
@@ -158,7 +181,7 @@ def fit_slip(train: DataFrame) -> tuple[PipelineModel, PipelineModel]:
     size = LogisticRegression(featuresCol="x", labelCol="size", family="multinomial", regParam=1 / max(1, own.count()))
     made = []
     for model, data, features in ((whether, rows, ("edge", "close", "rss")), (size, own, ("log_R", "rss_max"))):
-        made.append(Pipeline(stages=[*_prepare(features), model]).fit(_with_flags(data, features)))
+        made.append(Pipeline(stages=[*prepare(features), model]).fit(with_flags(data, features)))
     return made[0], made[1]
 
 
@@ -168,14 +191,14 @@ def fit_quantiles(train: DataFrame, features: Sequence[str], target: str, levels
     Leaf quantiles are approximate aggregates with bounded state, so a large leaf needs no task to hold its rows.
     """
     forest = RandomForestRegressor(featuresCol="x", labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=20, leafCol="leaf", seed=seed)
-    model = Pipeline(stages=[*_prepare(features), forest]).fit(_with_flags(train, features))
+    model = Pipeline(stages=[*prepare(features), forest]).fit(with_flags(train, features))
     leaves = _leaves(model, train, features).groupBy("tree", "leaf").agg(F.percentile_approx(target, [float(x) for x in levels], 10000).alias("q"))
     return model, leaves
 
 
 def _leaves(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
     assert isinstance(model.stages[-1], RandomForestRegressionModel)
-    return model.transform(_with_flags(df, features)).select(*df.columns, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
+    return model.transform(with_flags(df, features)).select(*df.columns, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
 
 
 def predict_quantiles(model: PipelineModel, leaves: DataFrame, df: DataFrame, features: Sequence[str], keys: Sequence[str], levels: int) -> DataFrame:
@@ -189,7 +212,7 @@ def two_sample(real: DataFrame, drawn: DataFrame, features: Sequence[str], folds
     both = real.select(*KEYS, *features, F.lit(1).alias("real")).unionByName(drawn.select(*KEYS, *features, F.lit(0).alias("real"))).withColumn("fold", fold(folds))
     scored = []
     for k in range(folds):
-        model = Pipeline(stages=[*_prepare(features), GBTClassifier(featuresCol="x", labelCol="real", maxIter=trees, maxDepth=3, seed=seed)]).fit(_with_flags(both.where(F.col("fold") != k), features))
+        model = Pipeline(stages=[*prepare(features), GBTClassifier(featuresCol="x", labelCol="real", maxIter=trees, maxDepth=3, seed=seed)]).fit(with_flags(both.where(F.col("fold") != k), features))
         scored.append(predict(model, both.where(F.col("fold") == k), features))
     out = reduce(DataFrame.unionByName, scored).select("real", "p")
     accuracy = out.agg(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("real")).cast("int")).alias("accuracy")).first()["accuracy"]
@@ -223,13 +246,13 @@ def constant_predictions(df: DataFrame, label: str = "detected") -> DataFrame:
 def fit_pair_network(train: DataFrame, features: Sequence[str], label: str, classes: int, hidden: int = 64, steps: int = 60, seed: int = 42) -> PipelineModel:
     """A network of two hidden layers over all outcomes of a pair."""
     network = MultilayerPerceptronClassifier(featuresCol="x", labelCol=label, layers=[2 * len(features), hidden, hidden, classes], maxIter=steps, seed=seed)
-    return Pipeline(stages=[*_prepare(features, True), network]).fit(_with_flags(train, features))
+    return Pipeline(stages=[*prepare(features, True), network]).fit(with_flags(train, features))
 
 
 def predict_classes(model: PipelineModel, df: DataFrame, features: Sequence[str], classes: int, prefix: str = "p") -> DataFrame:
     """Adds the probability of every class; 0 for classes beyond those that training had."""
     p = vector_to_array("probability")
-    return model.transform(_with_flags(df, features)).select(*df.columns, *[F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)).alias(f"{prefix}{i}") for i in range(classes)])
+    return model.transform(with_flags(df, features)).select(*df.columns, *[F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)).alias(f"{prefix}{i}") for i in range(classes)])
 
 
 def fit_regimes(train: DataFrame, features: Sequence[str], label: str, classes: int, folds: int = 5, trees: int = 20) -> tuple[list[PipelineModel], list[float]]:
@@ -243,7 +266,7 @@ def predict_regimes(fitted: tuple[list[PipelineModel], list[float]], df: DataFra
     forests, bias = fitted
     out = df
     for k, forest in enumerate(forests):
-        raw = forest.transform(_with_flags(out, features)).select(*out.columns, _log_probabilities(classes).alias("__raw"))
+        raw = forest.transform(with_flags(out, features)).select(*out.columns, log_probabilities(classes).alias("__raw"))
         out = raw.withColumn(f"__p{k}", F.array(*biased("__raw", bias))).drop("__raw")
     mean = lambda i: sum((F.col(f"__p{k}")[i] for k in range(1, len(forests))), F.col("__p0")[i]) / len(forests)
     return out.select(*df.columns, *[mean(i).alias(f"{prefix}{i}") for i in range(classes)])
