@@ -298,10 +298,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", cou
     """The documents without their later copies of repeated passages; ``count`` follows if it is a column.
 
     Every other byte of a text stays. A document of which nothing but white space is left goes, as all of it stands
-    elsewhere; documents without later copies, empty ones among them, stay as they are.
+    elsewhere; documents without later copies, empty ones among them, stay as they are. Of rows that repeat a key only
+    those with the text that was searched (the greatest) are cut; the others stay.
     """
     spans = repeated_passages(docs, key, text).where("later").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("__cut"))
-    marked = docs.join(spans.withColumnRenamed("doc_id", "__id"), F.col(key) == F.col("__id"), "left").drop("__id")
+    cut = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    # which of a key's texts was searched: its hash, so that no text is shuffled for it; equal hashes are compared by length too
+    digest = lambda t: F.struct(F.length(t).alias("n"), F.sha2(t, 256).alias("h"))
+    repeated = cut.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id")
+    searched = cut.join(repeated, "__id", "left_semi").groupBy("__id").agg(F.max("__text").alias("t")).select("__id", digest(F.col("t")).alias("__searched"))
+    spans = spans.withColumnRenamed("doc_id", "__id").join(searched, "__id", "left")
+    marked = docs.join(spans, F.col(key) == F.col("__id"), "left")
+    own = F.col("__searched").isNull() | (F.col("__searched") == digest(F.coalesce(F.col(text), F.lit(""))))
+    marked = marked.select(*docs.columns, F.when(own, F.col("__cut")).alias("__cut"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -209,3 +209,15 @@ def test_pair_counts_of_large_group_numbers():
 
     at, left, right = adjacent(pa.array([[1 << 40, 5, -1, 7], [], [8, 9]], pa.list_(pa.int64())))
     assert (at.tolist(), left.tolist(), right.tolist()) == ([0, 4], [1 << 40, 8], [5, 9])
+
+
+def test_only_the_searched_text_of_a_repeated_key_is_cut(spark):
+    from echoweave.llm.suffix_dedup import remove_repeats
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    long, few, other = " ".join(f"a{i}" for i in range(200)) + " " + passage, "Few words only", " ".join(f"Z{i}" for i in range(300))
+    rows = [(1, passage, "en"), (2, long, "en"), (2, few, "en"), (2, other, "en"), (2, long, "en"), (3, None, "en"), (None, passage, "en")]
+    df = spark.createDataFrame(rows, DOC)
+    got = sorted((r.doc_id or 0, (r.text or "").strip()) for r in remove_repeats(df).collect())
+    # the greatest text of key 2 is the long one; both its rows lose the passage, the other two texts stay
+    assert got == sorted([(1, passage), (2, long[: -len(passage)].strip()), (2, long[: -len(passage)].strip()), (2, few), (2, other), (3, ""), (0, passage)])
