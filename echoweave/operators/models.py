@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.keyed_random import uniform
 from ..schemas import KEYS
 from .pairs import fold
-from .scores import auroc
+from .scores import auroc, auroc_of_counts
 
 #: Least distance to a cell's edge, and the separation at which closeness falls to 1/e.
 EDGE_MIN, CLOSE_SCALE = 1e-3, 5.0
@@ -207,30 +209,86 @@ def predict_quantiles(model: PipelineModel, leaves: DataFrame, df: DataFrame, fe
     return hit.groupBy(*keys).agg(F.array_sort(F.array(*[F.avg(F.col("q")[i]) for i in range(levels)])).alias("q"))
 
 
+#: Rows of a task of the matrix that the fits of two-sample tests share, and fits at a time.
+MATRIX_ROWS, PARALLEL = 50_000, 8
+
+
+def two_sample_tests(rows: DataFrame, features: Sequence[str], folds: int = 5, trees: int = 20, seed: int = 42, parallel: int = PARALLEL, kind: str = "boosted") -> tuple[DataFrame, DataFrame]:
+    """How well trees tell real rows from drawn ones, in each test of ``rows(KEYS, features, test, real)``.
+
+    (test, auroc, accuracy) out of fold, and (test, feature, gain) summed over the folds. Copies of a scene share a
+    fold. All tests' rows are filled, assembled and held once; the fits read that matrix, ``parallel`` tests at a time.
+    ``kind``: boosted trees, or a ``forest``, whose trees grow together in a few jobs; that suits many nulls.
+    """
+    rows = rows.select(*KEYS, *[F.col(f).cast("double").alias(f) for f in features], "test", "real")
+    spark = rows.sparkSession
+    held = with_flags(rows.withColumn("fold", fold(folds)), features).persist()
+    many = held.count()
+    matrix = Pipeline(stages=prepare(features)).fit(held).transform(held).select("test", "real", "fold", "x").repartition(max(1, -(-many // MATRIX_ROWS)), "test", "fold").persist()
+    names = sorted(r["test"] for r in matrix.select("test").distinct().collect())
+    held.unpersist()
+
+    boosted = GBTClassifier(featuresCol="x", labelCol="real", maxIter=trees, maxDepth=3, seed=seed)
+    learner = {"boosted": boosted, "forest": RandomForestClassifier(featuresCol="x", labelCol="real", numTrees=trees, maxDepth=5, seed=seed)}[kind]
+
+    def run(i: int) -> tuple[int, float | None, float | None, dict[str, float]]:
+        own, scored, gains = matrix.where(F.col("test") == i), [], dict.fromkeys(features, 0.0)
+        for k in range(folds):
+            train = own.where(F.col("fold") != k)
+            if train.select("real").distinct().count() < 2:
+                continue  # nothing to tell apart
+            model = learner.fit(train)
+            scored.append(model.transform(own.where(F.col("fold") == k)).select("real", vector_to_array("probability")[1].alias("p")))
+            for f, g in gain(model, features).items():
+                gains[f] += g
+        if not scored:
+            return i, None, None, gains
+        # scores of equal value are counted together, so only distinct ones are ordered
+        out = reduce(DataFrame.unionByName, scored).groupBy("p").agg(F.sum("real").alias("pos"), F.sum(1 - F.col("real")).alias("neg")).persist()
+        area = auroc_of_counts(out, "p").first()["auroc"]
+        right = out.agg(F.try_divide(F.sum(F.when(F.col("p") >= 0.5, F.col("pos")).otherwise(F.col("neg"))), F.sum(F.col("pos") + F.col("neg")))).first()[0]
+        out.unpersist()
+        return i, area, right, gains
+
+    with ThreadPool(parallel) as pool:
+        found = pool.map(run, names)
+    matrix.unpersist()
+    results = spark.createDataFrame([x[:3] for x in found], "test int, auroc double, accuracy double")
+    return results, spark.createDataFrame([(i, f, g) for i, _, _, gains in found for f, g in gains.items()], "test int, feature string, gain double")
+
+
+def gain(model, features: Sequence[str]) -> dict[str, float]:
+    """Each feature's share of the loss that the splits of a tree model remove, its flag of missing values included."""
+    each = model.featureImportances.toArray()
+    return {f: float(each[i] + each[len(features) + i]) for i, f in enumerate(features)}
+
+
 def two_sample(real: DataFrame, drawn: DataFrame, features: Sequence[str], folds: int = 5, trees: int = 20, seed: int = 42) -> DataFrame:
-    """How well boosted trees tell real rows from drawn ones: out-of-fold AUROC and accuracy. Copies of a scene share a fold."""
-    both = real.select(*KEYS, *features, F.lit(1).alias("real")).unionByName(drawn.select(*KEYS, *features, F.lit(0).alias("real"))).withColumn("fold", fold(folds))
-    scored = []
-    for k in range(folds):
-        model = Pipeline(stages=[*prepare(features), GBTClassifier(featuresCol="x", labelCol="real", maxIter=trees, maxDepth=3, seed=seed)]).fit(with_flags(both.where(F.col("fold") != k), features))
-        scored.append(predict(model, both.where(F.col("fold") == k), features))
-    out = reduce(DataFrame.unionByName, scored).select("real", "p")
-    accuracy = out.agg(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("real")).cast("int")).alias("accuracy")).first()["accuracy"]
-    return auroc(out, "p", "real").withColumn("accuracy", F.lit(accuracy))
+    """One test: (auroc, accuracy)."""
+    side = lambda df, label: df.select(*KEYS, *features, F.lit(0).alias("test"), F.lit(label).alias("real"))
+    return two_sample_tests(side(real, 1).unionByName(side(drawn, 0)), features, folds, trees, seed)[0].drop("test")
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Loss of AUROC when one feature's values are dealt anew among the rows, for each feature."""
+    """(feature, loss, gain): the loss of AUROC when the feature's values are dealt anew among the rows, and its gain in the fit.
+
+    Rows are put in a random order once; a feature's values come from as many places further on as its name says. So
+    all features are dealt by one join, scored in one pass, and their AUROCs are groups of one aggregate.
+    """
     from .ranks import ordinal
 
-    base = auroc(predict(model, df, features), "p", label).first()["auroc"]
-    rows = []
-    for f in features:
-        given = ordinal(df.withColumn("__u", uniform(f"deal_{f}", *keys)), "__u", keys).drop("__u", "rank", "n", f)
-        values = ordinal(df.select(*keys, f).withColumn("__u", uniform(f"take_{f}", *keys)), "__u", keys).select("row", f)
-        after = auroc(predict(model, given.join(values, "row").drop("row"), features), "p", label).first()["auroc"]
-        rows.append((f, None if base is None else base - after))
-    return df.sparkSession.createDataFrame(rows, "feature string, loss double")
+    order = ordinal(df.select(*keys, label, *features).withColumn("__u", uniform("deal", *keys)), "__u", keys).drop("__u", "rank").persist()
+    n = order.count()
+    steps = {f: 1 + zlib.crc32(f.encode()) % max(1, n - 1) for f in features}
+    asked = F.array(F.struct(F.lit("").alias("feature"), F.lit(0).alias("step")), *[F.struct(F.lit(f).alias("feature"), F.lit(s).alias("step")) for f, s in steps.items()])
+    rows = order.select("*", F.inline(asked)).withColumn("__from", (F.col("row") + F.col("step") - 1) % F.lit(n) + 1)
+    values = order.select(F.col("row").alias("__from"), F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("__value")) for f in features])))
+    dealt = rows.join(values, ["__from", "feature"], "left").withColumns({f: F.when(F.col("feature") == f, F.col("__value")).otherwise(F.col(f)) for f in features})
+    found = {r["feature"]: r["auroc"] for r in auroc(predict(model, dealt.select("feature", label, *features), features), "p", label, ["feature"]).collect()}
+    order.unpersist()
+    base, shares = found.get(""), gain(model.stages[-1], features) if hasattr(model.stages[-1], "featureImportances") else {}
+    loss = lambda f: None if base is None or found.get(f) is None else base - found[f]
+    return df.sparkSession.createDataFrame([(f, loss(f), shares.get(f)) for f in features], "feature string, loss double, gain double")
 
 
 def constant_predictions(df: DataFrame, label: str = "detected") -> DataFrame:

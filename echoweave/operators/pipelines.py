@@ -113,33 +113,37 @@ def draw_position(model: Position, df: DataFrame, n: int) -> DataFrame:
     return position_draws(drawn, "sampled_error", F.col("p_slip_u"), F.col("p_slip_v"), [F.col(f"s{i}") for i in range(1, 5)], keys)
 
 
-def detection_two_sample(df: DataFrame, p: str, label: str, features: Sequence[str], nulls: int = 2) -> DataFrame:
+def detection_two_sample(df: DataFrame, p: str, label: str, features: Sequence[str], nulls: int = 20) -> DataFrame:
     """AUROC of a classifier that tells (features, own and partner's outcome) of true detections from drawn ones.
 
     ``df`` has ``partner_id``. One row: the test, the mean of ``nulls`` tests of draws against draws, and p.
     """
-    own = df.select(*KEYS, "partner_id", label, p, *features).persist()
+    own = df.select(*KEYS, "partner_id", label, p, *features)
+    partner = df.select(*SCENE, F.col("target_id").alias("partner_id"), F.col(label).alias("__y"), F.col(p).alias("__p"))
+    # number -1 is what was seen; every draw of a target is the same whether it is met as itself or as a partner
+    numbered = own.join(partner, [*SCENE, "partner_id"], "left").withColumn("number", F.explode(F.sequence(F.lit(-1), F.lit(2 * nulls))))
+    hit = lambda y, chance, target: F.when(F.col("number") < 0, F.col(y)).otherwise((uniform("c2st", *SCENE, target, "number") < F.col(chance)).cast("int"))
+    outcomes = numbered.withColumns({"outcome": hit(label, p, "target_id"), "partner_outcome": F.when(F.col("__p").isNotNull(), hit("__y", "__p", "partner_id"))})
+    return _against_null(outcomes.select(*KEYS, *features, "outcome", "partner_outcome", *_places(F.col("number"))), (*features, "outcome", "partner_outcome"))
 
-    def outcomes(number: int) -> DataFrame:
-        hit = F.col(label) if number < 0 else (uniform("c2st", *KEYS, F.lit(number)) < F.col(p)).cast("int")
-        rows = own.withColumn("outcome", hit)
-        partner = rows.select(*SCENE, F.col("target_id").alias("partner_id"), F.col("outcome").alias("partner_outcome"))
-        return rows.join(partner, [*SCENE, "partner_id"], "left").select(*KEYS, *features, "outcome", "partner_outcome")
 
-    used = (*features, "outcome", "partner_outcome")
-    return _against_null([(outcomes(-1), outcomes(0)), *((outcomes(2 * i + 1), outcomes(2 * i + 2)) for i in range(nulls))], used)
+def _places(number: Column) -> list[Column]:
+    """Test and side of a sample: -1 (real) and 0 are the first test, 1 and 2 the first null, and so on."""
+    return [F.floor((number + 1) / 2).cast("int").alias("test"), (F.pmod(number, F.lit(2)) == 1).cast("int").alias("real")]
 
 
 def draws_two_sample(drawn: DataFrame, rows: DataFrame, features: Sequence[str], nulls: int) -> DataFrame:
     """The same for errors: draw 0 against the real ones (``real``), draws (1, 2), (3, 4), ... against each other."""
-    joined = drawn.join(rows, list(KEYS)).persist()
-    real = joined.where("draw = 0").withColumn("error", F.col("real"))
-    of = lambda i: joined.where(F.col("draw") == i).withColumn("error", F.col("value"))
-    return _against_null([(real, of(0)), *((of(2 * i + 1), of(2 * i + 2)) for i in range(nulls))], (*features, "error"))
-
-
-def _against_null(tests: Sequence[tuple[DataFrame, DataFrame]], features: Sequence[str]) -> DataFrame:
-    found = [models.two_sample(a, b, features).first() for a, b in tests]
-    auc, null = found[0]["auroc"], [x["auroc"] for x in found[1:]]
-    row = (auc, found[0]["accuracy"], sum(null) / len(null), max(null), (1 + sum(x >= auc for x in null)) / (1 + len(null)))
-    return tests[0][0].sparkSession.createDataFrame([row], "auroc double, accuracy double, null_mean double, null_max double, p_value double")
+    kept = drawn.where(F.col("draw") <= 2 * nulls).select(*KEYS, F.col("draw").cast("int").alias("number"), F.col("value").alias("error"))
+    kept = kept.unionByName(drawn.where("draw = 0").select(*KEYS, F.lit(-1).alias("number"), F.col("real").alias("error")))
+    return _against_null(kept.join(rows.select(*KEYS, *features), list(KEYS)).select(*KEYS, *features, "error", *_places(F.col("number"))), (*features, "error"))
+
+
+def _against_null(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Test 0 of ``rows`` against the others, the nulls: their mean, largest and 95 % quantile, p, and the feature with the largest gain."""
+    results, gains = models.two_sample_tests(rows, features, kind="forest")
+    first, null = F.col("test") == 0, F.when(F.col("test") > 0, F.col("auroc"))
+    row = results.agg(F.max(F.when(first, F.col("auroc"))).alias("auroc"), F.max(F.when(first, F.col("accuracy"))).alias("accuracy"), F.avg(null).alias("null_mean"), F.max(null).alias("null_max"), F.percentile(null, F.lit(0.95)).alias("null_95"), F.collect_list(null).alias("null"))
+    top = gains.where(first).agg(F.max_by("feature", F.struct("gain", "feature")).alias("top_feature"))
+    p = (1 + F.size(F.filter("null", lambda x: x >= F.col("auroc")))) / (1 + F.size("null"))
+    return row.withColumn("p_value", p).drop("null").crossJoin(F.broadcast(top))  # one row each

@@ -95,7 +95,11 @@ def slice_chi2(df: DataFrame, feature: str, p: str, y: str, bins: int, keys: Seq
 
 def auroc(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact, from counts of distinct scores; null if a class is missing."""
-    counts = df.groupBy(*by, p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
+    return auroc_of_counts(df.groupBy(*by, p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg")), p, by)
+
+
+def auroc_of_counts(counts: DataFrame, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """AUROC from the counts ``pos`` and ``neg`` of each distinct score."""
     running = _running(counts, p, ["pos", "neg"], by)
     below = F.col("cum_neg") - F.col("neg")
     sums = running.groupBy(*by).agg(F.sum(F.col("pos") * (below + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("a"), F.sum("neg").alias("b"))

@@ -267,11 +267,11 @@ def feature_importance(t) -> DataFrame:
 def detection_two_sample(t) -> DataFrame:
     """Drawn against true detections, with the partner's outcome as a feature, and the same of draws against draws."""
     points = _points(t).join(pairs.partners(pairs.pairs(t("fx_pred"), [])), list(KEYS), "left")
-    return pipelines.detection_two_sample(points, "p_point", "detected", ("bistatic_range_m", "nn_norm_range_sep"), 1)
+    return pipelines.detection_two_sample(points, "p_point", "detected", ("bistatic_range_m", "nn_norm_range_sep"), 2)
 
 
 @_query()
 def error_two_sample(t) -> DataFrame:
-    """Draw 0 against the real errors, and draws 1 and 2 against each other as the null."""
+    """Draw 0 against the real errors, and the other draws against each other, two by two, as the null."""
     rows = _feature_table(t).select(*KEYS, *POSITION_FEATURES)
-    return pipelines.draws_two_sample(t("fx_draws").withColumnRenamed("range_error_m", "real"), rows, POSITION_FEATURES, 1)
+    return pipelines.draws_two_sample(t("fx_draws").withColumnRenamed("range_error_m", "real"), rows, POSITION_FEATURES, 2)
