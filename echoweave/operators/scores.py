@@ -164,6 +164,14 @@ def crps(draws: DataFrame, real: str, value: str = "value", keys: Sequence[str]
     return rows.select(*keys, F.when(m > 1, error - pair / (m * (m - 1))).otherwise(error).alias("crps"))
 
 
+def scene_bootstrap(df: DataFrame, value: str, replicates: int, alpha: float = 0.05, scene: Sequence[str] = SCENE, by: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """Interval of the mean of ``value`` by resampling whole scenes; all groups of ``by`` share the draws."""
+    from .resampling import Resamples, intervals
+
+    sums = Resamples(df, replicates, scene, seed).sums(df, {"s": F.col(value), "n": F.col(value).isNotNull().cast("int")}, by)
+    return intervals(sums.withColumn("m", F.try_divide("s", "n")), ["m"], by, alpha).drop("metric")
+
+
 def null_ece(df: DataFrame, p: str, y: str, bins: int, simulations: int, seed: int = 42) -> DataFrame:
     """(observed, null_mean, p_value): the ECE against that of labels drawn from the predictions themselves; bins are fixed once."""
     placed = ordinal(df, p, KEYS).withColumn("bin", edge_bin(bins)).select(*KEYS, p, y, "bin", "n")

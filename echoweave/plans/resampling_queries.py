@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import resampling as rs
+from ..operators import scores
 from .evaluation_queries import _MODELS, _POINTS, _points, _two_models
 from .queries import _query, _r
 
@@ -33,9 +34,7 @@ _BOUNDS = "quantile_cont({x}, 0.025) filter (b >= 0) low, quantile_cont({x}, 0.9
 @_query(f"with {_weights('fx_pred', 1000)}, m as (select b, sum(w * (p - detected) * (p - detected)) / sum(w) m from fx_pred join w using (scenario_id, drop_id) group by b) select round(quantile_cont(m, 0.025) filter (b >= 0), 6) low, round(quantile_cont(m, 0.975) filter (b >= 0), 6) high from m")
 def scene_bootstrap(t) -> DataFrame:
     """The interval of a mean in 1000 replicates."""
-    loss = (F.col("p") - F.col("detected")) ** 2
-    sums = rs.Resamples(t("fx_pred"), 1000).sums(t("fx_pred"), {"e": loss, "n": F.lit(1)})
-    return rs.intervals(sums.withColumn("m", F.col("e") / F.col("n")), ["m"]).select("low", "high")
+    return scores.scene_bootstrap(t("fx_pred").withColumn("loss", (F.col("p") - F.col("detected")) ** 2), "loss", 1000)
 
 
 @_query(f"""with {_weights('fx_pred', 100)}, pt as materialized (select x.*, k.kind model, case k.kind when 'given' then p_point else 0.25e0 + p_point / 2 end q from {_POINTS} x, (values ('given'), ('shrunk')) k(kind)),
