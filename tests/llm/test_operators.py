@@ -418,6 +418,45 @@ def test_embeddings(spark, forests):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("forests", [1, 0])
+def test_embeddings_bridges(spark, forests):
+    """Dense groups of more vectors than a list holds, each joined with the next by one vector that links to all of both."""
+    from echoweave.llm.nn_descent import near_duplicates
+
+    rng = np.random.default_rng(1)
+    at = np.radians([0, 0, 40, 40, 80, 80, 120, 180])
+    middle = np.stack([np.cos(at), np.sin(at)], 1)
+    x = np.concatenate([np.repeat(np.pad(middle, ((0, 0), (0, 6))), 40, axis=0), np.pad([[np.cos(a), np.sin(a)] for a in np.radians([20, 60])], ((0, 0), (0, 6)))])
+    x += 0.002 * rng.standard_normal(x.shape)
+    order = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), x[j].tolist(), 3) for i, j in enumerate(order, 1)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in near_duplicates(df, max_forests=forests).collect()}
+    u = x[order] / np.linalg.norm(x[order], axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    reach = near
+    for _ in range(8):
+        reach = reach @ reach
+    assert len(set(map(bytes, reach))) == 3 and near[:, order >= 320].sum(0).min() > 150
+    for i in range(len(x)):
+        assert got[i + 1].n_links == near[i].sum() - 1 and got[i + 1].component_id == 1 + np.flatnonzero(reach[i])[0]
+
+
+def test_embeddings_spanning():
+    """The links of a block join what all its links join."""
+    from echoweave.llm.nn_descent import _spanning
+
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        near = rng.random((12, 9)) < 0.1
+        left, right = np.split(rng.permutation(100)[:21].astype(np.int64), [12])
+        group = {int(i): {int(i)} for i in (*left, *right)}
+        for a, b in np.argwhere(near):
+            both = group[int(left[a])] | group[int(right[b])]
+            group |= dict.fromkeys(both, both)
+        a, b = _spanning(near, left, right)
+        assert {int(i): min(g) for i, g in group.items() if min(g) != i} == dict(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def term_hash(data, seed=42):
     """Spark's xxhash64 of a string, or of a long or int in their own width, as an unsigned number."""
     return xxhash.xxh64(data, seed).intdigest()
