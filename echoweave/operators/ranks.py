@@ -2,36 +2,87 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Sampled rows for each range that is cut; the sample is all that reaches the driver.
+PER_RANGE = 64
+#: Copies of inputs that stay cached at most: a result is read after :func:`ordinal` returns, so its copy can't go at once.
+HELD = 8
+_held: deque[DataFrame] = deque()
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Cached, for an input that is read several times; the oldest of more than ``HELD`` such copies is released.
+
+    A result whose copy is gone is computed from its sources again, so this changes no rows.
+    """
+    _held.append(df.persist())
+    while len(_held) > HELD:
+        _held.popleft().unpersist()
+    return df
+
+
+def release() -> None:
+    """Releases all copies."""
+    while _held:
+        _held.popleft().unpersist()
+
 
 def ranges(df: DataFrame, buckets: int | None) -> int:
     """Ranges of a value: what is asked for, or as many as the session has shuffle partitions, 32 at least."""
     return buckets or max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def dealt(df: DataFrame, value: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Adds ``__b``, the number of a range in the order of (value, keys), and ``__hot``: the range holds one value alone.
+
+    Ranges end at rows of a sample, between values. Only a value that would fill more than one range gets ranges of its
+    own, cut by the keys, so that even a constant column spreads. Where the ranges end changes no result.
+    """
+    columns = [value, *keys]
+    share = min(1.0, PER_RANGE * buckets / max(df.count(), 1))
+    rows = df.select(*columns) if share == 1.0 else df.select(*columns).sample(share, 1)
+    # sorted by Spark, so that cuts follow its order of nulls, NaN and text
+    sample = rows.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("x")).first()["x"]
+    step = max(1, len(sample) // buckets)
+    cuts = sample[step::step]
+    same = lambda a, b: a == b or (a != a and b != b)
+    hot = [same(r[0], q[0]) for r, q in zip(cuts, [*cuts[1:], *cuts[:1]], strict=True)]
+    hot = [(h and len(cuts) > 1) or (i > 0 and same(r[0], cuts[i - 1][0])) for i, (h, r) in enumerate(zip(hot, cuts, strict=True))]
+    literal = lambda x, c: F.lit(x).cast(df.schema[c].dataType)
+    at = F.col(value)
+    ends = [literal(r[0], value) for i, r in enumerate(cuts) if r[0] is not None and not (i and same(r[0], cuts[i - 1][0]))]
+    single = [literal(r[0], value) for i, (r, h) in enumerate(zip(cuts, hot, strict=True)) if h and r[0] is not None and not (i and same(r[0], cuts[i - 1][0]))]
+    inner = [F.struct(*[literal(x, c).alias(c) for x, c in zip(r, columns, strict=True)]) for r, h in zip(cuts, hot, strict=True) if h]
+    count = lambda some, test: F.size(F.filter(F.array(*some), test)) if some else F.lit(0)
+    number = count(ends, lambda e: at >= e) + count(single, lambda e: at > e) + count(inner, lambda e: F.struct(*columns) >= e) + at.isNotNull().cast("int")
+    alone = F.exists(F.array(*single), lambda e: at == e) if single else F.lit(False)
+    return df.withColumns({"__b": number, "__hot": at.isNull() | alone})
+
+
 def ordinal(df: DataFrame, value: str, keys: Sequence[str], by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Adds ``row`` (1 for the least value; ties by keys), ``rank`` (ties share the least) and ``n``, in each group of ``by``.
 
-    Rows are dealt into ranges of the value; only counts of ranges leave them, and windows run within a range. Where
-    the ranges end changes no result. Null values stand first.
+    Rows are dealt into ranges of (value, keys); only counts of ranges leave them, and windows run within a range. Null
+    values stand first. Ties of one value that fill several ranges have the rank of the first.
     """
-    buckets = ranges(df, buckets)
-    df = df.persist()  # read for the cuts, the counts and the rows; what memory does not hold goes to disk
-    cuts = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.15 / buckets)))
-    edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    dealt = df.withColumn("__b", F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(edges, lambda e: F.col(value) >= e))))
-    sizes = dealt.groupBy(*by, "__b").agg(F.count("*").alias("__c"))
-    within = W.partitionBy(*by).orderBy("__b")
-    before = sizes.withColumns({"__before": F.sum("__c").over(within) - F.col("__c"), "n": F.sum("__c").over(W.partitionBy(*by))}).drop("__c")
+    rows = dealt(hold(df), value, keys, ranges(df, buckets))
+    # ranges of one hot value are one step of the ranks
+    sizes = rows.groupBy(*by, "__b").agg(F.count("*").alias("__c"), F.min(value).alias("__low"), F.max(value).alias("__high"))
+    own, order = W.partitionBy(*by), W.partitionBy(*by).orderBy("__b")
+    sizes = sizes.withColumns({"__before": F.sum("__c").over(order) - F.col("__c"), "n": F.sum("__c").over(own)})
+    sizes = sizes.withColumn("__start", F.min("__before").over(W.partitionBy(*by, "__low", "__high"))).drop("__c", "__low", "__high")
     inside = W.partitionBy(*by, "__b").orderBy(value, *keys)
     ties = W.partitionBy(*by, "__b").orderBy(value)
-    joined = dealt.join(before if by else F.broadcast(before), [*by, "__b"])
-    return joined.withColumns({"row": F.row_number().over(inside) + F.col("__before"), "rank": F.rank().over(ties) + F.col("__before")}).drop("__b", "__before")
+    joined = rows.join(sizes if by else F.broadcast(sizes), [*by, "__b"])
+    rank = F.when(F.col("__hot"), F.col("__start") + 1).otherwise(F.rank().over(ties) + F.col("__before"))
+    return joined.withColumns({"row": F.row_number().over(inside) + F.col("__before"), "rank": rank}).drop("__b", "__hot", "__before", "__start")
 
 
 def tile(k: int, row: Column | str = "row") -> Column:

@@ -12,9 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.keyed_random import uniform
+from ..functions.keyed_random import categorical, uniform
 from ..schemas import KEYS, SCENE
-from .ranks import edge_bin, ordinal, ranges, tile
+from .ranks import edge_bin, hold, ordinal, ranges, tile
 
 
 def brier(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -109,7 +109,7 @@ def auroc_of_counts(counts: DataFrame, p: str, by: Sequence[str] = ()) -> DataFr
 def _running(counts: DataFrame, value: str, columns: Sequence[str], by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Adds cumulative sums in the order of distinct values, by ranges as :func:`ordinal` does, and totals."""
     buckets = ranges(counts, buckets)
-    counts = counts.persist()
+    counts = hold(counts)
     cuts = sorted(set(counts.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.15 / buckets)))
     edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     dealt = counts.withColumn("__b", F.size(F.filter(edges, lambda e: F.col(value) >= e)))
@@ -172,14 +172,29 @@ def scene_bootstrap(df: DataFrame, value: str, replicates: int, alpha: float = 0
     return intervals(sums.withColumn("m", F.try_divide("s", "n")), ["m"], by, alpha).drop("metric")
 
 
-def null_ece(df: DataFrame, p: str, y: str, bins: int, simulations: int, seed: int = 42) -> DataFrame:
-    """(observed, null_mean, p_value): the ECE against that of labels drawn from the predictions themselves; bins are fixed once."""
-    placed = ordinal(df, p, KEYS).withColumn("bin", edge_bin(bins)).select(*KEYS, p, y, "bin", "n")
-    # simulation -1 is the observed one
-    drawn = placed.withColumn("sim", F.explode(F.sequence(F.lit(-1), F.lit(simulations - 1))))
-    hit = F.when(F.col("sim") < 0, F.col(y)).otherwise((uniform("null", *KEYS, "sim", seed=seed) < F.col(p)).cast("int"))
-    sums = drawn.groupBy("sim", "bin").agg(F.sum(p).alias("sp"), F.sum(hit).alias("sy"), F.first("n").alias("n"))
-    each = sums.groupBy("sim").agg((F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.first("n")).alias("ece"))
+def null_ece(df: DataFrame, p: str, y: str, bins: int, simulations: int, seed: int = 42, joint: DataFrame | None = None, joint_p: Sequence[str] = ()) -> DataFrame:
+    """(observed, null_mean, p_value): the ECE against that of labels drawn from the predictions themselves; bins are fixed once.
+
+    Rows of a pair in ``joint(SCENE, target_id_a, target_id_b, *joint_p)``, with the probabilities of neither, the second,
+    the first and both, share one outcome a replicate: both draw by the keys of the pair, so they meet without a join.
+    A row has one pair at most. Only hits of a replicate and bin are shuffled.
+    """
+    pair = ("target_id_a", "target_id_b")
+    rows = df.select(*KEYS, p, y)
+    if joint is not None:
+        sides = F.array(*[F.struct(F.col(t).alias("target_id"), F.lit(i).alias("slot")) for i, t in enumerate(pair)])
+        rows = rows.join(joint.select(*SCENE, *pair, *joint_p, F.inline(sides)), list(KEYS), "left")
+    placed = hold(ordinal(rows, p, KEYS).withColumn("bin", edge_bin(bins)).drop("row", "rank", "n"))
+    hit = (uniform("null", *KEYS, "sim", seed=seed) < F.col(p)).cast("int")
+    if joint is not None:
+        outcome = categorical([F.col(c) for c in joint_p], uniform("null pair", *SCENE, *pair, "sim", seed=seed))
+        hit = F.when(F.col("slot").isNull(), hit).when(F.col("slot") == 0, (outcome >= 2).cast("int")).otherwise(outcome % 2)
+    drawn = placed.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1)))).select("sim", "bin", hit.alias("hit"))
+    # as many rows as there are bins; simulation -1 is the observed one
+    fixed = placed.groupBy("bin").agg(F.sum(p).alias("sp"), F.count("*").alias("m"), F.sum(y).alias("sy"))
+    sums = drawn.groupBy("sim", "bin").agg(F.sum("hit").alias("h")).join(F.broadcast(fixed), "bin")
+    sums = sums.select("sim", "sp", "m", "h").unionByName(fixed.select(F.lit(-1).alias("sim"), "sp", "m", F.col("sy").alias("h")))
+    each = sums.groupBy("sim").agg((F.sum(F.abs(F.col("sp") - F.col("h"))) / F.sum("m")).alias("ece"))
     whole = each.agg(F.max(F.when(F.col("sim") < 0, F.col("ece"))).alias("observed"), F.collect_list(F.when(F.col("sim") >= 0, F.col("ece"))).alias("null"))
     return whole.select("observed", (F.aggregate("null", F.lit(0.0), lambda s, x: s + x) / F.size("null")).alias("null_mean"), ((1 + F.size(F.filter("null", lambda x: x >= F.col("observed")))) / (1 + F.size("null"))).alias("p_value"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keyed_random import categorical, normal, uniform
@@ -72,6 +73,38 @@ def _points(t) -> DataFrame:
     return pipelines.points(t("fx_pred"), t("fx_pair_pred"), "p", [f"p{i}" for i in range(4)])
 
 
+# pairs that share a target with no other pair
+_APART = """(select * from (select *, count(*) over (partition by scenario_id, drop_id, target_id_a) + count(*) over (partition by scenario_id, drop_id, target_id_b) c from fx_pair_pred) z where c = 2
+ and not exists (select 1 from fx_pair_pred o where o.scenario_id = z.scenario_id and o.drop_id = z.drop_id and (o.target_id_a = z.target_id_b or o.target_id_b = z.target_id_a)))"""
+
+
+def _null_pairs_sql(n: int) -> str:
+    key = "concat_ws('|', scenario_id, drop_id, {t}, sim)"
+    u_pair, u_row = (f"{{U({key.format(t=t)};{salt})}}" for t, salt in (("target_id_a, target_id_b", "null pair"), ("target_id", "null")))
+    return f"""with q as (select * from {_APART} x),
+ m as (select scenario_id, drop_id, target_id_a target_id, p2+p3 m from q union all select scenario_id, drop_id, target_id_b, p1+p3 from q),
+ o as (select f.scenario_id, f.drop_id, f.target_id, f.detected, coalesce(m.m, f.p) v, m.m is not null paired from fx_pred f left join m using ({_ORDER})),
+ r as (select *, row_number() over (order by v, {_ORDER}) - 1 r0, count(*) over () n from o), g as (select *, floor(r0*15/n) b from r),
+ l as (select *, case when r0 < round_even(b*n/15.0,0) then b-1 when r0 >= round_even((b+1)*n/15.0,0) then b+1 else b end bin from g),
+ s as (select draw sim from {{SEQ({n})}} z),
+ d as (select q.*, sim, {u_pair} u from q, s), k as (select *, (p0<=u)::int+(p0+p1<=u)::int+(p0+p1+p2<=u)::int k from d),
+ h as (select scenario_id, drop_id, target_id_a target_id, sim, (k>=2)::int hit from k union all select scenario_id, drop_id, target_id_b, sim, k%2 from k
+  union all select scenario_id, drop_id, target_id, sim, ({u_row} < v)::int from l, s where not paired
+  union all select scenario_id, drop_id, target_id, -1, detected from l),
+ e as (select sim, sum(d)/max(n) ece from (select sim, bin, abs(sum(v)-sum(hit)) d, max(n) n from h join l using ({_ORDER}) group by sim, bin) w group by sim),
+ f as (select max(ece) filter (sim = -1) observed from e)
+ select {_r('max(observed) observed', 'avg(ece) filter (sim >= 0) null_mean', f'(1+count(*) filter (sim >= 0 and ece >= observed))/({n}+1e0) p_value')} from e, f"""
+
+
+@_query(_null_pairs_sql(20))
+def mc_null_ece_pairs(t) -> DataFrame:
+    """Replicates of both rows of a pair come from one draw of the pair's joint."""
+    names = [f"p{i}" for i in range(4)]
+    ends = t("fx_pair_pred").withColumn("target_id", F.explode(F.array("target_id_a", "target_id_b"))).withColumn("c", F.count("*").over(W.partitionBy(*KEYS)))
+    joint = ends.groupBy(*SCENE, "target_id_a", "target_id_b", *names).agg(F.max("c").alias("c")).where("c = 1").drop("c")
+    return scores.null_ece(pipelines.points(t("fx_pred"), joint, "p", names), "p_point", "detected", 15, 20, joint=joint, joint_p=names)
+
+
 @_query(f"select {_K}, {_r('p_point p_point')}, detected::bigint detected, mutual::bigint mutual from {_POINTS} x")
 def evaluation_points(t) -> DataFrame:
     return _points(t).select(*KEYS, "p_point", "detected", F.col("mutual").cast("int").alias("mutual"))

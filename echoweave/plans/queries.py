@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.keyed_random import categorical, uniform
 from ..operators import features as ft
 from ..operators import models, pairs, scores
+from ..operators.ranks import release
 from ..schemas import INDEP_FEATURES, KEYS, POSITION_FEATURES, POSITION_LABELS, REGIMES, SCENE, union
 from ..sources.raw import clean_detections
 from .fixtures import oracle, table
@@ -27,7 +28,11 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def _query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: _rounded(f(lambda name: table(spark, sf_dir, name)))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            release()  # copies that the query before kept
+            return _rounded(f(lambda name: table(spark, sf_dir, name)))
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE[f.__name__] = oracle(sql)
         return f

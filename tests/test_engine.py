@@ -137,6 +137,53 @@ def test_one_tied_value(spark):
     assert scores.auroc(df, "p", "detected").first().auroc == pytest.approx(0.5)
 
 
+def _plain_ranks(rows):
+    """(row, rank) by id, from a sort; None stands first."""
+    key = lambda r: (r[1] is not None, r[1] or 0.0)
+    order = sorted(rows, key=lambda r: (*key(r), r[0]))
+    return {r[0]: (i + 1, 1 + sum(key(q) < key(r) for q in rows)) for i, r in enumerate(order)}
+
+
+@pytest.mark.parametrize("kind", ["constant", "mixed", "distinct", "null"])
+def test_ranks_spread_ties(spark, kind):
+    """Ranks are those of a sort, and no range holds more than a few shares of the rows, however many are tied."""
+    from echoweave.operators.ranks import dealt, ordinal
+
+    value = {"constant": lambda i: 2.5, "mixed": lambda i: [0.5, 0.5, 0.25, None, i / 7][i * 7 % 5], "distinct": lambda i: i * 37 % 900 / 3, "null": lambda i: None}[kind]
+    rows = [(i, value(i), i % 2) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, v double, g int")
+    got = {r.id: (r.row, r["rank"], r.n) for r in ordinal(df, "v", ["id"], buckets=8).collect()}
+    assert got == {k: (*x, 900) for k, x in _plain_ranks(rows).items()}
+    parts = {r.id: (r.row, r["rank"]) for r in ordinal(df, "v", ["id"], ["g"], 8).collect()}
+    assert parts == _plain_ranks(rows[::2]) | _plain_ranks(rows[1::2])
+    assert dealt(df, "v", ["id"], 8).groupBy("__b").count().agg(F.max("count")).first()[0] <= 3 * 900 / 8
+
+
+def test_copies_are_released(spark):
+    from echoweave.operators import ranks
+
+    df = spark.range(30).select("id", (F.col("id") % 3).alias("v"))
+    spark.catalog.clearCache()
+    for i in range(ranks.HELD + 3):
+        ranks.ordinal(df.withColumn("x", F.lit(i)), "v", ["id"]).count()
+    assert len(ranks._held) == ranks.HELD
+    ranks.release()
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_null_ece_draws_pairs_together(spark):
+    """Two rows of a pair that agree in every outcome: in one bin their errors add up, drawn apart they would not."""
+    rows = [(0, i // 2, i % 2, 0.5, int(i % 4 < 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "scenario_id long, drop_id long, target_id long, p double, y int")
+    joint = spark.createDataFrame([(0, i, 0, 1, 0.5, 0.0, 0.0, 0.5) for i in range(200)], "scenario_id long, drop_id long, target_id_a long, target_id_b long, p0 double, p1 double, p2 double, p3 double")
+    names = ["p0", "p1", "p2", "p3"]
+    (both,) = scores.null_ece(df, "p", "y", 1, 200, joint=joint, joint_p=names).collect()
+    (apart,) = scores.null_ece(df, "p", "y", 1, 200).collect()
+    assert both.observed == apart.observed == 0.0 and both.p_value == apart.p_value == 1.0
+    # mean absolute deviation of a normal: sqrt(2/pi) times its deviation, 0.5/sqrt(200) and 0.5/sqrt(400)
+    assert both.null_mean == pytest.approx(0.0282, rel=0.15) and apart.null_mean == pytest.approx(0.0199, rel=0.15)
+
+
 def test_chi2_tail(spark):
     df = spark.createDataFrame([(7.5,)], "x double")
     got = df.select(scores.chi2_tail(F.col("x"), 8).alias("even"), scores.chi2_tail(F.col("x"), 3).alias("odd")).first()
