@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echoweave.llm.common import materialise, read
+from echoweave.llm.common import Tables, materialise, read
 from echoweave.llm.jaccard_join import jaccard_components
 from echoweave.llm.packing import pack
 from echoweave.llm.quality import keep_good
@@ -45,8 +45,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again; a stage's table goes once the next one is written."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
-    return docs
+    with Tables(spark) as tables:
+        for _, stage in STAGES[:-1]:
+            before, docs = docs, tables.keep(stage(spark, docs, sf_dir))
+            tables.free(*[before] if id(before) in tables.paths else [])
+        return materialise(STAGES[-1][1](spark, docs, sf_dir))

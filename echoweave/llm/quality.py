@@ -6,6 +6,7 @@ rows (``sample_rows``) and flattened into arrays, so that all rows of a batch wa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, _INVERSE, Words, _power, materialise, mix, text_blocks
+from .common import _BASE, _BYTE, _INVERSE, Tables, Words, _power, materialise, mix, text_blocks
 
 #: Classes of bytes that are counted: letters, capitals, digits, white space, line ends, non-ASCII bytes, sentence
 #: ends, commas and dashes, quotes and brackets, and the rest of the signs, each of them alone.
@@ -187,11 +188,18 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def train(found: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", held_out: int = 2, folds: int = 4, sample_rows: int = 20_000, **params) -> Trees:
     """Trees from at most ``sample_rows`` labelled rows, those with the least hashes of their keys.
 
-    Rows whose crc32(key as text) mod ``folds`` is ``held_out`` are never used, nor rows without key or label.
+    Rows whose crc32(key as text) mod ``folds`` is ``held_out`` are never used, nor rows without key or label. Where
+    there are more, a bound on the hash, set by their number, is applied on the executors: about ``sample_rows`` rows
+    come to the driver from all partitions together. Equal rows of a key count once.
     """
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col(key).cast("string")) % folds != held_out))
     usable = usable.groupBy(key).agg(F.max(label).alias("y"))
-    rows = found.join(usable, key).orderBy(F.xxhash64(key), F.col("features")).limit(sample_rows).select("features", "y").collect()
+    known = found.join(usable, key).withColumn("h", F.xxhash64(key, "features"))
+    total = known.agg(F.count_distinct("h")).first()[0]
+    # the least hashes: a share of all 2^64, a little more than asked for so that the limit is met
+    share = (sample_rows + 5 * math.sqrt(sample_rows)) / max(1, total)
+    known = (known.where(F.col("h") < int(share * 2**64) - 2**63) if share < 1 else known).dropDuplicates(["h"])
+    rows = known.orderBy("h").limit(sample_rows).select("features", "y").collect()
     if not rows:
         return fit(np.zeros((0, FEATURES), np.float32), np.zeros(0))
     return fit(np.array([r[0] for r in rows], np.float32), np.array([r[1] for r in rows], float), **params)
@@ -221,7 +229,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     Without usable labels no document is rejected, as nothing is known against any.
     """
-    fitted = train(materialise(features(docs, key, text)), labels, key, label, **params)
+    with Tables(docs.sparkSession) as tables:
+        fitted = train(tables.keep(features(docs, key, text)), labels, key, label, **params)
     if not len(fitted.roots):
         return docs
     trees = docs.sparkSession.sparkContext.broadcast(fitted)

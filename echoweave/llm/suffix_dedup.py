@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialise, partitions_for, text_blocks
+from .common import Tables, Words, materialise, partitions_for, text_blocks
 
 MIN_WORDS, PREFIX, GRAM, WINDOW = 50, 32, 8, 18
 #: Words fetched beside an open end of a run at first, and how many times more if all of them agree.
@@ -170,10 +170,13 @@ def _across(found: DataFrame) -> DataFrame:
     return kept.select("doc_id", "pos", "other", "other_pos", "later").union(mended.select("doc_id", "pos", "other", "other_pos", "later"))
 
 
-def _linked(suffixes: DataFrame, parts: int) -> DataFrame:
-    """The suffixes whose hash occurs again, each with the place before it of that hash (``later``), or else after it."""
+def _beside(suffixes: DataFrame, parts: int) -> DataFrame:
+    """The suffixes whose hash occurs again, each with the place before it of that hash (``later``), or else after it.
+
+    Rows at borders of partitions are left for :func:`_across`, which reads the written table.
+    """
     ordered = suffixes.repartitionByRange(parts, "h", "doc_id", "pos").sortWithinPartitions("h", "doc_id", "pos")
-    return _across(materialise(_neighbours(ordered)))
+    return _neighbours(ordered)
 
 
 def _runs(pairs: DataFrame, parts: int) -> DataFrame:
@@ -241,9 +244,8 @@ def _agree(x: bytes, y: bytes) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _extended(runs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def _extended(runs: DataFrame, around: DataFrame, width: int) -> DataFrame:
     """The runs with their open ends moved by up to ``width`` words that agree; an end stays open if all of them do."""
-    around = materialise(_contexts(runs, docs, width))
     side = lambda s: around.where(F.col("side") == s).select("run", F.col("left").alias(f"l{s}"), F.col("right").alias(f"r{s}"))
     both = runs.join(side(0), "run").join(side(1), "run")
 
@@ -274,24 +276,31 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = partitions_for(spark, own.agg(F.sum(F.length("text"))).first()[0], 32 << 20)
     texts = own.groupBy("doc_id").agg(F.max("text").alias("text"))
-    # a repeated key's suffixes can meet themselves here: a mark too many only costs time
-    marks = _linked(_suffixes(own), parts).groupBy("doc_id").agg(F.collect_set("pos").alias("marks"))
-    # the documents with a mark that occurs again; those of every run and of its partner are among them
-    marked = materialise(texts.join(marks, "doc_id"))
-    # the row's number only names the run; the table is written, so it is drawn once
-    runs = materialise(_runs(_linked(_passages(marked), parts), parts).withColumn("run", F.monotonically_increasing_id()))
-    found, width = [], BESIDE
-    while True:
-        found.append(runs.where("not (open_left or open_right)"))
-        runs = runs.where("open_left or open_right")
-        if runs.isEmpty():
-            break
-        runs = materialise(_extended(runs, marked.select("doc_id", "text"), width))
-        width *= GROWTH
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.union(more)
-    return whole.select("doc_id", F.col("start").alias("start_word"), (F.col("stop") - F.col("start")).alias("n_words"), F.col("other").alias("other_id"), (F.col("start") + F.col("shift")).alias("other_start_word"), "later").distinct()
+    with Tables(spark) as tables:
+        # a repeated key's suffixes can meet themselves here: a mark too many only costs time
+        near = tables.keep(_beside(_suffixes(own), parts))
+        marks = _across(near).groupBy("doc_id").agg(F.collect_set("pos").alias("marks"))
+        # the documents with a mark that occurs again; those of every run and of its partner are among them
+        marked = tables.keep(texts.join(marks, "doc_id"))
+        tables.free(near)
+        near = tables.keep(_beside(_passages(marked), parts))
+        # the row's number only names the run; the table is written, so it is drawn once
+        runs = tables.keep(_runs(_across(near), parts).withColumn("run", F.monotonically_increasing_id()))
+        tables.free(near)
+        found, width = [], BESIDE
+        while True:
+            found.append(runs.where("not (open_left or open_right)"))
+            runs = runs.where("open_left or open_right")
+            if runs.isEmpty():
+                break
+            around = tables.keep(_contexts(runs, marked.select("doc_id", "text"), width))
+            runs = tables.keep(_extended(runs, around, width))
+            tables.free(around)
+            width *= GROWTH
+        whole = found[0]
+        for more in found[1:]:
+            whole = whole.union(more)
+        return materialise(whole.select("doc_id", F.col("start").alias("start_word"), (F.col("stop") - F.col("start")).alias("n_words"), F.col("other").alias("other_id"), (F.col("start") + F.col("shift")).alias("other_start_word"), "later").distinct())
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str = "n_chars") -> DataFrame:

@@ -306,6 +306,22 @@ def test_quality(spark, docs, nothing):
     assert score(nothing, labels).count() == 0 and keep_good(docs, labels.limit(0)).count() == docs.count()
 
 
+@pytest.mark.parametrize("sample_rows", [100, 100_000])
+def test_quality_sample_is_of_the_least_hashes(spark, sample_rows):
+    """The trees are those of the labelled rows with the least hashes, picked here by sorting all of them; repeated rows count once."""
+    from pyspark.sql import functions as F
+
+    from echoweave.llm import quality
+
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("doc_id < 400")
+    found = quality.features(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400"))
+    usable = found.join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).withColumn("h", F.xxhash64("doc_id", "features"))
+    rows = sorted(usable.collect(), key=lambda r: r.h)[:sample_rows]
+    plain = quality.fit(np.array([r.features for r in rows], np.float32), np.array([r.quality for r in rows], float))
+    trees = quality.train(found.union(found.where("doc_id % 3 = 0")), labels, sample_rows=sample_rows)
+    assert np.array_equal(trees.feature, plain.feature) and np.allclose(trees.value, plain.value)
+
+
 def test_language_model(docs, texts, nothing):
     from echoweave.llm.brown_lm import score
 
