@@ -24,7 +24,7 @@ from . import models, pipelines
 from .pairs import fold
 
 VERSION = 1
-KINDS = {c.__name__: c for c in (pipelines.Branches, pipelines.Range, pipelines.Position)}
+KINDS = {c.__name__: c for c in (pipelines.Branches, pipelines.Range, pipelines.Angles, pipelines.Position)}
 
 
 def _write_json(spark: SparkSession, path: str, value: Any) -> None:

@@ -16,6 +16,8 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.storagelevel import StorageLevel
+
 from ..functions.keyed_random import uniform
 from ..schemas import KEYS
 from .pairs import fold
@@ -47,10 +49,53 @@ def prepare(features: Sequence[str], scale: bool = False) -> list:
     return stages + ([StandardScaler(inputCol="raw_x", outputCol="x", withMean=True)] if scale else [])
 
 
-def fit_detection(train: DataFrame, features: Sequence[str], label: str = "detected", kind: str = "trees", seed: int = 42) -> PipelineModel:
-    """P(detected): boosted trees, a small network (``network``) or logistic regression (``logistic``); missing values are flagged."""
+def fit_boosted(train: DataFrame, features: Sequence[str], labels: Sequence[Column], rounds: int, validation: str | None = None, **params) -> list[PipelineModel]:
+    """A boosted model for each of ``labels`` (0 or 1), fitted side by side on one assembled matrix, which is let go again.
+
+    ``validation`` names a boolean column: no model, mean or split is fitted on its rows. A model then takes as many of
+    the ``rounds`` as have the least loss on them (the first of equals): its rounds are drawn by the seed, so a second
+    fit of fewer rounds repeats the first ones. Null counts as false; without such rows all rounds are kept.
+    """
+    held = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
+    flagged = with_flags(train, features).withColumn("__held", held)
+    first = Pipeline(stages=prepare(features)).fit(flagged.where("not __held"))
+    matrix = first.transform(flagged).select("x", "__held", *[y.cast("int").alias(f"__y{i}") for i, y in enumerate(labels)]).persist(StorageLevel.DISK_ONLY)
+    try:
+        stop = validation is not None and not matrix.where("__held").isEmpty()
+
+        def fit(i: int):
+            own = lambda n: GBTClassifier(featuresCol="x", labelCol=f"__y{i}", maxIter=n, **params).fit(matrix.where("not __held"))
+            whole = own(rounds)
+            losses = whole.evaluateEachIteration(matrix.where("__held")) if stop else [0.0]
+            least = losses.index(min(losses)) + 1
+            return own(least) if least < len(losses) else whole
+
+        with ThreadPool(min(4, len(labels))) as pool:
+            found = pool.map(fit, range(len(labels)))
+    finally:
+        matrix.unpersist()
+    return [PipelineModel([*first.stages, model]) for model in found]
+
+
+def rounds_taken(model: PipelineModel) -> int:
+    """Rounds of a boosted model."""
+    return model.stages[-1].getNumTrees
+
+
+def loss_by_round(model: PipelineModel, df: DataFrame, features: Sequence[str], label: Column) -> list[float]:
+    """Mean log loss of a boosted model on ``df`` after each of its rounds, in one pass (twice the negative log-likelihood, as it is fitted)."""
+    *first, boosted = model.stages
+    return boosted.evaluateEachIteration(PipelineModel(first).transform(with_flags(df, features)).withColumn(boosted.getLabelCol(), label.cast("int")))
+
+
+def fit_detection(train: DataFrame, features: Sequence[str], label: str = "detected", kind: str = "trees", seed: int = 42, validation: str | None = None, rounds: int = 20) -> PipelineModel:
+    """P(detected): boosted trees, a small network (``network``) or logistic regression (``logistic``); missing values are flagged.
+
+    Boosted trees take ``rounds``, or fewer where ``validation`` names rows held back to choose their number (:func:`fit_boosted`).
+    """
+    if kind == "trees":
+        return fit_boosted(train, features, [F.col(label)], rounds, validation, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=50, seed=seed)[0]
     last = {
-        "trees": GBTClassifier(featuresCol="x", labelCol=label, maxIter=20, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=50, seed=seed),
         "network": MultilayerPerceptronClassifier(featuresCol="x", labelCol=label, layers=[2 * len(features), 16, 2], maxIter=40, seed=seed),
         "logistic": LogisticRegression(featuresCol="x", labelCol=label, regParam=1e-4),
     }[kind]
@@ -62,13 +107,9 @@ def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], name:
     return model.transform(with_flags(df, features)).select(*df.columns, vector_to_array("probability")[1].alias(name))
 
 
-def fit_outcomes(train: DataFrame, features: Sequence[str], label: str, classes: int, trees: int = 10, seed: int = 42) -> list[PipelineModel]:
-    """One boosted model for each of the outcomes 0 to classes - 1 against all others, as for pairs of targets."""
-    flagged = with_flags(train, features)
-    return [
-        Pipeline(stages=[*prepare(features), GBTClassifier(featuresCol="x", labelCol="own", maxIter=trees, maxDepth=3, seed=seed)]).fit(flagged.withColumn("own", (F.col(label) == c).cast("int")))
-        for c in range(classes)
-    ]
+def fit_outcomes(train: DataFrame, features: Sequence[str], label: str, classes: int, trees: int = 10, seed: int = 42, validation: str | None = None) -> list[PipelineModel]:
+    """One boosted model for each of the outcomes 0 to classes - 1 against all others, as for pairs of targets; ``trees`` rounds at most with ``validation``."""
+    return fit_boosted(train, features, [F.col(label) == c for c in range(classes)], trees, validation, maxDepth=3, seed=seed)
 
 
 def predict_outcomes(models: Sequence[PipelineModel], df: DataFrame, features: Sequence[str], prefix: str = "p") -> DataFrame:

@@ -25,10 +25,18 @@ def branch(df: DataFrame, match: Sequence[str] = MATCH_COLS) -> DataFrame:
 def pairs(df: DataFrame, columns: Sequence[str], match: Sequence[str] = MATCH_COLS, symmetric: bool = False, only_mutual: bool = True) -> DataFrame:
     """Rows that match, side by side (``_a``, ``_b``); each pair once with the lower target first, or both ways.
 
-    Null never matches null, as in a join by equality.
+    Null never matches null, as in a join by equality. Mutual rows are groups of two, so each meets the next one of its
+    group in a window: the rows are read once and shuffled once, or not at all where they lie in buckets of scenes.
     """
-    own = with_group_size(df, match).where("group_size = 2").drop("group_size") if only_mutual else df
-    side = lambda s: own.select(*match, *[F.col(c).alias(f"{c}_{s}") for c in ("target_id", *columns)])
+    if only_mutual:
+        known, own = " and ".join(f"{c} is not null" for c in match), F.struct("target_id", *columns)
+        group = W.partitionBy(*match)
+        met = df.where(known).select(*match, own.alias("__a"), F.lead(own).over(group.orderBy("target_id")).alias("__b"), F.count("*").over(group).alias("__size"))
+        met = met.where("__size = 2 and __a.target_id < __b.target_id")
+        if symmetric:
+            met = met.select(*match, F.inline(F.array(F.struct("__a", "__b"), F.struct(F.col("__b").alias("__a"), F.col("__a").alias("__b")))))
+        return met.select(*match, *[F.col(f"__{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("target_id", *columns)])
+    side = lambda s: df.select(*match, *[F.col(c).alias(f"{c}_{s}") for c in ("target_id", *columns)])
     both = side("a").join(side("b"), list(match))
     return both.where("target_id_a <> target_id_b" if symmetric else "target_id_a < target_id_b")
 
@@ -55,6 +63,11 @@ def is_held_out(columns: Sequence[str] = SCENE) -> Column:
     return _share(columns) < "33333333"
 
 
+def is_validation(columns: Sequence[str] = SCENE) -> Column:
+    """A tenth of all scenes, whatever split they are in: rows that tell a fit when to stop."""
+    return _share(columns, "validation") < "1999999a"
+
+
 def fold(n: int, columns: Sequence[str] = SCENE) -> Column:
     """A fold from 0 to n - 1, the same for all rows of a scene."""
     return (F.conv(_share(columns, "fold"), 16, 10).cast("long") % n).cast("int")

@@ -14,7 +14,7 @@ from ..schemas import INDEP_FEATURES, KEYS, PAIR_FEATURES, POSITION_FEATURES, SC
 from ..sources.sets import independent_set, pair_set
 from . import draws, models
 from .features import position_error, regime
-from .pairs import reassemble
+from .pairs import is_validation, reassemble
 
 
 def points(df: DataFrame, joint: DataFrame, p: str, joint_p: Sequence[str]) -> DataFrame:
@@ -30,9 +30,16 @@ class Branches:
     outcomes: list[PipelineModel]
 
 
-def fit_branches(train: DataFrame, trees: int = 10) -> Branches:
-    """Detection of single targets, and the joint outcome of pairs, from the table of features."""
-    return Branches(models.fit_detection(independent_set(train), INDEP_FEATURES), models.fit_outcomes(pair_set(train), PAIR_FEATURES, "score", 4, trees))
+def fit_branches(train: DataFrame, trees: int = 10, stop_early: bool = False) -> Branches:
+    """Detection of single targets, and the joint outcome of pairs, from the table of features.
+
+    ``stop_early``: a tenth of the scenes is held back, and each model stops when it no longer gains on them.
+    """
+    single, paired, held = independent_set(train), pair_set(train), None
+    if stop_early:
+        held = "__validation"
+        single, paired = single.withColumn(held, is_validation()), paired.withColumn(held, is_validation())
+    return Branches(models.fit_detection(single, INDEP_FEATURES, validation=held), models.fit_outcomes(paired, PAIR_FEATURES, "score", 4, trees, validation=held))
 
 
 def draw_branches(model: Branches, df: DataFrame, seed: int = 42) -> DataFrame:
@@ -84,6 +91,19 @@ def position_draws(df: DataFrame, range_error: str, p_u: Column, p_v: Column, ma
     return position_error(angled, "__one_way", "az_err", "el_err", "rx_target_distance_m", "rx_elevation_deg").drop("__one_way")
 
 
+@dataclass
+class Angles:
+    slip: PipelineModel
+    size: PipelineModel
+    farthest: float
+
+
+def fit_angles(train: DataFrame) -> Angles:
+    """Chance and size of slips along both axes of the grid."""
+    farthest = train.agg(F.max("nn_norm_range_sep")).first()[0] or 0.0
+    return Angles(*models.fit_slip(models.slip_features(train, farthest)), farthest)
+
+
 @dataclass
 class Position:
     regimes: tuple[list[PipelineModel], list[float]]
@@ -95,22 +115,44 @@ class Position:
 
 def fit_position(train: DataFrame, folds: int = 5, trees: int = 20) -> Position:
     """All parts of the 3D error, from rows of the table of features with errors and ``region``."""
-    farthest = train.agg(F.max("nn_norm_range_sep")).first()[0] or 0.0
-    slip, size = models.fit_slip(models.slip_features(train, farthest))
-    return Position(models.fit_regimes(train, POSITION_FEATURES, "region", 6, folds, trees), fit_range(train), slip, size, farthest)
+    angles = fit_angles(train)
+    return Position(models.fit_regimes(train, POSITION_FEATURES, "region", 6, folds, trees), fit_range(train), angles.slip, angles.size, angles.farthest)
 
 
-def draw_position(model: Position, df: DataFrame, n: int) -> DataFrame:
-    """``n`` draws of each row: probabilities once, then every draw by its number."""
-    scored = models.predict_regimes(model.regimes, df.drop("region"), POSITION_FEATURES, 6)
+#: What a draw is told by.
+DRAW_KEYS = (*KEYS, "draw")
+
+
+def _slips(model: Angles | Position, df: DataFrame) -> DataFrame:
+    """(KEYS, p_slip_u, p_slip_v, s1 to s4) of each row."""
     sides = models.predict(model.slip, models.slip_features(df, model.farthest), ("edge", "close", "rss"), "p_slip")
     sides = models.predict_classes(model.size, sides, ("log_R", "rss_max"), 5, "s")
-    per_axis = sides.groupBy(*KEYS).agg(*[F.max(F.when(F.col("axis") == a, F.col("p_slip"))).alias(f"p_slip_{a}") for a in "uv"], *[F.first(f"s{i}").alias(f"s{i}") for i in range(1, 5)])
-    keys = (*KEYS, "draw")
-    tiled = draws.tiled(scored.join(per_axis, list(KEYS)), n)
-    drawn = tiled.withColumn("region", categorical([F.col(f"p{i}") for i in range(6)], uniform("regime", *keys)))
-    drawn = range_draws(drawn, model.ranges, keys)
-    return position_draws(drawn, "sampled_error", F.col("p_slip_u"), F.col("p_slip_v"), [F.col(f"s{i}") for i in range(1, 5)], keys)
+    return sides.groupBy(*KEYS).agg(*[F.max(F.when(F.col("axis") == a, F.col("p_slip"))).alias(f"p_slip_{a}") for a in "uv"], *[F.first(f"s{i}").alias(f"s{i}") for i in range(1, 5)])
+
+
+def _tiled_ranges(model: Position, scored: DataFrame, n: int) -> DataFrame:
+    drawn = draws.tiled(scored, n).withColumn("region", categorical([F.col(f"p{i}") for i in range(6)], uniform("regime", *DRAW_KEYS)))
+    return range_draws(drawn, model.ranges, DRAW_KEYS)
+
+
+def draw_ranges(model: Position, df: DataFrame, n: int) -> DataFrame:
+    """``n`` range errors of each row: the chances of its regimes once, then every draw by its number."""
+    return _tiled_ranges(model, models.predict_regimes(model.regimes, df.drop("region"), POSITION_FEATURES, 6), n)
+
+
+def draw_angles(model: Angles | Position | None, df: DataFrame, n: int) -> DataFrame:
+    """``n`` pairs of angle errors of each row; without a model nothing slips: only what the grid does, the same in every draw."""
+    if model is None:
+        return draws.angle_draws(draws.tiled(df, n), F.lit(0.0), F.lit(0.0), keys=DRAW_KEYS)
+    tiled = draws.tiled(df.join(_slips(model, df), list(KEYS)), n)
+    return draws.angle_draws(tiled, F.col("p_slip_u"), F.col("p_slip_v"), [F.col(f"s{i}") for i in range(1, 5)], DRAW_KEYS)
+
+
+def draw_position(model: Position, df: DataFrame, n: int) -> DataFrame:
+    """``n`` draws of each row: probabilities once, then every draw by its number. Range and angle errors are those of :func:`draw_ranges` and :func:`draw_angles`."""
+    scored = models.predict_regimes(model.regimes, df.drop("region"), POSITION_FEATURES, 6)
+    drawn = _tiled_ranges(model, scored.join(_slips(model, df), list(KEYS)), n)
+    return position_draws(drawn, "sampled_error", F.col("p_slip_u"), F.col("p_slip_v"), [F.col(f"s{i}") for i in range(1, 5)], DRAW_KEYS)
 
 
 def detection_two_sample(df: DataFrame, p: str, label: str, features: Sequence[str], nulls: int = 20) -> DataFrame:

@@ -121,9 +121,10 @@ def score_table(t) -> DataFrame:
 
 @_query()
 def pair_model(t) -> DataFrame:
-    rows = pair_set(_feature_table(t)).withColumn("held_out", pairs.is_held_out())
+    """Held-out pairs, by models that stop on scenes that are neither fitted nor held out."""
+    rows = pair_set(_feature_table(t)).withColumns({"held_out": pairs.is_held_out(), "__validation": pairs.is_validation()})
     features = PAIR_FEATURES
-    fitted = models.fit_outcomes(rows.where("not held_out"), features, "score", 4)
+    fitted = models.fit_outcomes(rows.where("not held_out"), features, "score", 4, 20, validation="__validation")
     return models.predict_outcomes(fitted, rows.where("held_out and target_id_a < target_id_b"), features).select("scenario_id", "drop_id", "target_id_a", "target_id_b", "score", "p0", "p1", "p2", "p3")
 
 

@@ -299,8 +299,9 @@ def mc_null_ece(t) -> DataFrame:
 
 
 def _fitted(t, kind: str) -> DataFrame:
-    rows = _feature_table(t).select(*KEYS, "detected", *FEATURES).withColumn("held_out", pairs.is_held_out())
-    model = models.fit_detection(rows.where("not held_out"), FEATURES, kind=kind)
+    """Held-out rows; the trees stop on scenes that are neither fitted nor held out."""
+    rows = _feature_table(t).select(*KEYS, "detected", *FEATURES).withColumns({"held_out": pairs.is_held_out(), "__validation": pairs.is_validation()})
+    model = models.fit_detection(rows.where("not held_out"), FEATURES, kind=kind, validation="__validation", rounds=30)
     return models.predict(model, rows.where("held_out"), FEATURES).select(*KEYS, "detected", "p")
 
 
