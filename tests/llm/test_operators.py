@@ -184,6 +184,16 @@ def test_urls(spark):
     assert filter_urls(df.limit(0)).count() == 0
 
 
+def test_urls_by_the_contracts_rules(spark):
+    """The words of the contract's list: net/de/ is allowed, example.net/de/8 below it is blocked."""
+    from echoweave.llm.url_filter import DEFAULT_RULES, filter_urls
+
+    assert DEFAULT_RULES == (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+    urls = ["a://b.NET/de/1", "a://x.example.net/de/81#t", "a://example.net/de/7", "a://example.com/en/71", "a://a.com/en/", "a://b.org/es/", "a://b.net/en/"]
+    got = {r.url: (r.rule, r.verdict) for r in filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [got[u] for u in urls] == [("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("example.com/en/7", "allow"), ("com/en/", "block"), ("org/es/", "block"), (None, "allow")]
+
+
 def test_packing(docs, texts, nothing):
     from tokenizers import Tokenizer
 
