@@ -10,7 +10,7 @@ from ..operators import draws, models, pairs, scores
 from ..operators import features as ft
 from ..schemas import KEYS, LEVELS, PAIR_FEATURES
 from ..sources.sets import pair_set
-from .queries import _E, _GRID, _K, FEATURES, _feature_table, _query, _r, _targets
+from .queries import _E, _GRID, _K, FEATURES, _feature_table, _query, _r, _stored, _targets
 
 _U = "{U(concat_ws('|',scenario_id,drop_id,target_id);%s)}"
 _ORDER = "scenario_id, drop_id, target_id"
@@ -122,7 +122,7 @@ def score_table(t) -> DataFrame:
 @_query()
 def pair_model(t) -> DataFrame:
     """Held-out pairs, by models that stop on scenes that are neither fitted nor held out."""
-    rows = pair_set(_feature_table(t)).withColumns({"held_out": pairs.is_held_out(), "__validation": pairs.is_validation()})
+    rows = _stored(pair_set(_feature_table(t)).withColumns({"held_out": pairs.is_held_out(), "__validation": pairs.is_validation()}))
     features = PAIR_FEATURES
     fitted = models.fit_outcomes(rows.where("not held_out"), features, "score", 4, 20, validation="__validation")
     return models.predict_outcomes(fitted, rows.where("held_out and target_id_a < target_id_b"), features).select("scenario_id", "drop_id", "target_id_a", "target_id_b", "score", "p0", "p1", "p2", "p3")
@@ -130,15 +130,16 @@ def pair_model(t) -> DataFrame:
 
 @_query()
 def regime_model(t) -> DataFrame:
-    rows = _feature_table(t).where("range_error_m is not null").withColumn("region", ft.regime(F.col("range_error_m"))).select(*KEYS, "region", *FEATURES)
+    rows = _stored(_feature_table(t).where("range_error_m is not null").withColumn("region", ft.regime(F.col("range_error_m"))).select(*KEYS, "region", *FEATURES))
     _, scored = models.cross_fit(rows, FEATURES, "region", 6)
+    scored = _stored(scored.select(*KEYS, "region", "raw"))
     bias = models.fit_bias(scored, "raw", "region", 6)
     return scored.select(*KEYS, "region", *[p.alias(f"p{i}") for i, p in enumerate(models.biased("raw", bias))])
 
 
 @_query()
 def slip_model(t) -> DataFrame:
-    rows = _feature_table(t).withColumn("held_out", pairs.is_held_out()).select(*KEYS, "held_out", "log_R", "rss_max", "nn_norm_range_sep", "abs_frac_u", "abs_frac_v", "slip_u", "slip_v")
+    rows = _stored(_feature_table(t).withColumn("held_out", pairs.is_held_out()).select(*KEYS, "held_out", "log_R", "rss_max", "nn_norm_range_sep", "abs_frac_u", "abs_frac_v", "slip_u", "slip_v"))
     farthest = rows.where("not held_out").agg(F.max("nn_norm_range_sep")).first()[0] or 0.0
     sides = models.slip_features(rows, farthest)
     whether, size = models.fit_slip(sides.where("not held_out"))
@@ -150,6 +151,7 @@ def slip_model(t) -> DataFrame:
 def quantile_forest(t) -> DataFrame:
     levels = LEVELS
     rows = _feature_table(t).where("range_error_m is not null").withColumn("size", F.ln(F.abs("range_error_m") + 1e-6)).withColumn("held_out", pairs.is_held_out()).select(*KEYS, "size", "held_out", *FEATURES)
+    rows = _stored(rows)
     model, leaves = models.fit_quantiles(rows.where("not held_out"), FEATURES, "size", levels)
     found = models.predict_quantiles(model, leaves, rows.where("held_out"), FEATURES, KEYS, len(levels))
     return found.select(*KEYS, *[F.col("q")[i].alias(f"q{i + 1}") for i in range(len(levels))], draws.quantile_draws(levels, F.col("q"), uniform("quantile", *KEYS)).alias("drawn"))
