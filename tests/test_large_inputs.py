@@ -18,3 +18,21 @@ def test_fits_read_a_written_table(spark):
 
     rows = _regime_rows(lambda name: table(spark, SMALL, name))
     assert "Join" not in _plan(rows) and "Exchange" not in _plan(rows) and rows.count() > 0
+
+
+def test_null_of_ece_repeats_no_row(spark):
+    """Replicates are made as arrays of a row; their counts have the mean and spread of independent labels."""
+    from echoweave.operators.scores import _hits_of, null_ece
+
+    rows = spark.range(4000).select((F.col("id") % 5).alias("scenario_id"), F.col("id").alias("drop_id"), F.col("id").alias("target_id"), ((F.col("id") % 97) / 97 + 0.005).alias("p"), (F.col("id") % 2).alias("y"))
+    found = null_ece(rows, "p", "y", 15, 200)
+    assert "Generate" not in _plan(found)
+    once, again = found.first(), null_ece(rows.repartition(7), "p", "y", 15, 200).first()
+    assert again.null_mean == pytest.approx(once.null_mean, rel=1e-9) and once.p_value == again.p_value == pytest.approx(1 / 201) and 0.01 < once.null_mean < 0.04
+
+    rng = np.random.default_rng(1)
+    p, key, at = rng.random(9000), rng.integers(-(2**63), 2**63 - 1, 9000), rng.integers(0, 3, 9000)
+    hits = _hits_of(at, p, key, 3, 501)
+    mean, spread = np.bincount(at, p), np.sqrt(np.bincount(at, p * (1 - p)))
+    assert hits.shape == (3, 501) and (abs(hits.mean(axis=1) - mean) < 4 * spread / 501**0.5).all() and (abs(hits.std(axis=1) / spread - 1) < 0.15).all()
+    assert (_hits_of(np.zeros(9, int), np.array([0.0, 1.0, 1.0] * 3), key[:9], 1, 7) == 6).all()
