@@ -36,3 +36,12 @@ def test_null_of_ece_repeats_no_row(spark):
     mean, spread = np.bincount(at, p), np.sqrt(np.bincount(at, p * (1 - p)))
     assert hits.shape == (3, 501) and (abs(hits.mean(axis=1) - mean) < 4 * spread / 501**0.5).all() and (abs(hits.std(axis=1) / spread - 1) < 0.15).all()
     assert (_hits_of(np.zeros(9, int), np.array([0.0, 1.0, 1.0] * 3), key[:9], 1, 7) == 6).all()
+
+
+def test_folds_of_two_sample_tests_fill_many_tasks(spark, monkeypatch):
+    from echoweave.operators import models
+
+    monkeypatch.setattr(models, "MATRIX_ROWS", 100)
+    rows = spark.range(4000).select(F.lit(1).alias("scenario_id"), F.col("id").alias("drop_id"), F.col("id").alias("target_id"), F.lit(0).alias("test"), (F.col("id") % 2).alias("fold"), F.lit(1).alias("real"), F.lit(0.5).alias("x"))
+    sizes = models._by_fold(rows, 2, 2000).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 4000 and max(r["count"] for r in sizes) <= 600
