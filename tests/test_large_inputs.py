@@ -45,3 +45,18 @@ def test_folds_of_two_sample_tests_fill_many_tasks(spark, monkeypatch):
     rows = spark.range(4000).select(F.lit(1).alias("scenario_id"), F.col("id").alias("drop_id"), F.col("id").alias("target_id"), F.lit(0).alias("test"), (F.col("id") % 2).alias("fold"), F.lit(1).alias("real"), F.lit(0.5).alias("x"))
     sizes = models._by_fold(rows, 2, 2000).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 4000 and max(r["count"] for r in sizes) <= 600
+
+
+def test_buckets_hold_the_columns_of_pairs_alone(spark, monkeypatch):
+    from echoweave.plans import component_queries as queries
+
+    seen, write = [], queries.cache.write
+    monkeypatch.setattr(queries.cache, "write", lambda df, *rest: (seen.append(df.columns), write(df, *rest))[1])
+    assert queries.pair_set_cached(lambda name: queries_table(spark, name)).count() > 0
+    assert len(seen[0]) == 25 and "position_error_3d_m" not in seen[0]
+
+
+def queries_table(spark, name):
+    from echoweave.plans.fixtures import table
+
+    return table(spark, SMALL, name)
