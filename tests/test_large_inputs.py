@@ -60,3 +60,15 @@ def queries_table(spark, name):
     from echoweave.plans.fixtures import table
 
     return table(spark, SMALL, name)
+
+
+@pytest.mark.parametrize("replicates", [1, 2, 7, 100])
+def test_weights_are_packed(replicates):
+    """Four bits a replicate; larger weights come back as well."""
+    from echoweave.operators.resampling import packed, unpacked
+
+    weights = np.random.default_rng(0).poisson(1, (500, replicates))
+    weights[3, 0], weights[5, -1] = 16, 70_000
+    rows = packed(weights)
+    assert (unpacked(rows, replicates) == weights).all() and sum(len(x) for x in rows) <= 498 * (replicates + 1) // 2 + 8 * replicates
+    assert unpacked([], replicates).shape == (0, replicates)
