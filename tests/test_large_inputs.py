@@ -72,3 +72,34 @@ def test_weights_are_packed(replicates):
     rows = packed(weights)
     assert (unpacked(rows, replicates) == weights).all() and sum(len(x) for x in rows) <= 498 * (replicates + 1) // 2 + 8 * replicates
     assert unpacked([], replicates).shape == (0, replicates)
+
+
+def test_ranges_are_found_by_halving(spark):
+    """A row looks at the digits of a range's number, not at every end; ends, ties, null and NaN fall as a filter has them."""
+    from echoweave.operators.ranks import bisected
+
+    values = [*range(-1, 22), None, float("nan"), 3.5]
+    for ends in ([], [3.0], [float(x) for x in range(0, 20, 2)], [1.0, 5.0, float("nan")]):
+        rows = spark.createDataFrame([(x if x is None else float(x),) for x in values], "v double")
+        found = bisected(rows, "n", [F.lit(e) for e in ends], lambda e: F.col("v") >= e)
+        plain = F.size(F.filter(F.array(*[F.lit(e) for e in ends]).cast("array<double>"), lambda e: F.col("v") >= e))
+        assert found.where(F.col("n") != plain).count() == 0 and "filter(" not in _plan(found)
+
+
+def test_draws_are_read_once(spark):
+    """Scores of draws read them once: they join no table again, and ranges of values don't come from quantiles of all rows."""
+    from echoweave.operators import ranks, scores
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    ranks.release()
+    made = spark.range(6000).selectExpr("1L scenario_id", "id div 60 drop_id", "id div 10 target_id", "id % 10 draw", "(id * 7919 % 1000) / 100 value", "(id div 10) % 7 / 1.0 real", "(id div 10) * 1.5 x", "'a' model")
+    rows = made.mapInArrow(count, made.schema)
+    assert scores.draw_scores(rows, "real").count() == 1 and read.value == 6000
+    assert scores.draw_slices(rows, "real", "x", 4).count() == 4 and read.value == 12000
+    ranks.release()
