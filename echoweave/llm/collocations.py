@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import Tables, materialise, text_blocks, text_bytes
 
 MAX_WORDS, MIN_COUNT, COVER, TOP = 3, 10, 50, 2000
+#: Words or groups that a task joins at once.
+SLICE = 250_000
 #: Most frequent groups (words: strings; longer phrases: 8 bytes each) that every executor holds.
 BROADCAST_GROUPS = 1 << 21
 #: Shares of a language that are ranked apart before their best meet.
@@ -98,6 +100,17 @@ def _numbered(groups: DataFrame, by: list[str], tables: Tables) -> DataFrame:
     return out
 
 
+def _slices(batches: Iterable[pa.RecordBatch], nested: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of whole rows with at most ``SLICE`` entries of a nested column (a longer row stands alone): arrays of a slice are all that a task holds."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column(nested)).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(ends):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of a nested column and, for each, the row that it is in."""
     return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
@@ -160,7 +173,7 @@ def _words_joined(rows: DataFrame, frequent: DataFrame, most: int) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast({name: (t.column("word").combine_chunks(), t.column("id").to_numpy()) for name, t in own.items()})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, "words"):
             words, names = batch.column("words"), batch.column("lang").to_pylist()
             flat, row = words.flatten(), np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
             out = np.full(len(flat), -1, np.int64)
@@ -199,7 +212,7 @@ def _pairs_joined(relation: DataFrame, frequent: DataFrame, most: int) -> DataFr
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = held.value
-        for batch in batches:
+        for batch in _slices(batches, "groups"):
             groups = batch.column("groups")
             at, left, right = adjacent(groups)
             size = pc.list_value_length(groups).to_numpy(zero_copy_only=False)

@@ -103,3 +103,17 @@ def test_draws_are_read_once(spark):
     assert scores.draw_scores(rows, "real").count() == 1 and read.value == 6000
     assert scores.draw_slices(rows, "real", "x", 4).count() == 4 and read.value == 12000
     ranks.release()
+
+
+def test_batches_of_words_are_sliced(monkeypatch):
+    """A task joins a bounded number of words at once, in whole rows, all of them and in order."""
+    import pyarrow as pa
+
+    from echoweave.llm import collocations
+
+    monkeypatch.setattr(collocations, "SLICE", 4)
+    rows = [["a"], ["b", "c"], [], ["d", "e"], [str(i) for i in range(9)], [], ["f"]]
+    batch = pa.record_batch([pa.array(rows)], names=["words"])
+    found = [b.column("words").to_pylist() for b in collocations._slices([batch, batch.slice(3, 0)], "words")]
+    assert [x for part in found for x in part] == rows and all(len(part) == 1 or sum(map(len, part)) <= 4 for part in found)
+    assert len(found) > 1
