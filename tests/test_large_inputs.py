@@ -117,3 +117,20 @@ def test_batches_of_words_are_sliced(monkeypatch):
     found = [b.column("words").to_pylist() for b in collocations._slices([batch, batch.slice(3, 0)], "words")]
     assert [x for part in found for x in part] == rows and all(len(part) == 1 or sum(map(len, part)) <= 4 for part in found)
     assert len(found) > 1
+
+
+@pytest.mark.parametrize(("rows", "chosen"), [(1, 0), (1, 1), (5, 2), (40, 39), (7, 7), (3000, 1), (3000, 1700)])
+def test_permuted_labels_are_subsets(rows, chosen):
+    """Labels of a permutation are drawn a byte each: always as many ones, and every place and pair of places as often as the others."""
+    from itertools import combinations
+
+    from echoweave.operators.resampling import subset
+
+    rng = np.random.default_rng(3)
+    drawn = np.array([subset(rng, rows, chosen) for _ in range(2000)])
+    assert (drawn.sum(axis=1) == chosen).all() and set(np.unique(drawn)) <= {0, 1}
+    share = chosen / rows
+    assert (abs(drawn.mean(axis=0) - share) <= 6 * (share * (1 - share) / 2000) ** 0.5 + 1e-12).all()
+    if rows == 5:
+        times = [int((drawn[:, i] & drawn[:, j]).sum()) for i, j in combinations(range(5), 2)]
+        assert min(times) > 140 and max(times) < 260
