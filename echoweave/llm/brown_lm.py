@@ -497,7 +497,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     """
     if classes > 127:
         raise ValueError("a class and its side are one byte: at most 127")
-    tables = Tables(docs.sparkSession)
+    # packed counts and contexts are mostly zero bytes, which the default codec leaves large
+    tables = Tables(docs.sparkSession, "zstd")
     with _shuffles_removed(docs.sparkSession):
         model = fit(training_rows(docs, key, text, folds, held_out), tables, classes, share)
     sums = np.array(_totals(model.lexicon, classes), float)

@@ -119,6 +119,22 @@ def test_batches_of_words_are_sliced(monkeypatch):
     assert len(found) > 1
 
 
+def test_tables_of_counts_are_packed(spark):
+    """Tables of mostly zero bytes take less than half of what the default codec leaves."""
+    from pathlib import Path
+
+    from echoweave.llm.common import Tables
+
+    made = np.random.default_rng(0).integers(1, 90, 200_000).astype("<i8").tobytes()
+    rows, sizes = spark.createDataFrame([(bytearray(made),)], "counts binary"), []
+    for codec in (None, "zstd"):
+        with Tables(spark, codec) as tables:
+            out = tables.keep(rows)
+            sizes.append(sum(f.stat().st_size for f in Path(tables.paths[id(out)][1].removeprefix("file://").removeprefix("file:")).glob("*.parquet")))
+            assert bytes(out.first().counts) == made
+    assert sizes[1] < sizes[0] / 2
+
+
 @pytest.mark.parametrize(("rows", "chosen"), [(1, 0), (1, 1), (5, 2), (40, 39), (7, 7), (3000, 1), (3000, 1700)])
 def test_permuted_labels_are_subsets(rows, chosen):
     """Labels of a permutation are drawn a byte each: always as many ones, and every place and pair of places as often as the others."""
