@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Tables, materialise, text_blocks, text_bytes
 
 MAX_WORDS, MIN_COUNT, COVER, TOP = 3, 10, 50, 2000
-#: Words or groups that a task joins at once.
-SLICE = 250_000
+#: Words or groups that a task joins at once, and groups that it counts at once.
+SLICE, COUNTED = 250_000, 1_000_000
 #: Most frequent groups (words: strings; longer phrases: 8 bytes each) that every executor holds.
 BROADCAST_GROUPS = 1 << 21
 #: Shares of a language that are ranked apart before their best meet.
@@ -100,13 +100,13 @@ def _numbered(groups: DataFrame, by: list[str], tables: Tables) -> DataFrame:
     return out
 
 
-def _slices(batches: Iterable[pa.RecordBatch], nested: str) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of whole rows with at most ``SLICE`` entries of a nested column (a longer row stands alone): arrays of a slice are all that a task holds."""
+def _slices(batches: Iterable[pa.RecordBatch], nested: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of whole rows with at most ``most`` entries of a nested column (a longer row stands alone): arrays of a slice are all that a task holds."""
     for batch in batches:
         ends = np.cumsum(pc.list_value_length(batch.column(nested)).fill_null(0).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(ends):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
 
@@ -123,19 +123,20 @@ def adjacent(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, groups[at], groups[at + 1]
 
 
+def pair_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(left, right, f) of each slice of a nested relation."""
+    for batch in _slices(batches, "groups", COUNTED):
+        _, left, right = adjacent(batch.column("groups"))
+        order = np.lexsort((right, left)) if len(left) and max(left.max(), right.max()) >> 31 else np.argsort((left << 32) | right, kind="stable")
+        left, right = left[order], right[order]
+        first = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))[: len(left)])
+        many = np.diff(np.append(first, len(left)))
+        yield pa.RecordBatch.from_arrays([pa.array(left[first]), pa.array(right[first]), pa.array(many.astype(np.int64))], names=["left", "right", "f"])
+
+
 def _counted(relation: DataFrame) -> DataFrame:
     """(left, right, f): occurrences of each pair of phrases at adjacent positions, added up in the tasks first."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, left, right = adjacent(batch.column("groups"))
-            order = np.lexsort((right, left)) if len(left) and max(left.max(), right.max()) >> 31 else np.argsort((left << 32) | right, kind="stable")
-            left, right = left[order], right[order]
-            first = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))[: len(left)])
-            many = np.diff(np.append(first, len(left)))
-            yield pa.RecordBatch.from_arrays([pa.array(left[first]), pa.array(right[first]), pa.array(many.astype(np.int64))], names=["left", "right", "f"])
-
-    return relation.select("groups").mapInArrow(run, "left long, right long, f long").groupBy("left", "right").agg(F.sum("f").alias("f"))
+    return relation.select("groups").mapInArrow(pair_counts, "left long, right long, f long").groupBy("left", "right").agg(F.sum("f").alias("f"))
 
 
 def _scattered(length: np.ndarray, found: pa.Array) -> pa.Array:
