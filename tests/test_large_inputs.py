@@ -150,3 +150,16 @@ def test_permuted_labels_are_subsets(rows, chosen):
     if rows == 5:
         times = [int((drawn[:, i] & drawn[:, j]).sum()) for i, j in combinations(range(5), 2)]
         assert min(times) > 140 and max(times) < 260
+
+
+def test_paths_are_dealt_in_as_many_parts_as_they_need(spark, monkeypatch):
+    """A fixed number of partitions made the sorts of a task grow with the table."""
+    from echoweave.operators.features import multipath
+    from echoweave.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "TASK_PATHS", 100, raising=False)
+    paths = fixtures.table(spark, "/root/testdata/sf0.001", "fx_snr")
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    found = multipath(paths)
+    assert found.rdd.getNumPartitions() == paths.rdd.getNumPartitions() == -(-rows // 100)
+    assert paths.count() == rows
