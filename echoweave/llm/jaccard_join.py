@@ -172,7 +172,7 @@ def _folded(counts: np.ndarray, size: int) -> np.ndarray:
 
 #: Cells of the coarse sketch, a byte each.
 COARSE = 128
-#: Documents are kin if their coarse sketches differ by no more than this times what linked sets can differ by.
+#: Documents are kin if their sketches, coarse and full, differ by no more than this times what linked sets can differ by.
 KIN = 1.5
 
 
@@ -184,12 +184,12 @@ def _coarse_table(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, COARSE).astype(np.int16)
 
 
-def _may_link(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray) -> bool:
-    """False only for sets that sizes or sketches prove apart."""
+def _may_link(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray, times: float = 1.0) -> bool:
+    """False only for sets that sizes or sketches prove apart, or ``times`` as far apart as linked sets can be."""
     if 4 * n_a < 3 * n_b or 4 * n_b < 3 * n_a:
         return False
     size = min(len(a), len(b))
-    return 7 * int(np.abs(_folded(a, size) - _folded(b, size)).sum(dtype=np.int64)) <= n_a + n_b
+    return 7 * int(np.abs(_folded(a, size) - _folded(b, size)).sum(dtype=np.int64)) <= times * (n_a + n_b)
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
@@ -362,10 +362,11 @@ def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
         for batch in batches:
             n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             x, y = (_coarse_table(batch.column(c).to_pylist()) for c in ("t_a", "t_b"))
-            kin = 7 * np.abs(x - y).sum(1, dtype=np.int64) <= KIN * (n + m)
-            likely = [bool(k) and _may_link(*z[:2], _counts(z[2]), _counts(z[3])) for k, *z in zip(kin, *(batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")), strict=True)]
+            close = 7 * np.abs(x - y).sum(1, dtype=np.int64) <= KIN * (n + m)
+            pairs = list(zip(close.tolist(), *(batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")), strict=True))
+            likely, kin = ([c and _may_link(a, b, _counts(u), _counts(v), times) for c, a, b, u, v in pairs] for times in (1.0, KIN))
             keep = batch.select(["a", "b"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(likely, pa.bool_()), pa.array(kin)], names=["a", "b", "likely", "kin"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(likely, pa.bool_()), pa.array(kin, pa.bool_())], names=["a", "b", "likely", "kin"])
 
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b", "t_a", "t_b").mapInArrow(run, "a long, b long, likely boolean, kin boolean").where("likely or kin")
 
@@ -433,19 +434,26 @@ def _apart(buckets: DataFrame, strangers: DataFrame, where: DataFrame, tables: T
     return member.join(split.select("bucket", "size"), "bucket").select("bucket", "size", "doc_id", "c", "h")
 
 
-def _kin(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """The pairs whose coarse sketches are close; those left out cannot link."""
-    side = lambda s: facts.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("coarse").alias(f"t_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
+def _kin(pairs: DataFrame, facts: DataFrame, tables: Tables) -> DataFrame:
+    """The pairs whose sketches are close; those left out cannot link.
+
+    Coarse sketches sift first; the full ones tell the rest, as large sets of any texts look alike in few cells.
+    """
     names, schema = pairs.columns, pairs.schema
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (_coarse_table(batch.column(c).to_pylist()) for c in ("t_a", "t_b"))
-            good = 7 * np.abs(x - y).sum(1, dtype=np.int64) <= KIN * (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy())
-            yield batch.select(names).filter(pa.array(good))
+    def sifted(pairs: DataFrame, sketch: str, close) -> DataFrame:
+        side = lambda s: facts.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col(sketch).alias(f"t_{s}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.select(names).filter(close(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), batch.column("t_a").to_pylist(), batch.column("t_b").to_pylist()))
+
+        return both.select(*names, "n_a", "n_b", "t_a", "t_b").mapInArrow(run, schema)
 
-    return both.select(*names, "n_a", "n_b", "t_a", "t_b").mapInArrow(run, schema)
+    coarse = lambda n, m, x, y: pa.array(7 * np.abs(_coarse_table(x) - _coarse_table(y)).sum(1, dtype=np.int64) <= KIN * (n + m))
+    full = lambda n, m, x, y: pa.array([_may_link(a, b, _counts(u), _counts(v), KIN) for a, b, u, v in zip(n.tolist(), m.tolist(), x, y, strict=True)], pa.bool_())
+    return sifted(tables.keep(sifted(pairs, "coarse", coarse)), "sketch", full)
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -559,7 +567,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         where = tables.keep(around.join(found.withColumnRenamed("component_id", "c"), "id", "full").select(F.col("id").alias("doc_id"), F.coalesce("c", "id").alias("c"), F.coalesce("root", "id").alias("h")))
         # heads whose documents are kin count as one
         strangers = tables.keep(_placed(_placed(met.select("a", "b"), where, "a"), where, "b").where("c_a <> c_b and h_a <> h_b").select("a", "b", "h_a", "h_b"))
-        merged = components(tables.keep(_kin(strangers, facts).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))))
+        merged = components(tables.keep(_kin(strangers, facts, tables).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))))
         lone = merged.join(where, F.col("id") == F.col("doc_id"), "left_anti").select(F.col("id").alias("doc_id"), F.col("id").alias("c"), F.col("component_id").alias("h"))
         where = tables.keep(where.join(merged, F.col("h") == F.col("id"), "left").select("doc_id", "c", F.coalesce("component_id", "h").alias("h")).unionByName(lone))
         # documents around one head

@@ -561,3 +561,21 @@ def test_pipeline(spark):
         docs = out
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_large_texts_of_other_words_are_not_kin(spark):
+    """Few cells tell large sets badly: unrelated ones stood around one head, which was compared in whole."""
+    from echoweave.llm import jaccard_join as jj
+    from echoweave.llm.common import Tables
+
+    rng = random.Random(1)
+    words = [[str(rng.random()) for _ in range(1500)] for _ in range(2)]
+    texts = [words[0], words[1], words[0][:1400] + words[1][:100]]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    facts = jj._describe(docs, jj.WORDS).cache()
+    pairs = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
+    assert [tuple(r) for r in jj._plausible(pairs, facts).collect()] == [(0, 2, True, True)]
+    named = pairs.withColumns({"h_a": F.col("a"), "h_b": F.col("b")})
+    with Tables(spark) as tables:
+        assert [tuple(r) for r in jj._kin(named, facts, tables).collect()] == [(0, 2, 0, 2)]
+    assert [r.component_id for r in jj.jaccard_components(docs).orderBy("doc_id").collect()] == [0, 1, 0]
