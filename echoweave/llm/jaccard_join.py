@@ -19,8 +19,8 @@ count sketches never exceeds the symmetric difference) and the rest is verified
 
 Buckets are not expanded into pairs. Each document is verified against the one bucket head it shares most with, and
 what this links is contracted. Buckets that many documents share are left by those that can spare them (``_open``).
-Then only members of different components meet: documents around one head in one block, others in the buckets that
-they still share.
+Then only members of different components meet: documents around one head in one block; of a bucket that they still
+share, the largest group around one head meets the others once for all its buckets, and the others meet in the bucket.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -167,7 +167,16 @@ def _counts(sketch: bytes) -> np.ndarray:
 
 
 def _folded(counts: np.ndarray, size: int) -> np.ndarray:
-    return counts.reshape(size, -1).sum(1, dtype=np.int16)
+    """Counts in fewer cells, cut at 15 again: the same as of a sketch made with so few."""
+    return np.minimum(counts.reshape(size, -1).sum(1, dtype=np.int16), 15)
+
+
+def _middle(sketch: bytes) -> bytes | None:
+    """The sketch of a large set in a quarter of the cells (n / 8 or more); None: the sketch itself is short."""
+    if len(sketch) < 512:
+        return None
+    counts = _folded(_counts(sketch), len(sketch) // 2).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
 
 
 #: Cells of the coarse sketch, a byte each.
@@ -193,7 +202,7 @@ def _may_link(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray, times: float = 1
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, d1, d2, sketch, coarse) of every document: set size, 128-bit digest of the set, count sketches."""
+    """(doc_id, n, d1, d2, sketch, coarse, middle) of every document: set size, 128-bit digest of the set, count sketches."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,11 +216,11 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
                 sketches = [_sketch(s) for s in sets]
                 coarse = [_coarse(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.array(d, np.uint64).view(np.int64)) for d in (first, second)], pa.array(sketches, pa.binary()), pa.array(coarse, pa.binary())],
-                    names=["doc_id", "n", "d1", "d2", "sketch", "coarse"],
+                    [block.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.array(d, np.uint64).view(np.int64)) for d in (first, second)], pa.array(sketches, pa.binary()), pa.array(coarse, pa.binary()), pa.array(map(_middle, sketches), pa.binary())],
+                    names=["doc_id", "n", "d1", "d2", "sketch", "coarse", "middle"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary, coarse binary")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary, coarse binary, middle binary")
 
 
 def _send(docs: DataFrame, k: int, parts: int) -> DataFrame:
@@ -420,8 +429,12 @@ def _placed(rows: DataFrame, where: DataFrame, side: str) -> DataFrame:
     return rows.join(known, side, "left").withColumns({f"{x}_{side}": F.coalesce(f"{x}_{side}", side) for x in "ch"})
 
 
-def _apart(buckets: DataFrame, strangers: DataFrame, where: DataFrame, tables: Tables) -> DataFrame:
-    """(bucket, size, doc_id, c, h) of the buckets whose members are in several components c and around several heads h.
+def _apart(buckets: DataFrame, strangers: DataFrame, where: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Two frames (bucket, size, doc_id, c, h) of the buckets whose members are in several components c and around several heads h.
+
+    Of each bucket the host is the head with most members there. The first frame has a bucket for each host, named by
+    it: its own members (h = 0) and all others that some bucket brings together with them (h = 1). The second has the
+    buckets without their hosts' members. So a large group is not sent again with each stranger that it meets.
 
     ``strangers(a, b)``: least and other members apart in both; only their buckets are looked at.
     """
@@ -430,8 +443,17 @@ def _apart(buckets: DataFrame, strangers: DataFrame, where: DataFrame, tables: T
     mixed = tables.keep(mixed.select("bucket", named.alias("members")).groupBy("members").agg(F.min("bucket").alias("bucket")).select("bucket"))
     member = tables.keep(_open(buckets.join(_few(mixed), "bucket")).select("bucket", "doc_id"))
     member = tables.keep(_placed(member, where, "doc_id").select("bucket", "doc_id", F.col("c_doc_id").alias("c"), F.col("h_doc_id").alias("h")))
-    split = member.groupBy("bucket").agg(*[f(x).alias(f"{x}{i}") for x in "ch" for i, f in enumerate((F.min, F.max))], F.count("*").alias("size")).where("c0 <> c1 and h0 <> h1")
-    return member.join(split.select("bucket", "size"), "bucket").select("bucket", "size", "doc_id", "c", "h")
+    groups = member.groupBy("bucket", "h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size"))
+    split = groups.groupBy("bucket").agg(F.max_by("h", F.struct("size", -F.col("h"))).alias("host"), F.count("*").alias("heads"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("c0 <> c1 and heads > 1")
+    member = tables.keep(member.join(split.select("bucket", "host"), "bucket"))
+    hosts = member.select(F.col("host").alias("bucket"), "doc_id", "c", (F.col("h") != F.col("host")).cast("long").alias("h")).distinct()
+    return _mixed(tables.keep(hosts)), _mixed(member.where("h <> host").drop("host"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The buckets with several components and several heads, with their sizes."""
+    split = rows.groupBy("bucket").agg(*[f(x).alias(f"{x}{i}") for x in "ch" for i, f in enumerate((F.min, F.max))], F.count("*").alias("size")).where("c0 <> c1 and h0 <> h1")
+    return rows.join(split.select("bucket", "size"), "bucket").select("bucket", "size", "doc_id", "c", "h")
 
 
 def _kin(pairs: DataFrame, facts: DataFrame, tables: Tables) -> DataFrame:
@@ -461,14 +483,14 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _across(rows: DataFrame, facts: DataFrame, sketch: str, parts: int, same_head: bool) -> DataFrame:
+def _across(rows: DataFrame, facts: DataFrame, sketch: Column, parts: int, same_head: bool) -> DataFrame:
     """Pairs of one ``bucket`` and different components that sizes and sketches do not rule out.
 
     ``same_head``: the bucket holds what stands around one head; otherwise pairs of one head are left out, as they
     meet there. Buckets are cut into chunks of about ``CHUNK`` members, each pair of chunks is compared as one block,
     and only plausible pairs leave the task.
     """
-    rows = rows.join(facts.select("doc_id", "n", F.col(sketch).alias("sketch")), "doc_id")
+    rows = rows.join(facts.select("doc_id", "n", sketch.alias("sketch")), "doc_id")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "c", "h", "n", "sketch")
@@ -489,13 +511,9 @@ def _across(rows: DataFrame, facts: DataFrame, sketch: str, parts: int, same_hea
             return good if same_head else good & (h != h[rows])
 
         # each size of sketch: the place of a member, and the members that have as many cells or more
-        if same_head:
-            counts = [_counts(x) for x in sketches]
-            sizes = np.array([len(x) for x in counts])
-            tables = {s: (np.cumsum(sizes >= s) - 1, np.stack([_folded(x, s) for x in counts if len(x) >= s])) for s in np.unique(sizes).tolist()}
-        else:
-            sizes = np.full(len(docs), COARSE)
-            tables = {COARSE: (np.arange(len(docs)), _coarse_table(sketches))}
+        counts = [_counts(x) for x in sketches]
+        sizes = np.array([len(x) for x in counts])
+        tables = {s: (np.cumsum(sizes >= s) - 1, np.stack([_folded(x, s) for x in counts if len(x) >= s])) for s in np.unique(sizes).tolist()}
         found = []
         step = max(1, 60_000 // len(docs))
         for at in range(0, len(odd), step):
@@ -550,7 +568,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         own, facts = own.where("doc_id is not null"), described.where("doc_id is not null")
         if not facts.groupBy("doc_id").count().where("count > 1").isEmpty():
             # rows that repeat a key: the fuller description stands, as the links of all of them count for one vertex
-            facts = tables.keep(facts.groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2", "sketch", "coarse")).alias("x")).select("doc_id", "x.*"))
+            facts = tables.keep(facts.groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2", "sketch", "coarse", "middle")).alias("x")).select("doc_id", "x.*"))
         copies = tables.keep(facts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c"))
         same = tables.keep(facts.select("doc_id", "n", "d1", "d2").join(copies, ["n", "d1", "d2"]).select("a", F.col("doc_id").alias("b")).where("a <> b"))
         total = facts.agg(F.sum("n")).first()[0] or 0
@@ -573,10 +591,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         # documents around one head
         sizes = where.groupBy("h").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h", "size")
         blocks = where.join(sizes, "h").select(F.col("h").alias("bucket"), "size", "doc_id", "c", "h")
-        late = tables.keep(_across(blocks, facts, "sketch", spare, True).join(near, ["a", "b"], "left_anti"))
+        late = tables.keep(_across(blocks, facts, F.col("sketch"), spare, True).join(near, ["a", "b"], "left_anti"))
         # and around different heads: the pairs of least members and others were told apart above
         strangers = tables.keep(_placed(_placed(strangers.select("a", "b"), where, "a"), where, "b").where("h_a <> h_b").select("a", "b"))
-        apart = _across(_apart(buckets, strangers, where, tables), facts, "coarse", spare, False)
+        hosts, others = _apart(buckets, strangers, where, tables)
+        middle = F.coalesce("middle", "sketch")
+        apart = _across(hosts, facts, F.col("sketch"), spare, False).unionByName(_across(others, facts, middle, spare, False))
         far = tables.keep(_plausible(apart.distinct(), facts).where("likely").select("a", "b"))
         final, rest = found, late.unionByName(far)
         if not rest.isEmpty():

@@ -579,3 +579,44 @@ def test_large_texts_of_other_words_are_not_kin(spark):
     with Tables(spark) as tables:
         assert [tuple(r) for r in jj._kin(named, facts, tables).collect()] == [(0, 2, 0, 2)]
     assert [r.component_id for r in jj.jaccard_components(docs).orderBy("doc_id").collect()] == [0, 1, 0]
+
+
+def test_groups_meet_strangers_once(spark):
+    """A group was sent again with each bucket in which it met a stranger; no pair of a bucket may be lost by sending it once."""
+    from echoweave.llm import jaccard_join as jj
+    from echoweave.llm.common import Tables
+
+    rng = random.Random(2)
+    head = {i: 1 if i <= 40 else 50 if i <= 55 else i for i in range(1, 70)}
+    buckets = [sorted({*rng.sample(range(1, 41), 25), *rng.sample(range(50, 70), 3)}) for _ in range(30)]
+    rows = [(n, b[0], d, len(b), 1, n, 0) for n, b in enumerate(buckets) for d in b]
+    frame = spark.createDataFrame(rows, "bucket long, least long, doc_id long, size long, times long, members long, code long")
+    where = spark.createDataFrame([(d, d, h) for d, h in head.items()], "doc_id long, c long, h long")
+    strangers = spark.createDataFrame([(b[0], d) for b in buckets for d in b if head[d] != head[b[0]]], "a long, b long").distinct()
+    with Tables(spark) as tables:
+        found = [f.collect() for f in jj._apart(frame, strangers, where, tables)]
+    hosts, others = found
+    assert len(hosts) == len({(r.bucket, r.doc_id) for r in hosts}) <= 60 and len(others) <= 90
+    assert all(r.size == sum(x.bucket == r.bucket for x in part) for part in found for r in part)
+    met = {(min(x.doc_id, y.doc_id), max(x.doc_id, y.doc_id)) for part in found for x in part for y in part if x.bucket == y.bucket and x.h != y.h}
+    assert {(x, y) for b in buckets for x in b for y in b if x < y and head[x] != head[y]} <= met
+
+
+def test_sketches_in_fewer_cells_stay_sound():
+    """Full sketches tell large sets apart, coarse ones of 128 cells do not; no sketch may show more than the sets' difference."""
+    from echoweave.llm import jaccard_join as jj
+
+    rng = np.random.default_rng(3)
+    for n, m, shared in ((3000, 3000, 0), (2100, 2000, 1900), (1030, 1020, 1000), (9000, 8000, 7900)):
+        pool = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64) * np.uint64(2))
+        rng.shuffle(pool)
+        a, b = pool[:n], np.concatenate([pool[:shared], pool[n : n + m - shared]])
+        x, y = (jj._counts(jj._middle(s) or s) for s in (jj._sketch(a), jj._sketch(b)))
+        size = min(len(x), len(y))
+        distance = int(np.abs(jj._folded(x, size) - jj._folded(y, size)).sum())
+        assert distance <= n + m - 2 * shared
+        assert (7 * distance <= n + m) == (shared > 0)
+    # one cell holds more than 15 of a larger set's sketch and as many of a smaller one's: cut alike
+    full = np.zeros(2048, np.int16)
+    full[:4] = 15, 3, 0, 0
+    assert jj._folded(full, 1024)[0] == 15
