@@ -26,6 +26,7 @@ share, the largest group around one head meets the others once for all its bucke
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -41,6 +42,8 @@ WORDS = 5
 WAYS = 4
 #: Members of a bucket that are compared as one block.
 CHUNK = 1000
+#: Texts of a block whose pairs are verified, and their characters, in each of its two chunks.
+LINKED_CHUNK, LINKED_CHARS = 500, 8_000_000
 #: Most ids (of eight bytes) that are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: A larger bucket counts as hot.
@@ -410,6 +413,39 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _linked_around(pairs: DataFrame, texts: DataFrame, k: int, parts: int) -> DataFrame:
+    """As ``_linked`` for pairs (a, b, h) around few heads h: a text is sent once for all pairs of a block, not for each pair."""
+    docs = pairs.select("h", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(texts.select("doc_id", F.length("text").alias("chars")), "doc_id")
+    chunks = docs.groupBy("h").agg(F.ceil(F.greatest(F.count("*") / LINKED_CHUNK, F.sum("chars") / LINKED_CHARS)).cast("int").alias("chunks"))
+    own = lambda c: F.pmod(F.xxhash64(c), F.col("chunks")).cast("int")
+    pairs = pairs.join(chunks, "h").select("h", F.least(own("a"), own("b")).alias("i"), F.greatest(own("a"), own("b")).alias("j"), "a", "b")
+    needed = pairs.select("h", "i", "j", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(texts, "doc_id")
+    rows = needed.select("h", "i", "j", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text").unionByName(pairs.withColumn("text", F.lit(None).cast("string")))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets = None, {}
+        for batch in batches:
+            for block in text_blocks(batch, "text"):
+                words = Words(block.column("text"))
+                grams = words.grams(k)
+                found = []
+                for at, (h, i, j, a, b) in enumerate(zip(*(block.column(c).to_pylist() for c in "hijab"), strict=True)):
+                    if (h, i, j) != key:
+                        key, sets = (h, i, j), {}
+                    if b is None:
+                        sets[a] = shingle_set(words, grams, at, k)
+                        continue
+                    x, y = sets[a], sets[b]
+                    inter = len(np.intersect1d(x, y, assume_unique=True))
+                    if len(x) and 100 * inter >= 75 * (len(x) + len(y) - inter):
+                        found.append((a, b))
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
+
+
 def _open(buckets: DataFrame) -> DataFrame:
     """The buckets without the hot ones that their members can spare.
 
@@ -429,12 +465,13 @@ def _placed(rows: DataFrame, where: DataFrame, side: str) -> DataFrame:
     return rows.join(known, side, "left").withColumns({f"{x}_{side}": F.coalesce(f"{x}_{side}", side) for x in "ch"})
 
 
-def _apart(buckets: DataFrame, strangers: DataFrame, where: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+def _apart(buckets: DataFrame, strangers: DataFrame, where: DataFrame, facts: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """Two frames (bucket, size, doc_id, c, h) of the buckets whose members are in several components c and around several heads h.
 
     Of each bucket the host is the head with most members there. The first frame has a bucket for each host, named by
-    it: its own members (h = 0) and all others that some bucket brings together with them (h = 1). The second has the
-    buckets without their hosts' members. So a large group is not sent again with each stranger that it meets.
+    it: its own members (h = 0) and all others that some bucket brings together with them (h = 1), without those whose
+    size fits none of the other kind. The second has the buckets without their hosts' members. So a large group is not
+    sent again with each stranger that it meets.
 
     ``strangers(a, b)``: least and other members apart in both; only their buckets are looked at.
     """
@@ -447,6 +484,10 @@ def _apart(buckets: DataFrame, strangers: DataFrame, where: DataFrame, tables: T
     split = groups.groupBy("bucket").agg(F.max_by("h", F.struct("size", -F.col("h"))).alias("host"), F.count("*").alias("heads"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("c0 <> c1 and heads > 1")
     member = tables.keep(member.join(split.select("bucket", "host"), "bucket"))
     hosts = member.select(F.col("host").alias("bucket"), "doc_id", "c", (F.col("h") != F.col("host")).cast("long").alias("h")).distinct()
+    hosts = tables.keep(hosts.join(facts.select("doc_id", "n"), "doc_id"))
+    ranges = hosts.groupBy("bucket").agg(*[f(F.when(F.col("h") == 1 - side, F.col("n"))).alias(f"{x}{side}") for side in (0, 1) for x, f in (("low", F.min), ("high", F.max))])
+    low, high = (F.when(F.col("h") == 0, F.col(f"{x}0")).otherwise(F.col(f"{x}1")) for x in ("low", "high"))
+    hosts = hosts.join(ranges, "bucket").where((4 * F.col("n") >= 3 * low) & (3 * F.col("n") <= 4 * high)).select("bucket", "doc_id", "c", "h")
     return _mixed(tables.keep(hosts)), _mixed(member.where("h <> host").drop("host"))
 
 
@@ -591,15 +632,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         # documents around one head
         sizes = where.groupBy("h").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h", "size")
         blocks = where.join(sizes, "h").select(F.col("h").alias("bucket"), "size", "doc_id", "c", "h")
-        late = tables.keep(_across(blocks, facts, F.col("sketch"), spare, True).join(near, ["a", "b"], "left_anti"))
+        late = _across(blocks, facts, F.col("sketch"), spare, True).join(near, ["a", "b"], "left_anti")
+        late = tables.keep(late.join(where.select(F.col("doc_id").alias("a"), "h"), "a").select("a", "b", "h"))
         # and around different heads: the pairs of least members and others were told apart above
         strangers = tables.keep(_placed(_placed(strangers.select("a", "b"), where, "a"), where, "b").where("h_a <> h_b").select("a", "b"))
-        hosts, others = _apart(buckets, strangers, where, tables)
-        middle = F.coalesce("middle", "sketch")
-        apart = _across(hosts, facts, F.col("sketch"), spare, False).unionByName(_across(others, facts, middle, spare, False))
+        hosts, others = _apart(buckets, strangers, where, facts, tables)
+        apart = reduce(DataFrame.unionByName, [_across(x, facts, F.coalesce("middle", "sketch"), spare, False) for x in (hosts, others)])
         far = tables.keep(_plausible(apart.distinct(), facts).where("likely").select("a", "b"))
-        final, rest = found, late.unionByName(far)
+        final, rest = found, late.select("a", "b").unionByName(far)
         if not rest.isEmpty():
-            final = components(links.unionByName(tables.keep(_linked(rest, _texts(_ends(rest), own, tables), k))))
+            texts = _texts(_ends(rest), own, tables)
+            more = tables.keep(_linked_around(late, texts, k, spare).unionByName(_linked(far, texts, k)))
+            final = components(links.unionByName(more))
         rows = facts.select("doc_id", "n").unionByName(described.where("doc_id is null").select("doc_id", "n"))
         return materialise(rows.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))

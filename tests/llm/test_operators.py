@@ -593,8 +593,9 @@ def test_groups_meet_strangers_once(spark):
     frame = spark.createDataFrame(rows, "bucket long, least long, doc_id long, size long, times long, members long, code long")
     where = spark.createDataFrame([(d, d, h) for d, h in head.items()], "doc_id long, c long, h long")
     strangers = spark.createDataFrame([(b[0], d) for b in buckets for d in b if head[d] != head[b[0]]], "a long, b long").distinct()
+    facts = where.select("doc_id", F.lit(100).cast("long").alias("n"))
     with Tables(spark) as tables:
-        found = [f.collect() for f in jj._apart(frame, strangers, where, tables)]
+        found = [f.collect() for f in jj._apart(frame, strangers, where, facts, tables)]
     hosts, others = found
     assert len(hosts) == len({(r.bucket, r.doc_id) for r in hosts}) <= 60 and len(others) <= 90
     assert all(r.size == sum(x.bucket == r.bucket for x in part) for part in found for r in part)
@@ -620,3 +621,18 @@ def test_sketches_in_fewer_cells_stay_sound():
     full = np.zeros(2048, np.int16)
     full[:4] = 15, 3, 0, 0
     assert jj._folded(full, 1024)[0] == 15
+
+
+def test_texts_of_a_block_are_sent_once(spark, monkeypatch):
+    """Pairs around one head were verified with both texts sent for each pair."""
+    from echoweave.llm import jaccard_join as jj
+
+    monkeypatch.setattr(jj, "LINKED_CHUNK", 4)
+    rng = random.Random(4)
+    base = [str(rng.random()) for _ in range(80)]
+    texts = {i: " ".join(base[: 80 - 5 * (i % 7)] + [f"x{i}"] * (i % 3)) for i in range(20)}
+    pairs = spark.createDataFrame([(a, b, a % 2) for a in texts for b in texts if a < b and (b - a) % 2 == 0], "a long, b long, h long")
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = sorted(tuple(r) for r in jj._linked_around(pairs, frame, jj.WORDS, 5).collect())
+    assert got == sorted(tuple(r) for r in jj._linked(pairs.select("a", "b"), frame, jj.WORDS).collect())
+    assert 0 < len(got) < pairs.count()
