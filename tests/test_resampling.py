@@ -114,3 +114,32 @@ def test_permutations_follow_their_distribution(spark, digits):
 
 def test_permutations_of_one_class(spark):
     assert tuple(rs.permuted_anderson_darling(spark.createDataFrame([(0.1, 1), (0.2, 1)], "p double, y int"), "p", "y", 5).first()) == (None, None)
+
+
+def test_observed_replicate_has_every_scene_once(spark, monkeypatch):
+    """Values come from the sweep that makes the intervals: replicate -1 equals the plain metrics, ties and all."""
+    from echoweave.operators.scores import branch_metrics, wasserstein
+
+    monkeypatch.setattr(rs, "STRATUM", SIZE)
+    df = spark.createDataFrame(rows(40), SCHEMA).withColumn("mutual", F.col("m") == "x").persist()
+    made = rs.Resamples(df, 3, observed=True)
+    own = df.withColumn("branch", F.explode(F.array(F.when(F.col("mutual"), "mutual").otherwise("non_mutual"), F.lit("pooled"))))
+    found = made.ranked(own, "p", "y", 5, ["branch"])
+    assert sorted(r.b for r in found.where("branch = 'pooled'").collect()) == [-1, 0, 1, 2]
+    got, want = ({r.branch: [r[c] for c in ("brier", "auroc", "reliability", "resolution", "uncertainty")] for r in x.collect()} for x in (found.where("b = -1"), branch_metrics(df, "p", "y", "mutual", 5)))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    sides = [df.where(f"y = {k}").select(F.col("p").alias("value")) for k in (1, 0)]
+    assert made.wasserstein(df.withColumn("real", F.col("y") == 1), "p", "real").where("b = -1").first().w1 == pytest.approx(wasserstein(*sides).first().w1)
+    assert made.sums(df, {"n": F.lit(1)}).where("b = -1").first().n == df.count()
+
+
+@pytest.mark.parametrize("name", ["branch_intervals", "draw_intervals"])
+def test_intervals_derive_each_table_once(spark, name):
+    from echoweave.plans import resampling_queries
+    from echoweave.plans.fixtures import table
+
+    asked = []
+    found = getattr(resampling_queries, name)(lambda n: (asked.append(n), table(spark, "/root/testdata/sf0.001", n))[1])
+    assert len(asked) == len(set(asked)) and found.where("low > high or value is null").isEmpty()
+    # what is read after that are files, not the joins that made them
+    assert "orders" not in found._jdf.queryExecution().optimizedPlan().toString().replace("orderkey", "")
