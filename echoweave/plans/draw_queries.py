@@ -159,6 +159,6 @@ def quantile_forest(t) -> DataFrame:
 
 @_query()
 def two_sample_classifier(t) -> DataFrame:
-    error = t("fx_draws").where("draw = 0").join(t("fx_target").select(*KEYS, "bistatic_range_m"), list(KEYS))
+    error = _stored(t("fx_draws").where("draw = 0").join(t("fx_target").select(*KEYS, "bistatic_range_m"), list(KEYS)))
     side = lambda c: error.select(*KEYS, "bistatic_range_m", F.col(c).alias("error"))
     return models.two_sample(side("range_error_m"), side("value"), ("bistatic_range_m", "error"))
