@@ -163,3 +163,37 @@ def test_paths_are_dealt_in_as_many_parts_as_they_need(spark, monkeypatch):
     found = multipath(paths)
     assert found.rdd.getNumPartitions() == paths.rdd.getNumPartitions() == -(-rows // 100)
     assert paths.count() == rows
+
+
+@pytest.mark.parametrize("most", [1_000_000, 50])
+def test_values_of_ensembles_travel_once(spark, monkeypatch, most):
+    """W1 of points with their draws as arrays: ranges without values, ties, single points and a group without draws."""
+    from echoweave.operators import scores
+
+    monkeypatch.setattr(scores, "RANGE_VALUES", most)
+    rng = np.random.default_rng(2)
+    rows = [("wide", float(rng.integers(0, 9)), [float(x) for x in rng.normal(3, 40, 5)]) for _ in range(300)]
+    rows += [("near", float(rng.random()), [float(x) for x in rng.integers(0, 3, 4)]) for _ in range(200)]
+    rows += [("one", 2.0, [5.0]), ("none", 1.0, []), ("unreal", None, [1.0, 2.0])]
+    points = spark.createDataFrame(rows, "model string, __real double, __x array<double>")
+    found = scores.ensemble_wasserstein(points, "model")
+    got = {r.model: r.w1 for r in found.collect()}
+    for model in ("wide", "near", "one"):
+        a, b = np.array([r[1] for r in rows if r[0] == model]), np.array([x for r in rows if r[0] == model for x in r[2]])
+        z = np.sort(np.concatenate([a, b]))
+        want = sum(abs((a <= x).mean() - (b <= x).mean()) * (y - x) for x, y in zip(z, z[1:], strict=False))
+        assert got[model] == pytest.approx(want)
+    assert got["none"] is None and got["unreal"] is None and "Window" not in _plan(found)
+
+
+def test_drawn_rows_meet_their_values_in_one_join(spark):
+    """Bulk and other regimes are one table, and what is shuffled is the place, not the row's columns."""
+    from echoweave.operators import pipelines
+
+    table = lambda *rows: spark.createDataFrame(rows, "stratum int, k long, size long, x double")
+    model = pipelines.Range(0.5, 1.0, table((0, 0, 1, 7.0)).withColumnRenamed("x", "residual"), table((30, 0, 1, 9.0)).withColumnRenamed("x", "error"), [1.0])
+    df = spark.createDataFrame([(1, 1, i, i % 4, 2.0, 0.5, "wide") for i in range(8)], "scenario_id long, drop_id long, target_id long, region int, bistatic_range_m double, nn_norm_range_sep double, other string")
+    drawn = pipelines.range_draws(df, model).select("target_id", "region", "sampled_error")
+    assert {(r.region, r.sampled_error) for r in drawn.collect()} == {(0, 9.0), (1, None), (2, None), (3, 9.0)}
+    joins = [x for x in drawn._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert len(joins) == 2  # the sizes of the strata, and the values
