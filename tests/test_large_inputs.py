@@ -197,3 +197,19 @@ def test_drawn_rows_meet_their_values_in_one_join(spark):
     assert {(r.region, r.sampled_error) for r in drawn.collect()} == {(0, 9.0), (1, None), (2, None), (3, 9.0)}
     joins = [x for x in drawn._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
     assert len(joins) == 2  # the sizes of the strata, and the values
+
+
+def test_boosted_fits_hold_one_copy_of_many_rows(spark, monkeypatch):
+    """Flags that no tree could split on are left out, and fits of many rows run one after the other."""
+    from echoweave.operators import models
+
+    df = spark.range(400).select((F.col("id") % 7).cast("double").alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).cast("double").alias("b"), (F.col("id") % 2).cast("int").alias("y"))
+    threads, pool = [], models.ThreadPool
+    monkeypatch.setattr(models, "ThreadPool", lambda n: (threads.append(n), pool(n))[1])
+    side = models.fit_outcomes(df, ["a", "b"], "y", 2, 2)
+    monkeypatch.setattr(models, "APART", 100)
+    apart = models.fit_outcomes(df, ["a", "b"], "y", 2, 2)
+    assert threads == [2, 1] and apart[0].stages[1].getInputCols() == ["a_filled", "b_filled", "b_missing"]
+    got = [[r.p0 for r in models.predict_outcomes(m, df.limit(20), ["a", "b"]).collect()] for m in (side, apart)]
+    assert got[0] == got[1]
+    assert sum(models.gain(apart[0].stages[-1], ["a", "b"], ["b"]).values()) == pytest.approx(1)
